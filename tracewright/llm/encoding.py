@@ -310,6 +310,21 @@ def _row_ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def count_tokens(df: DataFrame, key: str, text: str, *, vocabulary: str | None = None) -> DataFrame:
-    """``key`` and ``tokens``: the number of ids of every row (0 for null and empty texts)."""
-    return encode(df, key, text, vocabulary=vocabulary).select(key, F.size("ids").cast("bigint").alias("tokens"))
+def count_tokens(df: DataFrame, key: str, text: str, *, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``keep`` columns and ``tokens``: the number of ids of every row.
+
+    0 for null and empty texts.  Only the counts leave the Python worker.
+    """
+    path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
+    narrow = df.select(F.col(key), *keep, F.col(text).cast("string").alias("__text"))
+    fields = narrow.schema.fields[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            counts = [encode_texts(texts[lo:hi].to_pylist(), path)[1] for lo, hi in _row_ranges(texts)]
+            tokens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, pa.int64())], [*b.schema.names[:-1], "tokens"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", tokens bigint"
+    return narrow.mapInArrow(run, schema)

@@ -20,3 +20,62 @@ def p8_ids(spark, sf_dir):
     from tracewright.llm.encoding import encode
 
     return encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@llm.add("p4_latency_percentiles")
+def p4_latency_percentiles(spark, sf_dir):
+    from tracewright.llm.percentiles import latency_percentiles
+
+    return latency_percentiles(read_table(spark, sf_dir, "llm_traces"))
+
+
+_P6_SIZES = "list_transform(coalesce(classes, []), lambda c: coalesce(length(c.source), 0))"
+
+
+@llm.add(
+    "p6_found",
+    f"""
+    WITH s AS (SELECT unit_id, {_P6_SIZES} AS n FROM map_units),
+    big AS (SELECT unit_id, n FROM s WHERE coalesce(list_sum(n), 0) > 8000)
+    SELECT unit_id, CAST(-1 AS BIGINT) AS class_pos FROM big
+    UNION ALL
+    SELECT unit_id, pos AS class_pos FROM (SELECT unit_id, unnest(range(len(n))) AS pos, unnest(n) AS one FROM big) WHERE one > 8000
+    """,
+)
+def p6_found(spark, sf_dir):
+    from tracewright.llm.splitting import oversized
+
+    return oversized(read_table(spark, sf_dir, "map_units"))
+
+
+@llm.add("p6_pieces")
+def p6_pieces(spark, sf_dir):
+    from tracewright.llm.splitting import split_units
+
+    return split_units(read_table(spark, sf_dir, "map_units"))
+
+
+def _mixture(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tracewright.llm.encoding import count_tokens
+    from tracewright.llm.mixing import mix, quality
+    from tracewright.session import cut_lineage
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text", quality(F.col("text")).alias("weight"))
+    # counted once; the mixture reads the counts several times
+    sized = cut_lineage(count_tokens(docs, "doc_id", "text", keep=("source", "weight")))
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return mix(sized, targets), targets
+
+
+@llm.add("p9_mixture")
+def p9_mixture(spark, sf_dir):
+    return _mixture(spark, sf_dir)[0]
+
+
+@llm.add("p9_report")
+def p9_report(spark, sf_dir):
+    from tracewright.llm.mixing import report
+
+    return report(*_mixture(spark, sf_dir))
