@@ -79,3 +79,17 @@ def p9_report(spark, sf_dir):
     from tracewright.llm.mixing import report
 
     return report(*_mixture(spark, sf_dir))
+
+
+@llm.add("p2_found")
+def p2_found(spark, sf_dir):
+    from tracewright.llm.credentials import found
+
+    return found(read_table(spark, sf_dir, "llm_traces"), read_table(spark, sf_dir, "grading_controller"))
+
+
+@llm.add("p2_redacted")
+def p2_redacted(spark, sf_dir):
+    from tracewright.llm.credentials import redact_text
+
+    return redact_text(read_table(spark, sf_dir, "llm_traces"), "id", "prompt")
