@@ -5,12 +5,29 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, once per context, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tracewright-code-")) / "tracewright.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._tracewright_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table of the data folder; columns are pruned by the plan that follows."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
