@@ -93,3 +93,26 @@ def p2_redacted(spark, sf_dir):
     from tracewright.llm.credentials import redact_text
 
     return redact_text(read_table(spark, sf_dir, "llm_traces"), "id", "prompt")
+
+
+@llm.add("p5_found")
+def p5_found(spark, sf_dir):
+    from tracewright.llm import truncation
+
+    done = truncation.finished(read_table(spark, sf_dir, "llm_traces"))
+    return truncation.flag_truncated(done, "id", "response", source="prompt").where("truncated").select("id")
+
+
+@llm.add("p5_rates")
+def p5_rates(spark, sf_dir):
+    from tracewright.llm import truncation
+
+    done = truncation.finished(read_table(spark, sf_dir, "llm_traces")).where("length(trim(response)) > 0")
+    return truncation.rates(truncation.flag_truncated(done, "id", "response", source="prompt", keep=("caller",)))
+
+
+@llm.add("p7_found")
+def p7_found(spark, sf_dir):
+    from tracewright.llm.pairs import find_defects
+
+    return find_defects(read_table(spark, sf_dir, "llm_traces"))

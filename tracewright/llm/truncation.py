@@ -15,8 +15,10 @@ Training is two passes with small states: the contexts at ends (combined per tas
 ``MODEL_CONTEXTS`` most frequent kept, which bounds the model), then how often each of them
 is inside a text.  Applying the model is one more row-local pass.
 
-Two exact signs go first: an explicit mark of clipping at the end, and an open delimiter
-(a code fence or a JSON value that is never closed).
+Exact signs decide where there are any: an explicit mark of clipping or an open delimiter
+(a code fence or a JSON value that is never closed) means cut, a JSON value that is closed
+means complete, and so does an end at which a line of the prompt ends (an answer that gives
+the prompt back ends wherever the prompt does).
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ CLIP_MARKS = ("…", "...", "[truncated]", "[output clipped]", "<cut>", "(trunca
 _CLIPPED = re.compile(r"(?:…|\.\.\.|�|[\[(<](?:output )?(?:truncated|clipped|cut|cut off)[\])>])\s*$", re.I)
 
 _U = np.uint64
-_NUMBER, _LONG_WORD, _NAME, _START = _U(1), _U(2), _U(3), _U(4)
+_NUMBER, _LONG_WORD, _NAME, _START, _WORD = _U(1), _U(2), _U(3), _U(4), _U(5)
+_SHORT = _U(1) << _U(40)  # set in the symbols of short words
 
 
 # ---------------------------------------------------------------- characters as the model reads them
@@ -92,7 +95,7 @@ def symbols(cp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = e - s
     low, dig = lower[e] - lower[s], digit[e] - digit[s]
     named = Hasher(cp)
-    h = ((named.sums[e] - named.sums[s]) * named.down[s]) | (_U(1) << _U(40))
+    h = ((named.sums[e] - named.sums[s]) * named.down[s]) | _SHORT
     sym[word] = np.where(
         dig == length,
         _NUMBER,
@@ -107,6 +110,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _last(sym: np.ndarray) -> np.ndarray:
+    """The symbols as the last ones of a context: a word there may be the head of a longer one, so all words are one."""
+    return np.where((sym & _SHORT > 0) | (sym == _LONG_WORD) | (sym == _NAME), _WORD, sym)
+
+
 def contexts(sym: np.ndarray, text: np.ndarray, group: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hashes [len(at), ORDERS] of the contexts of each order that end at the positions ``at``.
 
@@ -120,6 +128,7 @@ def contexts(sym: np.ndarray, text: np.ndarray, group: np.ndarray, at: np.ndarra
         ok = i >= 0
         s = np.full(len(at), _START)
         s[ok] = np.where(text[i[ok]] == own[ok], sym[i[ok]], _START)
+        s = s if k else _last(s)
         h = _mix(h * _U(0x94D049BB133111EB) + s)
         out[:, k] = h
     return out
@@ -221,6 +230,7 @@ class EndModel:
             open_ = known
             e, i = self.ends[at[known]], self.inner[at[known]]
             p[known] = (e + BACKOFF * p[known]) / (e + i + BACKOFF)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
 
@@ -261,6 +271,7 @@ def train(texts: DataFrame, column: str) -> EndModel:
                 # a context the model lacks has no longer ones in it: those positions drop out
                 i = at - k
                 s = np.where((i >= 0) & (text[np.maximum(i, 0)] == own), sym[np.maximum(i, 0)], _START)
+                s = s if k else _last(s)
                 h = _mix(h * _U(0x94D049BB133111EB) + s)
                 slot = (h & _U(len(bits) * 8 - 1)).astype(np.int64)
                 maybe = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
@@ -332,10 +343,52 @@ def open_delimiter(text: str) -> bool:
     return bool(stack) or inside
 
 
+def closed_json(text: str) -> bool:
+    s = text.strip()
+    if s[:1] not in ("{", "[", '"'):
+        return False
+    try:
+        json.loads(s)
+        return True
+    except (ValueError, RecursionError):
+        return False
+
+
 def clipped(text: str) -> bool:
     return bool(_CLIPPED.search(text))
 
 
+_QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
+#: Characters at the end of an answer that are looked up in its prompt.
+_ECHO = 24
+
+
+def echoes_end(text: str, source: str | None) -> bool:
+    """Does the text end as a line of its source ends? Case, quote marks and blanks aside."""
+    if not source:
+        return False
+    tail = "".join(_QUOTE.sub("", text[-4 * _ECHO :]).casefold().split()).rstrip("`")[-_ECHO:]
+    if len(tail) < _ECHO:
+        return False
+    lines = source.casefold().splitlines()
+    kept = "".join("".join(x.split()) + "\0" for x in lines)
+    # the tail may span lines: the breaks inside it are ignored, the one after it is wanted
+    flat = kept.replace("\0", "")
+    at = flat.find(tail)
+    if at < 0:
+        return False
+    ends = set()
+    size = 0
+    for x in lines:
+        size += len("".join(x.split()).rstrip("`")) if not x.strip().strip("`") else len("".join(x.split()))
+        ends.add(size)
+    while at >= 0:
+        if at + len(tail) in ends or flat[at + len(tail) :].strip("`") == "":
+            return True
+        at = flat.find(tail, at + 1)
+    return False
+
+
 # ---------------------------------------------------------------- thresholds and application
 
 
@@ -385,14 +438,16 @@ def histogram(texts: DataFrame, column: str, model: EndModel) -> dict[int, float
     return out
 
 
-def cut_flags(model: EndModel, limits: dict[int, float], texts: list[str]) -> np.ndarray:
+def cut_flags(model: EndModel, limits: dict[int, float], texts: list[str], sources: list[str | None] | None = None) -> np.ndarray:
     """Which of the non-blank texts break off."""
     s, g = score_texts(model, texts)
     limit = np.array([limits.get(i, THRESHOLD) for i in range(GROUPS)])
     cut = s < limit[g]
     for i, t in enumerate(texts):
-        if not cut[i]:
-            cut[i] = clipped(t) or open_delimiter(t)
+        if cut[i]:
+            cut[i] = not closed_json(t) and not (sources and echoes_end(t, sources[i]))
+        else:
+            cut[i] = clipped(t) or (open_delimiter(t) and not (sources and echoes_end(t, sources[i])))
     return cut
 
 
@@ -401,22 +456,24 @@ def fit(texts: DataFrame, column: str) -> tuple[EndModel, dict[int, float]]:
     return model, histogram(texts, column, model)
 
 
-def flag_truncated(df: DataFrame, key: str, column: str, *, keep: tuple[str, ...] = (), fitted: tuple[EndModel, dict[int, float]] | None = None) -> DataFrame:
+def flag_truncated(df: DataFrame, key: str, column: str, *, source: str | None = None, keep: tuple[str, ...] = (), fitted: tuple[EndModel, dict[int, float]] | None = None) -> DataFrame:
     """``key``, the ``keep`` columns and ``truncated`` for every row.
 
-    Null and blank texts are not truncated.  The model is fitted on the same rows unless
+    ``source`` names the column the text answers.  Null and blank texts are not truncated.  The model is fitted on the same rows unless
     given; an empty table has an empty model and no rows.
     """
     model, limits = fitted or fit(df, column)
-    narrow = df.select(F.col(key), *keep, F.col(column).cast("string").alias("__text"))
-    fields = narrow.schema.fields[:-1]
+    asked = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    narrow = df.select(F.col(key), *keep, asked.alias("__source"), F.col(column).cast("string").alias("__text"))
+    fields = narrow.schema.fields[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flags = np.zeros(b.num_rows, bool)
+            asked = b.column("__source")
             for _, rows, texts in _steps(iter([b]), "__text"):
-                flags[rows] = cut_flags(model, limits, texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(flags)], [*b.schema.names[:-1], "truncated"])
+                flags[rows] = cut_flags(model, limits, texts, asked.take(pa.array(rows)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(flags)], [*b.schema.names[:-2], "truncated"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", truncated boolean"
     return narrow.mapInArrow(run, schema)
