@@ -116,3 +116,21 @@ def p7_found(spark, sf_dir):
     from tracewright.llm.pairs import find_defects
 
     return find_defects(read_table(spark, sf_dir, "llm_traces"))
+
+
+def _subject_tables(spark, sf_dir):
+    return tuple(read_table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples"))
+
+
+@llm.add("p10_found")
+def p10_found(spark, sf_dir):
+    from tracewright.llm import subjects
+
+    return subjects.found(*_subject_tables(spark, sf_dir))
+
+
+@llm.add("p10_composition")
+def p10_composition(spark, sf_dir):
+    from tracewright.llm import subjects
+
+    return subjects.composition(*_subject_tables(spark, sf_dir))
