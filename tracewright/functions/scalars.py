@@ -36,13 +36,13 @@ def template_segments(parts: Column) -> Column:
 
 def case_id(name: Column, method: Column, path: Column) -> Column:
     """``name_METHOD_path`` with every character that is no word character or hyphen as ``_``; letters of all scripts stay."""
-    return F.regexp_replace(F.concat_ws("_", F.lower(name), method, F.regexp_replace(path, r"^/", "")), r"(?U)[^\w\-]", "_")
+    return F.regexp_replace(F.concat(F.lower(name), F.lit("_"), method, F.lit("_"), F.regexp_replace(path, r"^/", "")), r"(?U)[^\w\-]", "_")
 
 
 def resource_name(path: Column, generic: tuple[str, ...] = ("api", "v1", "v2")) -> Column:
-    """Last static segment that is not generic, the empty text if there is none."""
+    """Last static segment that is not generic, the empty text if there is none or the path is null."""
     static = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^[{:]") & ~s.isin(*generic))
-    return F.when(path.isNotNull(), F.coalesce(F.get(static, F.size(static) - 1), F.lit("")))
+    return F.coalesce(F.get(static, F.size(static) - 1), F.lit(""))
 
 
 def identifier(c: Column) -> Column:
@@ -93,7 +93,7 @@ def constant_name(key: Column) -> Column:
 
 def bean_name(name: Column, override: Column) -> Column:
     """The override, else the class name with a small first letter."""
-    return F.coalesce(override, F.concat(F.lower(F.substring(name, 1, 1)), F.expr("''") if name is None else F.substring(name, 2, 1_000_000)))
+    return F.coalesce(override, F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1_000_000)))
 
 
 def keyword_hit(text: Column, keyword: str) -> Column:
@@ -200,12 +200,11 @@ def map_type(t: str | None) -> str | None:
 def map_type_udf():
     """``map_type`` over Arrow batches; each distinct type is mapped once per batch."""
     import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    @pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         codes, values = pd.factorize(s)
         mapped = [map_type(v) for v in values]
-        return pd.Series([mapped[c] if c >= 0 else None for c in codes])
+        return pd.Series([mapped[c] if c >= 0 else None for c in codes], dtype=object)
 
-    return run
+    return pandas_udf(run, "string", PandasUDFType.SCALAR)
