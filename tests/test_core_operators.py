@@ -281,3 +281,35 @@ def test_class_facts(spark):
     facts = J.class_facts(src)
     names = spark.createDataFrame([("Bar",), ("E",), ("Q",)], "name string")
     assert rows(J.type_classes(names, facts)) == [("Bar", ["Foo"]), ("E", ["E"]), ("Q", [])]
+
+
+def test_capped_walk(spark):
+    e = spark.createDataFrame([("s", "b", 2), ("s", "a", 1), ("a", "c", 1), ("b", "c", 1), ("c", "d", 1), ("d", "s", 1)], "src string, dst string, seq int")
+    seeds, stop = spark.createDataFrame([("s",)], "n string"), spark.createDataFrame([("c",)], "n string")
+    assert rows(G.capped_walk(e, seeds, stop.limit(0), cap=2).select("node", "depth", "kept", "truncated")) == [("a", 1, True, True), ("b", 1, True, True), ("c", 2, False, True), ("d", 3, False, True)]
+    assert rows(G.capped_walk(e, seeds, stop).select("node", "stops", "truncated")) == [("a", False, False), ("b", False, False), ("c", True, False)]
+
+
+def test_stable_order_takes_the_least_ready(spark):
+    items = spark.createDataFrame([("g", "c", 1), ("g", "a", 2), ("g", "b", 3), ("h", "x", 1)], "g string, item string, seq int")
+    needs = spark.createDataFrame([("g", "c", "b"), ("g", "c", "zz"), ("h", "x", "x")], "g string, item string, needs string")
+    assert rows(G.stable_order(items, needs, "g")) == [("g", "a", 0), ("g", "b", 1), ("g", "c", 2), ("h", "x", 0)]
+    with pytest.raises(PySparkException):
+        G.stable_order(items, spark.createDataFrame([("g", "a", "b"), ("g", "b", "a")], "g string, item string, needs string"), "g").collect()
+
+
+def test_selection(spark):
+    d = spark.createDataFrame([(1, "One"), (2, "two")], "id int, name string")
+    assert [r.name for r in R.selected(d, "name", "id", ["TWO", "1"]).orderBy("request").collect()] == ["two", "One"]
+    with pytest.raises(PySparkException):
+        R.selected(d, "name", "id", ["three"]).collect()
+
+
+def test_exclusion_keeps_emptied_groups(spark):
+    m = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a")], "grp string, key string")
+    assert rows(R.emptied_kept(m, m, spark.createDataFrame([("a",)], "key string"), "grp", "key")) == [("g", ["b"]), ("h", [])]
+
+
+def test_long_literals_do_not_use_up_the_stack(spark):
+    src = spark.createDataFrame([(1, 0, 'class A { String s = "' + "x,\\\\n" * 60000 + '"; void f() { a.go(1); } }')], "unit_id bigint, pos bigint, source string")
+    assert [(r.target, r.method, r.n) for r in J.calls(src).where("method = 'go'").collect()] == [("a", "go", 1)]

@@ -141,3 +141,76 @@ def chain_to_ancestor(parents: DataFrame, start: DataFrame, stop: DataFrame) ->
     p = cut_lineage(p.join(stop.select(F.col(stop.columns[0]).alias("parent")), "parent", "left_anti").select("child", "parent"))
     first = start.select(F.col(start.columns[0]).alias("node")).join(p.withColumnRenamed("child", "node"), "node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     return fixpoint(first.where("node <> ancestor"), lambda f: f.join(p, f.ancestor == p.child).where("parent <> node").select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")), ["node", "ancestor"])
+
+
+def capped_walk(edges: DataFrame, seeds: DataFrame, stop: DataFrame, cap: int = 20, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(seed, node, depth, stops, kept, truncated): breadth-first walk per seed that does not go on from ``stop`` nodes.
+
+    ``edges``: ``src``, ``dst``, ``seq`` (the order of a node's edges).  A node is visited
+    once per seed, at its least depth, in the order of its parent and edge.  Only the first
+    ``cap`` visits of a seed are ``kept``; ``truncated`` says whether there were more.
+    """
+    from pyspark.sql.window import Window
+
+    e = cut_lineage(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("seq").alias("seq")))
+    halt = cut_lineage(stop.select(F.col(stop.columns[0]).alias("node")).distinct())
+    start = seeds.select(F.col(seeds.columns[0]).alias("seed")).where("seed is not null").distinct()
+    frontier = cut_lineage(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("way"), F.lit(False).alias("stops")))
+    seen = frontier
+    for _ in range(max_rounds):
+        live = frontier.where(~F.col("stops"))
+        nxt = live.join(e, live.node == e.src).select("seed", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array(F.col("seq").cast("bigint"))).alias("way"))
+        first = nxt.groupBy("seed", "node").agg(F.min(F.struct("depth", "way")).alias("m")).select("seed", "node", "m.depth", "m.way")
+        fresh = first.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = cut_lineage(fresh.join(halt.withColumn("_h", F.lit(True)), "node", "left").select("seed", "node", "depth", "way", F.coalesce("_h", F.lit(False)).alias("stops")))
+        if frontier.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(frontier))
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
+    targets = seen.where("depth > 0")
+    w = Window.partitionBy("seed")
+    pos = F.row_number().over(w.orderBy("depth", "way", "node"))
+    return targets.select("seed", "node", "depth", "stops", (pos <= cap).alias("kept"), (F.count(F.lit(1)).over(w) > cap).alias("truncated"))
+
+
+def stable_order(items: DataFrame, needs: DataFrame, group: str) -> DataFrame:
+    """(group, item, pos): topological order of each group that always takes the least ready ``seq``.
+
+    ``items``: group, ``item``, ``seq``; ``needs``: group, ``item``, ``needs`` (within the group,
+    others are ignored).  This is not the order by levels.  A cycle is an error.  Groups are
+    gathered one at a time: a group is one folder or module, whose items fit a task.
+    """
+    import heapq
+
+    kind = items.schema[group].dataType.simpleString()
+    item_kind = items.schema["item"].dataType.simpleString()
+    left = items.select(F.col(group).alias("g"), "item", "seq")
+    right = needs.select(F.col(group).alias("g"), "item", "needs").distinct()
+
+    def order(key, a, b):
+        import pandas as pd
+
+        seq = dict(zip(a["item"], a["seq"]))
+        waits = {i: 0 for i in seq}
+        after: dict = {}
+        for i, n in zip(b["item"], b["needs"]):
+            if i in seq and n in seq and i != n:
+                waits[i] += 1
+                after.setdefault(n, []).append(i)
+        heap = [(seq[i], i) for i, n in waits.items() if not n]
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            _, i = heapq.heappop(heap)
+            out.append(i)
+            for j in after.get(i, ()):
+                waits[j] -= 1
+                if not waits[j]:
+                    heapq.heappush(heap, (seq[j], j))
+        if len(out) < len(seq):
+            raise ValueError(f"the needs of {key[0]} have a cycle")
+        return pd.DataFrame({"g": [key[0]] * len(out), "item": out, "pos": range(len(out))})
+
+    done = left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(order, f"g {kind}, item {item_kind}, pos bigint")
+    return done.withColumnRenamed("g", group)

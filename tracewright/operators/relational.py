@@ -249,3 +249,57 @@ def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values with the place they were first seen at."""
     return df.groupBy(value).agg(F.min(order).alias("seq"))
+
+
+# ---------------------------------------------------------------- selections and lookups
+
+
+def selected(df: DataFrame, name: str, order: str, wanted: Sequence[str]) -> DataFrame:
+    """Rows chosen by 1-based number or by name (case aside), in the order of the request; an unknown token is an error."""
+    spark = df.sparkSession
+    numbered_rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))  # a list to choose from
+    ask = spark.createDataFrame([(i, w.strip()) for i, w in enumerate(wanted)], "request int, token string")
+    hit = ask.join(numbered_rows, (F.col("token") == F.col("_n").cast("string")) | (F.lower("token") == F.lower(name)), "left")
+    checked = hit.withColumn(name, F.when(F.col("_n").isNotNull(), F.col(name)).otherwise(F.raise_error(F.concat(F.lit("no such item: "), F.col("token")))))
+    return checked.drop("_n", "token")
+
+
+def without(df: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not excluded."""
+    return df.join(excluded.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def emptied_kept(groups: DataFrame, members: DataFrame, excluded: DataFrame, by: str, key: str) -> DataFrame:
+    """Per group the members left after an exclusion; groups that lose all stay with none."""
+    left = members.join(excluded.select(key).distinct(), key, "left_anti").groupBy(by).agg(F.sort_array(F.collect_set(key)).alias("members"))
+    return groups.select(by).distinct().join(left, by, "left").withColumn("members", F.coalesce("members", F.array().cast(members.select(F.array(key)).schema[0].dataType)))
+
+
+def chained(links: DataFrame, producers: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Links whose both ends are known and differ: ``producer``, ``consumer`` and their rows' other columns."""
+    p = producers.select(F.col("endpoint").alias("producer"), F.struct("*").alias("p"))
+    c = consumers.select(F.col("endpoint").alias("consumer"), F.struct("*").alias("c"))
+    return links.where("producer <> consumer").join(p, "producer").join(c, "consumer")
+
+
+def blocked(tasks: DataFrame, needs: DataFrame, failed: DataFrame) -> DataFrame:
+    """(id, reasons): the failed needs of each task, sorted."""
+    hit = needs.join(failed.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi")
+    return tasks.select("id").join(hit, "id").groupBy("id").agg(F.sort_array(F.collect_set("needs")).alias("reasons"))
+
+
+def failure_origin(df: DataFrame, by: str, blocked_by: Column, own: Column, gaps: Column) -> DataFrame:
+    """Per group the first origin that applies: blocked, all failures in the gaps, else its own."""
+    return df.groupBy(by).agg(
+        F.when(F.bool_or(blocked_by), "blocked").when(F.bool_and(gaps | ~own), "gap").otherwise("own").alias("origin"), F.count_if(own).alias("failures")
+    )
+
+
+def ordered_first(df: DataFrame, by: str, value: str, order: str, preferred: Column) -> DataFrame:
+    """The least preferred value per group, else the first listed one."""
+    return df.groupBy(by).agg(F.coalesce(F.min(F.when(preferred, F.col(value))), F.min_by(value, order)).alias(value))
+
+
+def partitioned(c: Column, test) -> Column:
+    """The list with the elements that fail the test first, order kept on both sides."""
+    return F.concat(F.filter(c, lambda x: ~test(x)), F.filter(c, test))

@@ -64,7 +64,8 @@ def calls(src: DataFrame) -> DataFrame:
 
     Comments and string literals are taken out first; declarations are no calls.
     """
-    bare = F.regexp_replace(F.regexp_replace("source", r"(?s)/\*.*?\*/|//[^\n]*", " "), r'"(?:\\.|[^"\\\n])*"', '""')
+    # possessive loops: a long literal must not use up the stack
+    bare = F.regexp_replace(F.regexp_replace("source", r"(?s)/\*.*?\*/|//[^\n]*+", " "), r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', '""')
     bare = F.regexp_replace(bare, r"\b(?:public|protected|private)\s[^(){};=]*\([^()]*\)", " ")
     keep = [c for c in src.columns if c != "source"]
     z = F.arrays_zip(F.regexp_extract_all(bare, F.lit(_CALL), F.lit(1)).alias("t"), F.regexp_extract_all(bare, F.lit(_CALL), F.lit(2)).alias("m"))
