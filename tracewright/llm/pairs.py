@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import truncation
-from tracewright.llm.language import LANGUAGES, prose, votes
+from tracewright.llm.language import _HAN, prose, votes
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 
@@ -245,12 +245,12 @@ def is_copy(prompt: str | None, response: str) -> bool:
 
 # ---------------------------------------------------------------- language
 
-#: How a question or task begins or what it asks with, by language.
+#: How a task begins, by language; Chinese ones may stand anywhere in the sentence.
 _ASKS = {
-    "en": r"(?i)\b(?:explain|describe|why (?:does|do|is|are|did)|which (?:part|of|method|class)|how (?:would|does|do|can|should)|what (?:does|do|is|are|would)|summari[sz]e|list (?:what|the|all|every)|translate|rewrite|port this|give the|write the|implement|convert)\b",
-    "zh": r"(?:為什麼|为什么|請解釋|请解释|請說明|请说明|請把|请把|請列出|请列出|請用一|请用一|請提出|请提出|哪一段|哪個|如何處理|怎麼修|依照簽名|改寫成|寫出)",
-    "de": r"(?i)(?:\b(?:erkläre|warum|welche[rs]?|beschreibe|fasse|schreibe|übertrage|nenne|liste|wozu)\b|\bbitte die methode|nach python übertragen|wie arbeiten|was .{1,60} macht)",
-    "es": r"(?i)(?:\b(?:explica|describe cómo|resume|reescribe|pasa este|enumera|traduce|escribe el)\b|¿|por qué|qué hace|qué parte)",
+    "en": r"(?i)^(?:please )?(?:explain|describe|tell|show|compare|summari[sz]e|list|translate|rewrite|port|give|write|implement|convert|which|why|how|what)\b",
+    "zh": r"為什麼|为什么|請解釋|请解释|請說明|请说明|請把|请把|請列出|请列出|請用|请用|請提出|请提出|請移植|请移植|哪一段|哪個|哪个|如何處理|怎麼修|依照簽名|改寫成|寫出",
+    "de": r"(?i)^(?:bitte )?(?:erkläre|beschreibe|fasse|schreibe|übertrage|nenne|liste|vergleiche|warum|welche[rs]?|wozu|wie|was)\b|^bitte die methode|nach python übertragen",
+    "es": r"(?i)^(?:por favor,? )?(?:explica|describe|resume|reescribe|pasa|enumera|traduce|escribe|compara)\b|¿",
 }
 _ASK_RE = {k: re.compile(v) for k, v in _ASKS.items()}
 _NAMES = {
@@ -286,25 +286,28 @@ _SENTENCE_END = re.compile(r"(?<=[.!?。？！])\s*|\n+")
 
 
 def question_language(prompt: str) -> str | None:
-    """Language of the sentence that asks: the last one that looks like a question or task.
+    """Language of the sentence that asks: the last question or task of the prompt.
 
-    Where none does, the language of all the prompt's prose.
+    Where there is none, the language of all the prompt's prose.
     """
     text = prose(prompt)
-    best = None
+    found = None
     for s in _SENTENCE_END.split(text):
         s = s.strip()
         if len(s) < 4 or _WANTS.search(s):
             continue
-        for lang, asks in _ASK_RE.items():
-            if asks.search(s) and (lang == "zh" or not winner(s, 2) or winner(s, 2) == lang):
-                if lang != "zh" and votes(s)["zh"] >= 2:
-                    continue
-                weight = 2 if s.endswith(("?", "？")) or "？" in s else 1
-                if best is None or weight >= best[0]:
-                    best = (weight, lang)
-                break
-    return best[1] if best else winner(text)
+        if len(_HAN.findall(s)) >= 3:
+            if s.endswith("？") or _ASK_RE["zh"].search(s):
+                found = "zh"
+            continue
+        if s.endswith("?"):
+            found = winner(s, 1) or found
+            continue
+        # words of two languages (describe) go by the votes of the rest
+        lang = next((k for k in ("de", "es", "en") if _ASK_RE[k].search(s)), None)
+        if lang:
+            found = winner(s, 2) or lang
+    return found or winner(text)
 
 
 def answer_language(response: str) -> str | None:
