@@ -145,7 +145,24 @@ def test_stalled_reports_once(spark):
 
 def test_streaks(spark):
     d = spark.createDataFrame([("r", i, s) for i, s in enumerate("FFOFOFFF")], "run string, id bigint, s string")
-    assert [r.streak for r in T.failure_streaks(d, ["run"], "id", F.col("s") == "F").orderBy("id").collect()] == [1, 2, 0, 1, 0, 1, 2, 3]
+    for size in (1, 2, 3, 100):
+        got = T.failure_streaks(d, ["run"], "id", F.col("s") == "F", F.floor(F.col("id") / size)).orderBy("id").collect()
+        assert [r.streak for r in got] == [1, 2, 0, 1, 0, 1, 2, 3]
+
+
+def test_buckets_do_not_change_positions_or_predecessors(spark):
+    d = spark.createDataFrame([(i, f"k{i}", None if i % 7 == 0 else f"g{i % 2}", i % 3) for i in range(40)], "id bigint, k string, g string, m int")
+    want_pos, want_prev, last, count = {}, {}, {}, {}
+    for i in range(40):
+        g, m = (None if i % 7 == 0 else f"g{i % 2}"), i % 3
+        count[g] = count.get(g, 0) + 1
+        want_pos[i] = count[g]
+        want_prev[i] = last[g][0] if g in last and last[g][1] == m else None
+        last[g] = (f"k{i}", m)
+    for size in (1, 6, 1000):
+        bucket = F.floor(F.col("id") / size)
+        assert {r.id: r.pos for r in R.position(d, ["g"], ["id"], bucket).collect()} == want_pos
+        assert {r.id: r.previous for r in R.predecessor(d, ["id"], ["m"], "k", ["g"], bucket).collect()} == want_prev
 
 
 def test_tokens(spark):

@@ -166,30 +166,43 @@ def name_tiers(df: DataFrame, name: str, module: str, prefix: str) -> DataFrame:
 # ---------------------------------------------------------------- positional operators
 
 
-def predecessor(df: DataFrame, order: Sequence[str], same: Sequence[str], key: str, parts: Sequence[str]) -> DataFrame:
-    """``previous``: the key of the row before in the total order, where it agrees in ``same``, else null.
+def position(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], bucket: Column) -> DataFrame:
+    """``pos``: the row's number within its group, from 1.
 
-    Rows that can be neighbours share ``parts`` (the leading columns of the order), so the
-    window is cut there: the first row of a part would not agree with the last of another.
+    ``bucket`` must ascend with the order.  Rows are numbered within (group, bucket) and the
+    sizes of the lesser buckets are added, so a group with a third of all rows is no single
+    task's work; only one row per group and bucket goes through a window of the whole group.
     """
-    w = Window.partitionBy(*parts).orderBy(*order)
-    agree = F.lit(True)
-    for c in same:
-        agree = agree & F.lag(c).over(w).eqNullSafe(F.col(c))
-    return df.withColumn("previous", F.when(agree & F.lag(key).over(w).isNotNull(), F.lag(key).over(w)))
+    b = df.withColumns({"_k": F.struct(F.lit(0).alias("_"), *by), "_b": bucket})
+    sizes = b.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(*order))
+    return b.withColumn("_own", own).join(base, ["_k", "_b"]).withColumn("pos", F.col("_base") + F.col("_own")).drop("_k", "_b", "_own", "_base")
 
 
-def numbered(df: DataFrame, order: Sequence[Column], prefix: str, buckets: Column) -> DataFrame:
-    """``number``: ``<prefix>_%03d`` from zero over the total order.
+def predecessor(df: DataFrame, order: Sequence[str], same: Sequence[str], key: str, parts: Sequence[str], bucket: Column) -> DataFrame:
+    """``previous``: the key of the row before in the total order, where it agrees in ``same``, else null.
 
-    Numbered within ``buckets`` (which must ascend with the order) plus the rows of all
-    lesser buckets, so that no task sorts the whole table.
+    Rows that can be neighbours share ``parts`` (the leading columns of the order).  The row
+    before is looked for within (parts, bucket); the first row of a bucket takes the last one
+    of the bucket before, which a table of one row per bucket holds.
     """
-    b = df.withColumn("_b", buckets)
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    pos = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1 + F.col("_base")
-    return b.join(base, "_b").withColumn("number", F.format_string(f"{prefix}_%03d", pos)).drop("_b", "_base")
+    row = F.struct(F.col(key).alias("key"), *[F.col(c).alias(f"s_{c}") for c in same])
+    b = df.withColumns({"_k": F.struct(F.lit(0).alias("_"), *parts), "_b": bucket, "_row": row})
+    lasts = b.groupBy("_k", "_b").agg(F.max_by("_row", F.struct(*order)).alias("_last"))
+    carried = lasts.select("_k", "_b", F.lag("_last").over(Window.partitionBy("_k").orderBy("_b")).alias("_carried"))
+    near = F.lag("_row").over(Window.partitionBy("_k", "_b").orderBy(*order))
+    out = b.withColumn("_near", near).join(carried, ["_k", "_b"]).withColumn("_prev", F.coalesce("_near", "_carried"))
+    agree = F.col("_prev").isNotNull()
+    for c in same:
+        agree = agree & F.col(f"_prev.s_{c}").eqNullSafe(F.col(c))
+    return out.withColumn("previous", F.when(agree, F.col("_prev.key"))).drop("_k", "_b", "_row", "_near", "_carried", "_prev")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], prefix: str, bucket: Column) -> DataFrame:
+    """``number``: ``<prefix>_%03d`` from zero over the total order; see :func:`position` for ``bucket``."""
+    return position(df, [], order, bucket).withColumn("number", F.format_string(f"{prefix}_%03d", F.col("pos") - 1)).drop("pos")
 
 
 def overload_suffix(df: DataFrame, by: Sequence[str], name: str, order: str) -> DataFrame:

@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewright.functions.scalars import as_time
+from tracewright.operators.relational import position
+
+
+#: Ids per bucket of the operators that number rows or look at the row before.
+BUCKET_IDS = 100_000
+
+
+def id_bucket(column: str = "id") -> Column:
+    """Ids in ranges; ascends with the insert order."""
+    return F.floor(F.col(column) / BUCKET_IDS)
 
 
 def point(df: DataFrame, trace_id: str) -> DataFrame:
@@ -29,8 +39,7 @@ def matching(df: DataFrame, *, status: str | None = None, run_id: str | None = N
 
 def of_task(df: DataFrame, task_id: str, run_id: str | None = None) -> DataFrame:
     """Calls of a task, numbered in insert order."""
-    out = matching(df.where(F.col("task_id") == task_id), run_id=run_id)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("task_id").orderBy("id")))
+    return position(matching(df.where(F.col("task_id") == task_id), run_id=run_id), ["task_id"], ["id"], id_bucket())
 
 
 def of_target(df: DataFrame, file: str, cls: str | None, fn: str) -> DataFrame:
@@ -74,8 +83,8 @@ def latest_run(df: DataFrame) -> DataFrame:
 
 
 def newest_first(df: DataFrame, by: str = "id", within: Sequence[str] = ()) -> DataFrame:
-    """Position of each row from the newest, within groups (a global position needs one task and is not offered)."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by))))
+    """``pos``: each row's number from the newest, within its group."""
+    return position(df, within, [F.desc(by)], -id_bucket(by))
 
 
 def newest_running(df: DataFrame) -> DataFrame:
@@ -124,9 +133,24 @@ def orphans(files: DataFrame, keys: DataFrame, cutoff: Column) -> DataFrame:
     return files.where(F.col("modified") < cutoff).join(keys.select("key").where("key is not null").distinct(), "key", "left_anti")
 
 
-def failure_streaks(df: DataFrame, by: Sequence[str], order: str, failed: Column) -> DataFrame:
-    """Consecutive failures: each row's length of the failure run that ends at it (0 after a success)."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(w)
-    run = Window.partitionBy(*by, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("failed", failed).withColumn("island", island).withColumn("streak", F.sum(F.col("failed").cast("bigint")).over(run)).drop("island")
+def failure_streaks(df: DataFrame, by: Sequence[str], order: str, failed: Column, bucket: Column) -> DataFrame:
+    """Consecutive failures: each row's length of the failure run that ends at it (0 after a success).
+
+    ``bucket`` must ascend with the order.  Runs are counted within (group, bucket); a run
+    that reaches the beginning of its bucket goes on from the run that ends the buckets
+    before, which is carried over a table of one row per group and bucket.
+    """
+    b = df.withColumns({"_k": F.struct(F.lit(0).alias("_"), *by), "_b": bucket, "failed": failed})
+    upto = Window.partitionBy("_k", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(upto))
+    run = Window.partitionBy("_k", "_b", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_own", F.sum(F.col("failed").cast("bigint")).over(run))
+    # per bucket: the run that ends it, and whether a success stands in it
+    ends = b.groupBy("_k", "_b").agg(F.max_by("_own", order).alias("_tail"), F.max((~F.col("failed")).cast("int")).alias("_broken"))
+    since = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_island", F.sum("_broken").over(since))
+    within = Window.partitionBy("_k", "_island").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_sum", F.sum("_tail").over(within))
+    carried = ends.select("_k", "_b", F.coalesce(F.lag("_sum").over(Window.partitionBy("_k").orderBy("_b")), F.lit(0)).alias("_carried"))
+    streak = F.when(F.col("failed") & (F.col("_island") == 0), F.col("_own") + F.col("_carried")).otherwise(F.col("_own"))
+    return b.join(carried, ["_k", "_b"]).withColumn("streak", streak).drop("_k", "_b", "_island", "_own", "_carried")

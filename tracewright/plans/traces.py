@@ -171,7 +171,7 @@ def snk14_orphan_payloads(spark, sf_dir):
     """,
 )
 def st05_failure_streaks(spark, sf_dir):
-    return T.failure_streaks(_traces(spark, sf_dir), ["run_id"], "id", F.col("status").isin("error", "timeout")).select("id", "run_id", "streak")
+    return T.failure_streaks(_traces(spark, sf_dir), ["run_id"], "id", F.col("status").isin("error", "timeout"), T.id_bucket()).select("id", "run_id", "streak")
 
 
 @core.add(
@@ -271,7 +271,7 @@ def a23_size_threshold(spark, sf_dir):
     """.replace("QUALIFY true ", ""),
 )
 def w01_predecessor(spark, sf_dir):
-    return R.predecessor(_traces(spark, sf_dir), ["id"], ["vendor"], "trace_id", ["run_id", "vendor"]).select("id", "previous")
+    return R.predecessor(_traces(spark, sf_dir), ["id"], ["vendor"], "trace_id", ["run_id", "vendor"], T.id_bucket()).select("id", "previous")
 
 
 @core.add(
@@ -281,12 +281,12 @@ def w01_predecessor(spark, sf_dir):
     """,
 )
 def w01_predecessor_same_model(spark, sf_dir):
-    return R.predecessor(_traces(spark, sf_dir), ["attempt", "id"], ["model"], "trace_id", ["run_id"]).select("id", "previous")
+    return R.predecessor(_traces(spark, sf_dir), ["attempt", "id"], ["model"], "trace_id", ["run_id"], F.struct("attempt", T.id_bucket().alias("b"))).select("id", "previous")
 
 
 @core.add("w02_stable_numbering", "SELECT id, printf('task_%03d', row_number() OVER (ORDER BY id) - 1) AS number FROM llm_traces")
 def w02_stable_numbering(spark, sf_dir):
-    return R.numbered(_traces(spark, sf_dir), [F.col("id")], "task", F.floor(F.col("id") / 1000)).select("id", "number")
+    return R.numbered(_traces(spark, sf_dir), [F.col("id")], "task", T.id_bucket()).select("id", "number")
 
 
 @core.add(
