@@ -41,10 +41,16 @@ def corpus(seed, n=60, alphabet="abc中d👍 "):
     return rows
 
 
-@pytest.mark.parametrize("least,seed", [(200, 1), (100, 2), (60, 3), (35, 4)])
-def test_against_brute_force(spark, least, seed):
+@pytest.mark.parametrize("least,seed,fan_out", [(200, 1, 4096), (100, 2, 2), (60, 3, 4096), (35, 4, 3)])
+def test_against_brute_force(spark, least, seed, fan_out):
     rows = corpus(seed)
-    assert run(spark, rows, least, group_bytes=4000) == brute(rows, least)
+    assert run(spark, rows, least, group_bytes=2000, fan_out=fan_out) == brute(rows, least)
+
+
+def test_buckets():
+    assert S._buckets(100, 4096) == (100, 1)
+    coarse, fine = S._buckets(1_000_000, 4096)
+    assert coarse * fine >= 1_000_000 and max(coarse, fine) <= 4096
 
 
 def test_edges(spark):

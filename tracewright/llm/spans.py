@@ -19,13 +19,15 @@ owner of a hash, an aggregate that combines ahead of the shuffle.  The rows lie
 groups; a group sends each distinct hash once with its least and greatest owner, so a text
 held by a third of all rows arrives once per group, and the answer goes back to groups,
 not rows.  Hashes move as packed columns (8 bytes an anchor; 12 a candidate window), as
-rows of their own they would take four times the shuffle.  The two exchanges that carry
+rows of their own they would take four times the shuffle.  Where there are more buckets
+than a task can fill with blocks of some size, they move in two steps.  The two exchanges that carry
 text are each read twice by the same plan, so Spark reuses them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +51,8 @@ COVERS = {
 MIN_WINDOW = 32
 #: UTF-8 bytes of text per hash group; one group is one unit of work in a Python worker.
 GROUP_BYTES = 16 << 20
+#: Buckets one exchange of packed hashes fills; with more it is done in two steps.
+FAN_OUT = 4096
 #: Code points hashed at a time.
 CHUNK_CHARS = 1 << 20
 #: Hashes gathered before they are packed and sent.
@@ -146,13 +150,13 @@ def _anchors(lens: np.ndarray, period: int, cover: tuple[int, ...], window: int)
 
 
 class _Sender:
-    """Gathers (hash, group, owner) and packs distinct ones by bucket."""
+    """Gathers (hash, group, least and greatest owner) and packs distinct ones by bucket."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, bucket_of: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.bucket_of, self.parts, self.size = bucket_of, [], 0
 
-    def add(self, h: np.ndarray, tail: np.ndarray, group: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((h, tail, group, owner))
+    def add(self, h: np.ndarray, tail: np.ndarray, group: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((h, tail, group, least, most))
         self.size += len(h)
         if self.size >= BLOCK_HASHES:
             yield from self.flush()
@@ -160,32 +164,70 @@ class _Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        h, tail, group, owner = (np.concatenate(c) for c in zip(*self.parts))
+        h, tail, group, least, most = (np.concatenate(c) for c in zip(*self.parts))
         self.parts, self.size = [], 0
         # rows arrive in order, so equal owners stand together and compress well; only hashes
         # that recur in a group need to be combined
         order = np.lexsort((group, tail, h))
         same = (h[order][1:] == h[order][:-1]) & (tail[order][1:] == tail[order][:-1]) & (group[order][1:] == group[order][:-1])
         cut = np.flatnonzero(np.concatenate([[True], ~same]))
-        least, most = np.minimum.reduceat(owner[order], cut), np.maximum.reduceat(owner[order], cut)
+        least, most = np.minimum.reduceat(least[order], cut), np.maximum.reduceat(most[order], cut)
         keep = order[cut]  # lexsort is stable: the first row of its kind
         back = np.argsort(keep)
         keep, least, most = keep[back], least[back], most[back]
-        bucket = (h[keep] % _U(self.buckets)).astype(np.int64)
+        bucket = self.bucket_of(h[keep])
         by = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            i = by[edges[b] : edges[b + 1]]
-            if len(i):
-                k = keep[i]
-                mixed = np.flatnonzero(least[i] != most[i]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b], pa.int32()),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (h[k], tail[k], group[k].astype(np.int32), least[i], mixed, most[i][mixed])),
-                    ],
-                    names=_BLOCK,
-                )
+        names, first = np.unique(bucket[by], return_index=True)
+        for b, i in zip(names.tolist(), np.split(by, first[1:])):
+            k = keep[i]
+            mixed = np.flatnonzero(least[i] != most[i]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b], pa.int32()),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (h[k], tail[k], group[k].astype(np.int32), least[i], mixed, most[i][mixed])),
+                ],
+                names=_BLOCK,
+            )
+
+
+def _buckets(groups: int, fan_out: int) -> tuple[int, int]:
+    """(coarse, fine): buckets of the one exchange, or of the first and of each second one.
+
+    A task fills as many blocks as there are buckets; beyond ``fan_out`` they would hold a few
+    hashes each, so hashes are then spread in two exchanges, as a radix sort does.
+    """
+    if groups <= fan_out:
+        return groups, 1
+    coarse = math.ceil(math.sqrt(groups))
+    return coarse, math.ceil(groups / coarse)
+
+
+def _unpacked(block: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, tail, group, least, most) of packed blocks."""
+    cols = {n: block.column(n).to_pylist() for n in _BLOCK[1:]}
+    kinds = {"h": _U, "tail": np.uint32, "grp": np.int32, "least": np.int64}
+    h, tail, grp, least = (np.concatenate([np.frombuffer(x, kinds[n]) for x in cols[n]]) for n in kinds)
+    most, base = least.copy(), 0
+    for x, m, v in zip(cols["h"], cols["mixed"], cols["most"]):
+        most[base + np.frombuffer(m, np.int32)] = np.frombuffer(v, np.int64)
+        base += len(x) // 8
+    return h, tail, grp, least, most
+
+
+def _exchange(sent: DataFrame, coarse: int, fine: int) -> DataFrame:
+    """The hashes of packed blocks that two owners have, back to each group that holds them."""
+    if fine > 1:
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = _Sender(lambda h: ((h % _U(coarse)) * _U(fine) + (h // _U(coarse)) % _U(fine)).astype(np.int64))
+            for b in batches:
+                if b.num_rows:
+                    h, tail, grp, least, most = _unpacked(b)
+                    yield from out.add(h, tail, grp.astype(np.int64), least, most)
+            yield from out.flush()
+
+        sent = sent.repartition(coarse, "bucket").mapInArrow(spread, _BLOCK_SCHEMA)
+    return sent.groupBy("bucket").applyInArrow(_receive, _BACK_SCHEMA)
 
 
 _BLOCK = ["bucket", "h", "tail", "grp", "least", "mixed", "most"]
@@ -195,15 +237,7 @@ _BACK_SCHEMA = "gid int, h binary, tail binary"
 
 def _receive(block: pa.Table) -> pa.Table:
     """Of one bucket: the hashes two owners have, back to each group that holds them."""
-    cols = {n: block.column(n).to_pylist() for n in _BLOCK[1:]}
-    kinds = {"h": _U, "tail": np.uint32, "grp": np.int32, "least": np.int64, "mixed": np.int32, "most": np.int64}
-    h, grp, least = (np.concatenate([np.frombuffer(x, kinds[n]) for x in cols[n]]) for n in ("h", "grp", "least"))
-    tails = [np.frombuffer(x, np.uint32) for x in cols["tail"]]
-    tail = np.concatenate(tails) if any(map(len, tails)) else np.zeros(len(h), np.uint32)
-    most, base = least.copy(), 0
-    for x, m, v in zip(cols["h"], cols["mixed"], cols["most"]):
-        most[base + np.frombuffer(m, np.int32)] = np.frombuffer(v, np.int64)
-        base += len(x) // 8
+    h, tail, grp, least, most = _unpacked(block)
     order = np.lexsort((tail, h))
     hs, ts = h[order], tail[order]
     cut = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])]))
@@ -226,8 +260,7 @@ def _known(back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if not back.num_rows:
         return np.zeros(0, _U), np.zeros(0, np.uint32)
     h = np.concatenate([np.frombuffer(x, _U) for x in back.column("h").to_pylist()])
-    tails = [np.frombuffer(x, np.uint32) for x in back.column("tail").to_pylist()]
-    tail = np.concatenate(tails) if any(map(len, tails)) else np.zeros(len(h), np.uint32)
+    tail = np.concatenate([np.frombuffer(x, np.uint32) for x in back.column("tail").to_pylist()])
     order = np.lexsort((tail, h))
     return h[order], tail[order]
 
@@ -268,7 +301,7 @@ def _candidate_windows(cp: np.ndarray, lens: np.ndarray, spans: list[np.ndarray]
     )
 
 
-def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: int = 200, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: int = 200, group_bytes: int = GROUP_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """(``key``, ``shared_chars``) of every row with at least one shared run.
 
     ``shared_chars`` is the number of code points of ``text`` that lie in runs of
@@ -287,6 +320,7 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
     key_kind = rows.schema["key"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("txt"))).first()[0]
     groups = groups_for(spark, total, group_bytes)
+    coarse, fine = _buckets(groups, fan_out)
 
     def grouped(d: DataFrame, gid: Column) -> DataFrame:
         return d.withColumn("gid", gid).repartition(groups, "gid")
@@ -294,14 +328,14 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
     texts = grouped(rows, F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Sender(groups)
+        out = _Sender(lambda h: (h % _U(coarse)).astype(np.int64))
         for b in batches:
             own = b.column("owner").to_numpy(zero_copy_only=False)
             gid = b.column("gid").to_numpy(zero_copy_only=False)
             for first, cp, lens in _chunks(b.column("txt")):
                 row, at = _anchors(lens, period, cover, window)
                 h = Hasher(cp).windows(at, window)
-                yield from out.add(h, np.zeros(len(h), np.uint32), gid[first + row].astype(np.int64), own[first + row])
+                yield from out.add(h, np.zeros(len(h), np.uint32), gid[first + row].astype(np.int64), own[first + row], own[first + row])
         yield from out.flush()
 
     def find_candidates(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -323,7 +357,7 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
         return got.append_column("spans", pa.array(spans, pa.binary()))
 
     cand_schema = f"key {key_kind}, owner bigint, txt string, gid int, spans binary"
-    hits = texts.mapInArrow(send_anchors, _BLOCK_SCHEMA).groupBy("bucket").applyInArrow(_receive, _BACK_SCHEMA)
+    hits = _exchange(texts.mapInArrow(send_anchors, _BLOCK_SCHEMA), coarse, fine)
     found = texts.groupBy("gid").cogroup(hits.groupBy("gid")).applyInArrow(find_candidates, cand_schema)
     cand = found.repartition(groups, "gid")
 
@@ -334,12 +368,12 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
             yield first, lens, *_candidate_windows(cp, lens, mine, min_chars)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Sender(groups)
+        out = _Sender(lambda h: (h % _U(coarse)).astype(np.int64))
         for b in batches:
             own = b.column("owner").to_numpy(zero_copy_only=False)
             gid = b.column("gid").to_numpy(zero_copy_only=False)
             for first, _, row, _, h, tail in each_chunk(b):
-                yield from out.add(h, tail, gid[first + row].astype(np.int64), own[first + row])
+                yield from out.add(h, tail, gid[first + row].astype(np.int64), own[first + row], own[first + row])
         yield from out.flush()
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -362,7 +396,7 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
         got = np.concatenate(chars) if chars else np.zeros(0, np.int64)
         return pa.table({"key": left.column("key").take(pa.array(index, pa.int64())), "shared_chars": pa.array(got, pa.int64())})
 
-    shared = cand.mapInArrow(send_windows, _BLOCK_SCHEMA).groupBy("bucket").applyInArrow(_receive, _BACK_SCHEMA)
+    shared = _exchange(cand.mapInArrow(send_windows, _BLOCK_SCHEMA), coarse, fine)
     result = cand.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(measure, f"key {key_kind}, shared_chars bigint")
     return result.withColumnRenamed("key", key)
 
