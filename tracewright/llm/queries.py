@@ -97,9 +97,9 @@ def p2_found(spark, sf_dir):
 
 @llm.add("p2_redacted")
 def p2_redacted(spark, sf_dir):
-    from tracewright.llm.credentials import redact_text
+    from tracewright.llm.credentials import redacted
 
-    return redact_text(read_table(spark, sf_dir, "llm_traces"), "id", "prompt")
+    return redacted(read_table(spark, sf_dir, "llm_traces"), read_table(spark, sf_dir, "grading_controller"))
 
 
 @llm.add("p5_found")
