@@ -107,3 +107,12 @@ def test_windowed_rates(spark, tmp_path):
         assert [(r.calls, r.errors, r.mean_latency) for r in spark.table("rates").collect()] == [(2, 1, 20.0)]
     finally:
         q.stop()
+
+
+def test_drained_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [("a", 1, "r", "2031-01-01T00:10:00Z", "ok", 10, None, "m"), ("b", 2, "r", "2031-01-01T01:10:00Z", "timeout", 30, None, "m")]
+    for r in rows:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+    out = E.drained(E.call_rates(E.read_traces(spark, str(src), SCHEMA, 1)), str(tmp_path / "out"))
+    assert sorted((r.calls, r.errors) for r in out.collect()) == [(1, 0), (1, 1)]

@@ -9,8 +9,8 @@ from tracewright.operators import graphs as G
 from tracewright.operators import relational as R
 from tracewright.operators import sourcecode as J
 from tracewright.plans import core
-from tracewright.session import read_table
-from tracewright.sources.readers import resolved_fill
+from tracewright.session import ensure_checkpoint_dir, read_table
+from tracewright.sources.readers import recorded, resolved_fill
 
 _FILES = "f AS (SELECT unit_id, pos, c.class_name AS class_name, coalesce(c.source, '') AS source FROM (SELECT unit_id, unnest(classes) AS c, unnest(range(len(classes))) AS pos FROM map_units))"
 
@@ -195,3 +195,80 @@ def o06_stable_order(spark, sf_dir):
     items = p.select("p_brand", F.col("p_partkey").alias("item"), (F.col("p_size") * 1_000_000 + F.col("p_partkey")).alias("seq"))
     needs = p.where("p_partkey > 0").select("p_brand", F.col("p_partkey").alias("item"), F.expr("p_partkey div 2").alias("needs"))
     return G.stable_order(items, needs, "p_brand")
+
+
+@core.add("j10_type_classes")
+def j10_type_classes(spark, sf_dir):
+    facts = J.class_facts(_files(spark, sf_dir))
+    return J.type_classes(facts.select(F.explode("implements").alias("name")).unionByName(facts.select(F.col("class_name").alias("name"))).where("name <> ''").distinct(), facts)
+
+
+@core.add("e18_unresolved_imports", rf"WITH {_FILES}, i AS (SELECT DISTINCT unit_id, unnest(regexp_extract_all(source, '(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;', 1)) AS name FROM f) SELECT unit_id, count(*) AS missing FROM i WHERE name NOT IN (SELECT regexp_extract(source, '(?m)^\s*package\s+([\w.]+)\s*;', 1) || '.' || class_name FROM f WHERE class_name IS NOT NULL) GROUP BY unit_id")
+def e18_unresolved_imports(spark, sf_dir):
+    facts = J.class_facts(_files(spark, sf_dir))
+    wanted = facts.select("unit_id", F.explode("imports").alias("name")).distinct()
+    known = facts.where("class_name is not null").select(F.concat(F.coalesce("package", F.lit("")), F.lit("."), "class_name").alias("name")).distinct()
+    return wanted.join(known, "name", "left_anti").groupBy("unit_id").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@core.add("e20_candidate_names", r"SELECT id, len(list_distinct(regexp_extract_all(prompt, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'))) AS names FROM llm_traces WHERE prompt IS NOT NULL AND regexp_full_match(prompt, '[ -~\s]*')")
+def e20_candidate_names(spark, sf_dir):
+    t = read_table(spark, sf_dir, "llm_traces").where(F.col("prompt").rlike(r"^[ -~\s]*$"))
+    return t.select("id", F.size(F.array_distinct(F.regexp_extract_all("prompt", F.lit(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), F.lit(0)))).cast("bigint").alias("names"))
+
+
+@core.add("e09_listing", "SELECT target_file AS file FROM llm_traces WHERE target_file IS NOT NULL UNION SELECT c.file_path FROM (SELECT unnest(classes) AS c FROM map_units) WHERE c.file_path IS NOT NULL")
+def e09_listing(spark, sf_dir):
+    t = read_table(spark, sf_dir, "llm_traces").select(F.col("target_file").alias("file"))
+    c = read_table(spark, sf_dir, "map_units").select(F.explode("classes").alias("c")).select(F.col("c.file_path").alias("file"))
+    return t.unionByName(c).where("file is not null").distinct()
+
+
+@core.add("f25_parent_folder", "SELECT id FROM llm_traces WHERE string_split(target_file, '/')[-2] IN ('exam', 'audit', 'review')")
+def f25_parent_folder(spark, sf_dir):
+    parts = F.split("target_file", "/")
+    return read_table(spark, sf_dir, "llm_traces").where(F.get(parts, F.size(parts) - 2).isin("exam", "audit", "review")).select("id")
+
+
+@core.add("f24_target_files", "SELECT id, array_to_string(list_filter([target_file, CASE WHEN attempt > 0 THEN class_name END, prompt_payload_key], lambda x: x IS NOT NULL), ',') AS files FROM llm_traces")
+def f24_target_files(spark, sf_dir):
+    own = F.array("target_file", F.when(F.col("attempt") > 0, F.col("class_name")), "prompt_payload_key")
+    return read_table(spark, sf_dir, "llm_traces").select("id", F.array_join(F.filter(own, lambda x: x.isNotNull()), ",").alias("files"))
+
+
+@core.add(
+    "c06_recordable",
+    """
+    SELECT golden_id, response.body IS NULL OR trim(response.body) = '' OR json_valid(response.body) AS kept,
+      request.method IN ('POST', 'PUT', 'PATCH', 'DELETE') AND NOT coalesce(response.status_code BETWEEN 200 AND 299, false) AS anomaly FROM golden WHERE request.method IS NOT NULL
+    """,
+)
+def c06_recordable(spark, sf_dir):
+    g = read_table(spark, sf_dir, "golden").where("request.method is not null")
+    e = g.select("golden_id", F.col("request.method").alias("method"), F.col("response.status_code").alias("status_code"), F.lit("application/json").alias("content_type"), F.col("response.body").alias("body"))
+    return recorded(e, F.col("method").isin("POST", "PUT", "PATCH", "DELETE")).select("golden_id", "kept", "anomaly")
+
+
+@core.add("x16_json_get", "SELECT golden_id, json_extract_string(response.body, '$.code') AS code, json_exists(response.body, '$.data') AS has_data FROM golden WHERE json_valid(response.body) AND json_type(response.body) = 'OBJECT'")
+def x16_json_get(spark, sf_dir):
+    b = F.col("response.body")
+    g = read_table(spark, sf_dir, "golden").where(F.try_parse_json(b).isNotNull() & F.json_object_keys(b).isNotNull())
+    return g.select("golden_id", F.get_json_object(b, "$.code").alias("code"), X.json_has(b, "data").alias("has_data"))
+
+
+@core.add(
+    "st10_stream_rates",
+    """
+    SELECT date_trunc('hour', make_timestamp(epoch_us(CAST(ts AS TIMESTAMPTZ)))) AS hour, model, count(*) AS calls, count(*) FILTER (status IN ('error', 'timeout')) AS errors FROM llm_traces GROUP BY ALL
+    """,
+)
+def st10_stream_rates(spark, sf_dir):
+    """The trace file read as a stream to its end: windows of an hour in event time."""
+    import uuid
+
+    from tracewright.streaming import events as E
+
+    path = f"{sf_dir}/llm_traces.parque[t]"  # a pattern, so that a single file will do as well as a folder
+    stream = E.read_traces(spark, path, read_table(spark, sf_dir, "llm_traces").schema)
+    out = E.drained(E.call_rates(stream, late="3650 days"), f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return out.select(F.col("from").cast("timestamp_ntz").alias("hour"), "model", "calls", "errors")

@@ -78,3 +78,17 @@ def call_rates(stream: DataFrame, *, window: str = "1 hour", slide: str | None =
 def read_traces(spark, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """Trace files as a stream, so many new files at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All the input there is, run to its end: the complete result as the last batch left it.
+
+    ``folder`` is a place all executors share; the query's checkpoint and result lie in it.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
