@@ -257,6 +257,15 @@ def test_verify(spark):
     assert got == {"1": "value_mismatch", "2": "status_code_mismatch", "3": "response_not_json", "4": "status_code_mismatch"}
 
 
+def test_repeated_cases_are_not_multiplied_and_deep_bodies_do_not_crash(spark):
+    s = "c string, status_code int, body string"
+    deep = '{"a":' * 950 + "[2,1]" + "}" * 950
+    g = spark.createDataFrame([("1", 200, "{}"), ("1", 200, "{}"), ("2", 200, deep)], s)
+    a = spark.createDataFrame([("1", 200, "{}"), ("2", 200, deep.replace("[2,1]", "[1,2]"))], s)
+    got = D.verify(g, a, ["c"]).collect()
+    assert sorted((r.c, r.passed) for r in got) == [("1", True), ("1", True), ("2", False)]
+
+
 def test_taint_and_strip(spark):
     d = spark.createDataFrame([("f", 1, 500), ("f", 2, 200), ("g", 3, None)], "folder string, id bigint, st int")
     assert rows(D.tainted(d, "folder", F.col("st") >= 500).select("id", "tainted")) == [(1, True), (2, True), (3, False)]

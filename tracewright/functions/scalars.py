@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.documents import column, split_top_level
+
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -160,19 +162,6 @@ JAVA_TYPES = {
 _LISTS = ("List", "Set", "Collection", "Iterable", "Page", "Stream")
 
 
-def _top_commas(s: str) -> list[str]:
-    """Split at commas outside of ``<>``."""
-    out, depth, cur = [], 0, ""
-    for ch in s:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    return [*out, cur.strip()]
-
-
 def map_type(t: str | None) -> str | None:
     """Generic type text mapped recursively; ``Map`` needs exactly two arguments."""
     if t is None:
@@ -185,7 +174,7 @@ def map_type(t: str | None) -> str | None:
         return t
     if not rest.endswith(">"):
         raise ValueError(f"unbalanced type: {t}")
-    args = [map_type(a) for a in _top_commas(rest[:-1])]
+    args = [map_type(a) for a in split_top_level(rest[:-1])]
     if head in ("Map", "HashMap", "LinkedHashMap"):
         if len(args) != 2:
             raise ValueError(f"Map needs two arguments: {t}")
@@ -198,13 +187,5 @@ def map_type(t: str | None) -> str | None:
 
 
 def map_type_udf():
-    """``map_type`` over Arrow batches; each distinct type is mapped once per batch."""
-    import pandas as pd
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    def run(s):
-        codes, values = pd.factorize(s)
-        mapped = [map_type(v) for v in values]
-        return pd.Series([mapped[c] if c >= 0 else None for c in codes], dtype=object)
-
-    return pandas_udf(run, "string", PandasUDFType.SCALAR)
+    """``map_type`` as a column function."""
+    return column(map_type)

@@ -14,7 +14,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tracewright.operators.relational import with_group
 
 MASK = "<<MASKED>>"
 
@@ -81,8 +82,12 @@ def canonical(v) -> str:
     return f"{type(v).__name__}:{json.dumps(v)}"
 
 
-def _same(a, b) -> bool:
-    return type(a) is type(b) and (a == b if not isinstance(a, (dict, list)) else json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True))
+def same_bag(a, b) -> bool:
+    """Equal but for the order in arrays; documents too deep to be compared are different."""
+    try:
+        return canonical(a) == canonical(b)
+    except RecursionError:
+        return False
 
 
 def differences(golden, actual) -> list[tuple[str, str]]:
@@ -104,9 +109,6 @@ def differences(golden, actual) -> list[tuple[str, str]]:
     return out
 
 
-_DIFF_SCHEMA = "case_key string, body_class string, diffs array<struct<kind:string,way:string>>"
-
-
 def _load(text: str | None):
     try:
         return text is not None, (json.loads(text) if text is not None else None)
@@ -114,10 +116,10 @@ def _load(text: str | None):
         return True, text
 
 
-def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Sequence[str] = ()) -> DataFrame:
-    """(case_key, body_class, diffs) for rows of ``case_key``, ``golden_body``, ``actual_body``.
+def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Sequence[str] = (), keep: Sequence[str] = ("case_key",)) -> DataFrame:
+    """The ``keep`` columns, ``body_class`` and ``diffs`` for rows of ``golden_body`` and ``actual_body``.
 
-    ``body_class``: equal, body_presence_mismatch, array_order_only, missing_fields,
+    Row-local, repeated rows give repeated results.  ``body_class``: equal, body_presence_mismatch, array_order_only, missing_fields,
     type_mismatch or value_mismatch.  Null against null is equal, null against anything else
     a presence mismatch; an empty object is not null.  ``ignore_order`` lists ways whose
     arrays are compared as bags.  A text that is no JSON counts as a text value.
@@ -129,8 +131,8 @@ def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Seque
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masker = Masker(context)
         for b in batches:
-            keys, classes, diffs = b.column(0), [], []
-            for g, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            classes, diffs = [], []
+            for g, a in zip(b.column("__golden").to_pylist(), b.column("__actual").to_pylist()):
                 (has_g, golden), (has_a, actual) = _load(g), _load(a)
                 found: list[tuple[str, str]] = []
                 if has_g != has_a:
@@ -145,7 +147,7 @@ def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Seque
                     names = {k for k, _ in found}
                     if not found:
                         kind = "equal"
-                    elif canonical(golden) == canonical(actual):
+                    elif same_bag(golden, actual):
                         kind = "array_order_only"
                     elif names & {"missing_key", "missing_item", "added_key", "added_item"}:
                         kind = "missing_fields"
@@ -156,10 +158,13 @@ def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Seque
                 classes.append(kind)
                 diffs.append([{"kind": k, "way": w} for k, w in found])
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.string()), pa.array(classes, pa.string()), pa.array(diffs, pa.list_(pa.struct([("kind", pa.string()), ("way", pa.string())])))], ["case_key", "body_class", "diffs"]
+                [*b.columns[:-2], pa.array(classes, pa.string()), pa.array(diffs, pa.list_(pa.struct([("kind", pa.string()), ("way", pa.string())])))],
+                [*b.schema.names[:-2], "body_class", "diffs"],
             )
 
-    return pairs.select(F.col("case_key").cast("string").alias("case_key"), "golden_body", "actual_body").mapInArrow(run, _DIFF_SCHEMA)
+    narrow = pairs.select(*keep, F.col("golden_body").alias("__golden"), F.col("actual_body").alias("__actual"))
+    kept = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in narrow.schema.fields[:-2])
+    return narrow.mapInArrow(run, kept + "body_class string, diffs array<struct<kind:string,way:string>>")
 
 
 def _at(doc, way: str):
@@ -173,7 +178,7 @@ def _at(doc, way: str):
 
 def _covered(way: str, ignore_order: Sequence[str], golden, actual) -> bool:
     """Does the difference lie in an array that is equal as a bag and listed to be compared so?"""
-    return any(way.startswith(w) and canonical(_at(golden, w)) == canonical(_at(actual, w)) for w in ignore_order)
+    return any(way.startswith(w) and same_bag(_at(golden, w), _at(actual, w)) for w in ignore_order)
 
 
 #: What to look at for each failure class.
@@ -212,18 +217,17 @@ def verify(golden: DataFrame, actual: DataFrame, keys: Sequence[str], context: s
     """
     g = golden.select(*keys, F.col("status_code").alias("golden_status"), F.col("body").alias("golden_body"))
     a = actual.select(*keys, F.col("status_code").alias("actual_status"), F.col("body").alias("actual_body"))
-    pairs = g.join(a, list(keys), "left").withColumn("case_key", F.to_json(F.struct(*keys)))
-    diffs = diff_bodies(pairs, context)
     status_equal = F.col("golden_status").eqNullSafe(F.col("actual_status"))
     not_json = F.col("actual_body").isNotNull() & (F.length(F.trim("actual_body")) > 0) & F.try_parse_json("actual_body").isNull()
-    cls = failure_class(F.lit(False), not_json, status_equal, F.col("body_class"))
-    out = pairs.join(diffs, "case_key").withColumn("failure_type", cls)
-    return out.select(*keys, "golden_status", "actual_status", status_equal.alias("status_match"), "body_class", F.size("diffs").alias("diff_count"), "failure_type", hint(F.col("failure_type")).alias("debug_hint"), F.col("failure_type").isNull().alias("passed"))
+    pairs = g.join(a, list(keys), "left").withColumns({"status_match": status_equal, "_not_json": not_json})
+    diffs = diff_bodies(pairs, context, keep=(*keys, "golden_status", "actual_status", "status_match", "_not_json"))
+    out = diffs.withColumn("failure_type", failure_class(F.lit(False), F.col("_not_json"), F.col("status_match"), F.col("body_class")))
+    return out.select(*keys, "golden_status", "actual_status", "status_match", "body_class", F.size("diffs").alias("diff_count"), "failure_type", hint(F.col("failure_type")).alias("debug_hint"), F.col("failure_type").isNull().alias("passed"))
 
 
 def tainted(df: DataFrame, folder: str, anomaly: Column) -> DataFrame:
     """``tainted``: some case of the folder is an anomaly, so none of its cases counts."""
-    return df.withColumn("tainted", F.bool_or(F.coalesce(anomaly, F.lit(False))).over(Window.partitionBy(folder)))
+    return with_group(df, [folder], tainted=F.bool_or(F.coalesce(anomaly, F.lit(False))))
 
 
 def paths(df: DataFrame, key: str, body: str) -> DataFrame:

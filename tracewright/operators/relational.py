@@ -155,12 +155,22 @@ def over_budget(df: DataFrame, by: str, text: str, budget: int) -> DataFrame:
     return df.groupBy(by).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).withColumn("trim", F.col("bytes") > budget)
 
 
+def with_group(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Each row with aggregates of its group, nulls in the keys being a group.
+
+    An aggregate and a join instead of a window: the aggregate combines ahead of the shuffle,
+    and no task holds the rows of a group.
+    """
+    k = F.struct(F.lit(0).alias("_"), *by)
+    agg = df.groupBy(k.alias("_k")).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return df.withColumn("_k", k).join(agg, "_k").drop("_k")
+
+
 def name_tiers(df: DataFrame, name: str, module: str, prefix: str) -> DataFrame:
     """The shortest unique name: bare, with its module, or with its prefix too."""
-    per_name = F.count(F.lit(1)).over(Window.partitionBy(name))
-    per_module = F.count(F.lit(1)).over(Window.partitionBy(name, module))
-    label = F.when(per_name == 1, F.col(name)).when(per_module == 1, F.concat_ws("_", name, module)).otherwise(F.concat_ws("_", name, module, prefix))
-    return df.withColumn("label", label)
+    counted = with_group(with_group(df, [name], _names=F.count(F.lit(1))), [name, module], _pairs=F.count(F.lit(1)))
+    label = F.when(F.col("_names") == 1, F.col(name)).when(F.col("_pairs") == 1, F.concat_ws("_", name, module)).otherwise(F.concat_ws("_", name, module, prefix))
+    return counted.withColumn("label", label).drop("_names", "_pairs")
 
 
 # ---------------------------------------------------------------- positional operators
@@ -205,17 +215,17 @@ def numbered(df: DataFrame, order: Sequence[Column], prefix: str, bucket: Column
     return position(df, [], order, bucket).withColumn("number", F.format_string(f"{prefix}_%03d", F.col("pos") - 1)).drop("pos")
 
 
-def overload_suffix(df: DataFrame, by: Sequence[str], name: str, order: str) -> DataFrame:
+def overload_suffix(df: DataFrame, by: Sequence[str], name: str, order: str, bucket: Column) -> DataFrame:
     """``unique_name``: the first of a name stays bare, the n-th gets ``_n``."""
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(order))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    n = F.col("pos")
+    numbered_rows = position(df, [*by, name], [order], bucket)
+    return numbered_rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string")))).drop("pos")
 
 
-def batch_of(df: DataFrame, order: str, total: int, within: Sequence[str]) -> DataFrame:
+def batch_of(df: DataFrame, order: str, total: int, within: Sequence[str], bucket: Column) -> DataFrame:
     """``batch`` 1..total: contiguous slices of ceil(n/total) rows (the last ones may be short or missing)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*within))
-    rn = F.row_number().over(Window.partitionBy(*within).orderBy(order))
-    return df.withColumn("batch", (F.floor((rn - 1) / F.ceil(n / total)) + 1).cast("bigint"))
+    sized = with_group(position(df, within, [order], bucket), within, _n=F.count(F.lit(1)))
+    return sized.withColumn("batch", (F.floor((F.col("pos") - 1) / F.ceil(F.col("_n") / total)) + 1).cast("bigint")).drop("pos", "_n")
 
 
 def budget_chunks(df: DataFrame, by: str, order: str, item: str, size: str, budget: int) -> DataFrame:

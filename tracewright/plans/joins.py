@@ -190,12 +190,11 @@ def w04_backfill_chain(spark, sf_dir):
     "SELECT id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN caller LIKE 'parse%' THEN 0 WHEN caller LIKE 'design%' THEN 1 ELSE 2 END, function_name NULLS FIRST, coalesce(class_name, ''), id) AS pos FROM llm_traces",
 )
 def o04_total_order(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     t = read_table(spark, sf_dir, "llm_traces")
     rank = F.when(F.col("caller").like("parse%"), 0).when(F.col("caller").like("design%"), 1).otherwise(2)
-    w = Window.partitionBy("run_id").orderBy(rank, F.asc_nulls_first("function_name"), F.coalesce("class_name", F.lit("")), "id")
-    return t.select("id", F.row_number().over(w).cast("bigint").alias("pos"))
+    order = [rank, F.asc_nulls_first("function_name"), F.coalesce("class_name", F.lit("")), "id"]
+    bucket = F.struct(rank.alias("r"), F.substring("function_name", 1, 4).alias("f"))  # ascends with the order
+    return R.position(t, ["run_id"], order, bucket).select("id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @core.add("u07_unassigned", "SELECT DISTINCT case_id FROM golden WHERE case_id NOT IN (SELECT case_id FROM golden WHERE golden_id % 3 = 0)")

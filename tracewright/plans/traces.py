@@ -298,7 +298,7 @@ def w02_stable_numbering(spark, sf_dir):
 )
 def w03_overload_suffix(spark, sf_dir):
     t = _traces(spark, sf_dir).where("function_name is not null")
-    return R.overload_suffix(t, ["target_file", "class_name"], "function_name", "id").select("id", "unique_name")
+    return R.overload_suffix(t, ["target_file", "class_name"], "function_name", "id", T.id_bucket()).select("id", "unique_name")
 
 
 @core.add(
@@ -308,7 +308,7 @@ def w03_overload_suffix(spark, sf_dir):
     """,
 )
 def f12_batches(spark, sf_dir):
-    return R.batch_of(_traces(spark, sf_dir), "id", 4, ["run_id"]).select("id", "batch")
+    return R.batch_of(_traces(spark, sf_dir), "id", 4, ["run_id"], T.id_bucket()).select("id", "batch")
 
 
 _W05 = """
