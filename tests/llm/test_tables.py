@@ -35,6 +35,20 @@ def test_small_groups_are_exact_and_empty_ones_null(spark):
     assert percentiles.sketch(df.limit(0), ["g"], "v").collect() == []
 
 
+def test_levels_agree_with_each_other(spark):
+    r = random.Random(8)
+    rows = [("m", "c", f"r{i % 3}", ("2031-01-01T23:30:00Z", "2031-01-02T07:30:00+08:00", "2031-01-02T00:30:00+0000", "bad", None)[i % 5], r.choice([-1, None, 5, 7, 900])) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, caller string, run_id string, ts string, latency_ms bigint")
+    got = percentiles.latency_percentiles(df, points=(0.5,)).collect()
+    want = [("all", None, None, 300), ("day", "2031-01-01", None, 120), ("day", "2031-01-02", None, 60), ("day", None, None, 120), ("run", None, "r0", 100), ("run", None, "r1", 100), ("run", None, "r2", 100)]
+    assert sorted(((x.level, x.day and str(x.day), x.run_id, x.rows) for x in got), key=repr) == sorted(want, key=repr)
+    v = sorted(x for *_, x in rows if x is not None and x >= 0)
+    total = next(x for x in got if x.level == "all")
+    assert total.n == len(v) == sum(x.n for x in got if x.level == "run") == sum(x.n for x in got if x.level == "day")
+    assert v[int(len(v) * 0.5) - 1] <= total.p50 <= v[int(len(v) * 0.5) + 1]
+    assert percentiles.latency_percentiles(df.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------- splitting
 
 CLASS = "array<struct<file_path:string,class_name:string,stereotype:string,annotations:array<string>,methods:array<struct<name:string,return_type:string,has_body:boolean>>,source:string>>"

@@ -78,14 +78,24 @@ def point_name(p: float) -> str:
 
 
 def latency_percentiles(traces: DataFrame, *, k: int = DEFAULT_K, points: tuple[float, ...] = DEFAULT_POINTS) -> DataFrame:
-    """``latency_ms`` per model and caller; negative values are sentinels and left out.
+    """``latency_ms`` per model and caller in all, per day and per run; negative values are sentinels and left out.
 
-    Sketched per model, caller and run first and merged, the way stored daily states are.
+    ``level`` says which: ``all`` (``day`` and ``run_id`` null), ``day`` or ``run``.  Everything is
+    merged from one set of sketches per model, caller, day and run, the way stored states of
+    single runs or days are combined: the trace table is read once.  ``day`` is the UTC day
+    of ``ts``, null where that is no time.
     """
-    runs = sketch(traces, ["model", "caller", "run_id"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0)
-    return percentiles(merge(runs, ["model", "caller"]), points, k=k)
-
-
-def run_percentiles(traces: DataFrame, *, k: int = DEFAULT_K, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """``latency_ms`` per model, caller and run: the finer groups that :func:`latency_percentiles` merges."""
-    return percentiles(sketch(traces, ["model", "caller", "run_id"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0), points, k=k)
+    base = sketch(
+        traces.withColumn("day", F.to_date(_utc(F.col("ts")))), ["model", "caller", "day", "run_id"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0
+    )
+    none = {"day": F.lit(None).cast("date"), "run_id": F.lit(None).cast("string")}
+    out = None
+    for level, by in (("all", []), ("day", ["day"]), ("run", ["run_id"])):
+        merged = merge(base, ["model", "caller", *by]).withColumns({c: v for c, v in none.items() if c not in by}).withColumn("level", F.lit(level))
+        out = merged if out is None else out.unionByName(merged)
+    return percentiles(out, points, k=k)
+
+
+def _utc(ts: Column) -> Column:
+    """Timestamp of an ISO text with any spelling of its zone, null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(ts), r"([+-]\d{2}):?(\d{2})$", "$1:$2"))

@@ -29,13 +29,6 @@ def p4_latency_percentiles(spark, sf_dir):
     return latency_percentiles(read_table(spark, sf_dir, "llm_traces"))
 
 
-@llm.add("p4_run_percentiles")
-def p4_run_percentiles(spark, sf_dir):
-    from tracewright.llm.percentiles import run_percentiles
-
-    return run_percentiles(read_table(spark, sf_dir, "llm_traces"))
-
-
 _P6_SIZES = "list_transform(coalesce(classes, []), lambda c: coalesce(length(c.source), 0))"
 
 
