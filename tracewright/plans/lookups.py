@@ -259,7 +259,7 @@ def x16_json_get(spark, sf_dir):
 @core.add(
     "st10_stream_rates",
     """
-    SELECT date_trunc('hour', make_timestamp(epoch_us(CAST(ts AS TIMESTAMPTZ)))) AS hour, model, count(*) AS calls, count(*) FILTER (status IN ('error', 'timeout')) AS errors FROM llm_traces GROUP BY ALL
+    SELECT strftime(date_trunc('hour', make_timestamp(epoch_us(CAST(ts AS TIMESTAMPTZ)))), '%Y-%m-%d %H:%M') AS hour, model, count(*) AS calls, count(*) FILTER (status IN ('error', 'timeout')) AS errors FROM llm_traces GROUP BY ALL
     """,
 )
 def st10_stream_rates(spark, sf_dir):
@@ -271,4 +271,4 @@ def st10_stream_rates(spark, sf_dir):
     path = f"{sf_dir}/llm_traces.parque[t]"  # a pattern, so that a single file will do as well as a folder
     stream = E.read_traces(spark, path, read_table(spark, sf_dir, "llm_traces").schema)
     out = E.drained(E.call_rates(stream, late="3650 days"), f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
-    return out.select(F.col("from").cast("timestamp_ntz").alias("hour"), "model", "calls", "errors")
+    return out.select(F.date_format("from", "yyyy-MM-dd HH:mm").alias("hour"), "model", "calls", "errors")
