@@ -59,7 +59,7 @@ def g03_closure_without_start(spark, sf_dir):
 @core.add(
     "g05_waves",
     f"""
-    WITH RECURSIVE {_ACYCLIC}, d AS (SELECT 0 AS node, 0 AS wave UNION SELECT e.src, d.wave + 1 FROM d JOIN e ON e.dst = d.node)
+    WITH RECURSIVE {_ACYCLIC}, d AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS wave UNION SELECT e.src, d.wave + 1 FROM d JOIN e ON e.dst = d.node)
     SELECT node, max(wave) AS wave FROM d GROUP BY node
     """,
 )
