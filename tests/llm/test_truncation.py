@@ -94,6 +94,8 @@ PROMPT = "The loader was changed because the parser kept failing after nine atte
         (PROMPT, None, "error", False, False, None),
         (PROMPT, "```python\n```", "ok", False, False, "empty"),
         (PROMPT, '{"body_statements": ""}', "ok", False, False, "empty"),
+        (PROMPT, "```json\n{\"a\": [null, \" \"]}\n```", "ok", False, False, "empty"),
+        (PROMPT, " \u200b\n", "ok", False, False, "empty"),
         (PROMPT, "Yes.", "ok", False, False, None),
         (PROMPT, "I'm sorry, but I can't help with `loadAll`.", "ok", False, False, "refusal"),
         (PROMPT, '{"body": "", "error": "I must decline to answer."}', "ok", False, False, "refusal"),

@@ -49,8 +49,8 @@ def is_empty(text: str | None) -> bool:
     """Blank, an empty fence, or JSON that holds no content."""
     if not text:
         return True
-    s = _BLANK.sub(" ", text).strip()
-    if not s or not _FENCE.sub("", s).strip():
+    s = _FENCE.sub("", _BLANK.sub(" ", text)).strip()
+    if not s:
         return True
     if len(s) < 2000 and (s[0] + s[-1] in ("{}", "[]", '""') or s == "null"):
         try:
