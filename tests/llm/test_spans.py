@@ -74,7 +74,8 @@ def test_a_hot_text_in_a_third_of_all_rows(spark):
 def test_covers_meet_every_shift():
     for period, cover in S.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
-    assert S.cover_for(200) == (133, S.COVERS[133], 68)
+    assert S.cover_for(200) == (91, S.COVERS[91], 110)
+    assert all(w + p - 1 == n for n in range(1, 400) for p, _, w in [S.cover_for(n)])
 
 
 def test_extra_columns_with_clashing_names(spark):

@@ -47,8 +47,9 @@ COVERS = {
     7: (0, 1, 3),
     1: (0,),
 }
-#: An anchor shorter than this would match by chance or in boilerplate.
-MIN_WINDOW = 32
+#: An anchor is at least this share of a run: shorter ones hit in every shared phrase, and each hit costs
+#: a candidate row with all its windows; longer ones need a denser cover.
+ANCHOR_SHARE = 0.5
 #: UTF-8 bytes of text per hash group; one group is one unit of work in a Python worker.
 GROUP_BYTES = 16 << 20
 #: Buckets one exchange of packed hashes fills; with more it is done in two steps.
@@ -66,7 +67,7 @@ def cover_for(min_chars: int) -> tuple[int, tuple[int, ...], int]:
     """(period, cover, anchor length) for runs of ``min_chars``: the sparsest with long enough anchors."""
     for period, cover in COVERS.items():
         window = min_chars - period + 1
-        if window >= min(MIN_WINDOW, min_chars):
+        if window >= ANCHOR_SHARE * min_chars:
             return period, cover, window
     raise ValueError("min_chars must be positive")
 
