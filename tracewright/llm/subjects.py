@@ -52,6 +52,8 @@ MIN_SENTENCES = 2
 MIN_TOLD = 0.15
 #: A term is evidence for a subject that accounts for this share of it.
 CLEAR = 0.5
+#: So is a term with this share of its documents in one subject.
+OWN_DOCS = 0.6
 #: A sentence is about a subject with this evidence (about one term), and this share of all evidence.
 EVIDENCE = 0.25
 MIN_EVIDENCE = 0.6
@@ -235,27 +237,41 @@ def _sums(encoded: DataFrame, h: np.ndarray, idf: np.ndarray, explain: bool = Fa
             for c in range(k):
                 wv[c] += np.bincount(ids, w[row, c] * value * (h[c, ids] if explain else 1.0), v)
             ww += w.T @ w
-        from pyspark import TaskContext
+        yield from _packed(np.concatenate([wv, ww], 1))
 
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, salt, np.int32)), pa.array([np.concatenate([wv[c], ww[c]]).tobytes() for c in range(k)], pa.binary())],
-            ["c", "salt", "sums"],
-        )
+    wv, ww = np.zeros((k, v)), np.zeros((k, k))
+    for c, a in _added(encoded.mapInArrow(task, _SUMS)):
+        wv[c], ww[c] = a[:v], a[v:]
+    return wv, ww
+
+
+_SUMS = "c int, salt int, sums binary"
+
+
+def _packed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a matrix of one task, salted for the first level of the sum."""
+    from pyspark import TaskContext
+
+    n = len(rows)
+    salt = TaskContext.get().partitionId() % 64
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, salt, np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["c", "salt", "sums"]
+    )
+
+
+def _added(parts: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(row number, sum over all tasks), added in two levels."""
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(v + k)
-        for x in t.column("sums").to_pylist():
+        sums = t.column("sums").to_pylist()
+        total = np.frombuffer(sums[0]).copy()
+        for x in sums[1:]:
             total += np.frombuffer(x)
         return pa.table({"c": t.column("c").slice(0, 1), "salt": t.column("salt").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "c int, salt int, sums binary"
-    parts = encoded.mapInArrow(task, schema).groupBy("c", "salt").applyInArrow(add, schema).groupBy("c").applyInArrow(add, schema).toArrow()
-    wv, ww = np.zeros((k, v)), np.zeros((k, k))
-    for c, x in zip(parts.column("c").to_pylist(), parts.column("sums").to_pylist()):
-        a = np.frombuffer(x)
-        wv[c], ww[c] = a[:v], a[v:]
-    return wv, ww
+    done = parts.groupBy("c", "salt").applyInArrow(add, _SUMS).groupBy("c").applyInArrow(add, _SUMS).toArrow()
+    for c, x in zip(done.column("c").to_pylist(), done.column("sums").to_pylist()):
+        yield c, np.frombuffer(x)
 
 
 def fit(documents: DataFrame, areas: DataFrame, examples: DataFrame, *, rounds: int = ROUNDS) -> tuple[Subjects, DataFrame]:
@@ -283,9 +299,40 @@ def fit(documents: DataFrame, areas: DataFrame, examples: DataFrame, *, rounds:
     if len(names):
         parts, _ = _sums(encoded, model.h, idf, explain=True)
         model.told = parts[: len(subjects)] / np.maximum(parts.sum(0), 1e-12)
+        by_documents = _document_shares(encoded, model)
+        total = by_documents.sum(0)
+        by_documents /= np.maximum(total, 1e-12)
+        # terms the shared components have taken up, but which stand in one subject's documents
+        late = (model.told.max(0) < CLEAR) & (total >= MIN_DOCS) & (by_documents.max(0) >= OWN_DOCS)
+        model.told[:, late] = by_documents[:, late]
     return model, encoded
 
 
+def _document_shares(encoded: DataFrame, model: Subjects) -> np.ndarray:
+    """Subject x term: the documents a term stands in, each counted by the shares its sentences give it."""
+    k, v = len(model.subjects), len(model.idf)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k, v))
+        for b in batches:
+            best, _ = sentence_subjects(model, b.column(1))
+            ends = np.cumsum(np.diff(b.column(1).offsets.to_numpy()))
+            doc = np.searchsorted(ends, np.arange(len(best)), side="right")
+            share = np.zeros((b.num_rows, k))
+            np.add.at(share, (doc[best >= 0], best[best >= 0]), 1.0)
+            share /= np.maximum(share.sum(1, keepdims=True), 1.0)
+            ids, row, _ = _flat(b.column(1), False)
+            pairs = np.unique(row * v + ids)  # a term counts once per document
+            for s in range(k):
+                sums[s] += np.bincount(pairs % v, share[pairs // v, s], v)
+        yield from _packed(sums)
+
+    out = np.zeros((k, v))
+    for c, x in _added(encoded.mapInArrow(task, _SUMS)):
+        out[c] = x
+    return out
+
+
 def _encode(docs: DataFrame, model: Subjects) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
