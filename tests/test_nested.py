@@ -90,3 +90,32 @@ def test_table_links_to_parent(spark):
 def test_lone_surrogate_is_replaced(spark):
     t = nested.triples(spark.createDataFrame([(1, '{"a": "\\ud800x"}')], "rec bigint, body string"), "rec", "body")
     assert [r.value for r in t.where("path = 'a'").collect()] == ["�x"]
+
+
+def test_every_group_and_path_comes_out_in_a_table(spark, tmp_path):
+    from tracewright.plans import load_core
+
+    golden = {"data": {"note": "n", "exam": [{"id": 1, "department": "d", "answers": [{"no": 5, "files": ["a", {"value": "b"}]}]}], "grid": [[{"Parent": 0}], []]}}
+    collection = {"item": [{"name": "q", "request": {"url": {"path": ["api"]}}, "response": [{"header": [{"key": "A"}]}]}]}
+    spark.createDataFrame([(3, (200, json.dumps(golden)), "x")], GOLDEN).write.parquet(f"{tmp_path}/golden.parquet")
+    spark.createDataFrame([(7, json.dumps(collection))], "col_id bigint, body string").write.parquet(f"{tmp_path}/collection_readonly_partial.parquet")
+    queries = load_core().queries
+    df = queries["p3_tables"](spark, str(tmp_path))
+    links = ("source", "rec", "parent", "pos", "up_parent", "up_pos")
+    got = {tuple(r[c] for c in links): {c: v for c, v in r.asDict().items() if c not in (*links, "grp") and v is not None} for r in df.collect()}
+    assert got == {
+        ("golden", 3, "", None, None, None): {"data.note": "n"},
+        ("golden", 3, "data.exam", 0, None, None): {"id": "1", "department": "d"},
+        ("golden", 3, "data.exam[0].answers", 0, "data.exam", 0): {"no": "5"},
+        ("golden", 3, "data.exam[0].answers[0].files", 0, "data.exam[0].answers", 0): {"value_2": "a"},
+        ("golden", 3, "data.exam[0].answers[0].files", 1, "data.exam[0].answers", 0): {"value": "b"},
+        ("golden", 3, "data.grid", 0, None, None): {},
+        ("golden", 3, "data.grid", 1, None, None): {},
+        ("golden", 3, "data.grid[0]", 0, "data.grid", 0): {"Parent_2": "0"},
+        ("collection", 7, "", None, None, None): {},
+        ("collection", 7, "item", 0, None, None): {"name": "q"},
+        ("collection", 7, "item[0].request.url.path", 0, "item", 0): {"value_2": "api"},
+        ("collection", 7, "item[0].response", 0, "item", 0): {},
+        ("collection", 7, "item[0].response[0].header", 0, "item[0].response", 0): {"key": "A"},
+    }
+    assert "department" in queries["p3_table_exam"](spark, str(tmp_path)).columns

@@ -16,8 +16,8 @@ recursion) into triples
 
 Every element of an array gives one triple with an empty ``path`` (so that empty
 objects and scalars in arrays are rows too), every key below it one triple more.
-``tables`` pivots the triples of one group into a flat table whose rows link to
-their parents by ``(rec, parent, pos)``; the parent row of an element is found by
+``table`` pivots the triples of one group into a flat table, ``tables`` those of all
+groups with all their paths; their rows link to their parents by ``(rec, parent, pos)``; the parent row of an element is found by
 splitting ``parent`` at its last index (``parent_link``).
 
 The walk is row-local (one Arrow batch in, one out: no shuffle); only the pivot of a
@@ -162,18 +162,55 @@ def groups(t: DataFrame) -> DataFrame:
     )
 
 
-def table(t: DataFrame, grp: str, columns: list[str]) -> DataFrame:
+_LINKS = ("rec", "grp", "parent", "pos", "up_parent", "up_pos")
+
+
+def table(t: DataFrame, grp: str, columns: list[str] | None = None) -> DataFrame:
     """One flat table: the elements of ``grp`` with the given relative paths as columns.
 
     Keys the element lacks are null.  ``up_parent`` / ``up_pos`` link to the row of the
-    enclosing element (null when the record itself encloses it).  ``columns`` is fixed by
-    the caller so that the plan never runs a job to learn them; ``paths_of`` lists them.
+    enclosing element (null when the record itself encloses it).  Without ``columns`` all
+    paths of the group are learnt from ``paths_of`` (one job); given ones run none.
     """
     rows = t.where(F.col("grp") == grp)
-    picked = [
-        F.max(F.when((F.col("path") == c), F.col("value"))).alias(c if c else "value") for c in columns
-    ]
-    flat = rows.groupBy("rec", "parent", "pos").agg(*(picked or [F.count(F.lit(1)).alias("keys")]))
+    names = column_names(learnt_paths(rows)) if columns is None else {c: c if c else "value" for c in columns}
+    return _pivoted(rows, ["rec", "parent", "pos"], names)
+
+
+def tables(t: DataFrame, *extra: str) -> DataFrame:
+    """The flat tables of all groups in one frame, told apart by ``grp``: no group and no path is left out.
+
+    One row per element with the links of ``table``; the columns are the paths of all groups
+    (an element has null where its group or the element lacks one), learnt from ``paths_of`` in one job
+    that collects distinct paths only.  Rows with an empty ``grp`` are the records themselves:
+    their values outside every array, ``pos`` null.  ``extra``: further columns of ``t`` that
+    tell records apart.
+    """
+    return _pivoted(t, [*extra, "rec", "grp", "parent", "pos"], column_names(learnt_paths(t), extra))
+
+
+def learnt_paths(t: DataFrame) -> list[str]:
+    """The distinct relative paths that hold a scalar in some group, in order."""
+    return sorted(r.path for r in paths_of(t).select("path").distinct().collect())
+
+
+def column_names(paths: list[str], extra: tuple[str, ...] = ()) -> dict[str, str]:
+    """Path -> column: the path itself, ``value`` for a scalar element; numbered where a name is taken (Spark ignores case)."""
+    out: dict[str, str] = {}
+    taken = {*_LINKS, *extra}
+    for p in sorted(paths, key=lambda p: (p == "", p)):
+        name, n = p or "value", 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{p or 'value'}_{n}"
+        taken.add(name.lower())
+        out[p] = name
+    return out
+
+
+def _pivoted(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    picked = [F.max(F.when((F.col("path") == c), F.col("value"))).alias(name) for c, name in names.items()]
+    flat = rows.groupBy(*by).agg(*(picked or [F.count(F.lit(1)).alias("keys")]))
     up_parent, up_pos = parent_link(F.col("parent"))
     return flat.withColumns({"up_parent": up_parent, "up_pos": up_pos})
 

@@ -20,11 +20,19 @@ def p3_groups(spark, sf_dir):
     return nested.groups(nested.triples(g, "golden_id", "body", at=("data",), expand_text=True))
 
 
+@core.add("p3_tables")
+def p3_tables(spark, sf_dir):
+    g = read_table(spark, sf_dir, "golden").select("golden_id", F.col("response.body").alias("body"))
+    golden = nested.triples(g, "golden_id", "body", at=("data",), expand_text=True)
+    collections = nested.triples(read_table(spark, sf_dir, "collection_readonly_partial"), "col_id", "body")
+    return nested.tables(golden.withColumn("source", F.lit("golden")).unionByName(collections.withColumn("source", F.lit("collection"))), "source")
+
+
 @core.add("p3_table_exam")
 def p3_table_exam(spark, sf_dir):
     g = read_table(spark, sf_dir, "golden").select("golden_id", F.col("response.body").alias("body"))
     t = nested.triples(g, "golden_id", "body", at=("data",), expand_text=True)
-    return nested.table(t, "data.exam", ["id", "school", "year", "grade", "userName", "score", "isReviewer"])
+    return nested.table(t, "data.exam")
 
 
 @core.add("p3_table_answers")
