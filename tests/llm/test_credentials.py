@@ -65,6 +65,19 @@ def test_gate_covers_the_training_lines():
     assert sum(any(C._worth(u) for _, u in C._units(x)) for x in with_secret) / len(with_secret) > 0.97
 
 
+@pytest.mark.parametrize("templates,value", [(C._SECRET_LINES, C._Writer.password), (C._TOKEN_LINES, C._Writer.token), (C._BASIC_LINES, C._Writer.basic), (C._BLOCK_LINES, lambda w: w.block("EC PRIVATE KEY"))])
+def test_gate_loses_no_secret_of_any_template(templates, value):
+    w = C._Writer(77)
+    lost = {t for t in templates for _ in range(200) if not any(C._worth(u) for _, u in C._units(w.fill(t, value(w))[0]))}
+    assert lost == set()
+
+
+def test_gate_knows_every_key_word(finder):
+    assert [w for ws in C.KEY_WORDS.values() for w in ws if not C._worth(f"{w}: tulip") or not C._worth(f"db_{w} = tulip")] == []
+    assert found(finder, "clave: Abc123!x") == ["Abc123!x"]
+    assert found(finder, 'gateway.init("key-ZmPsPBpeaTmakMjuHXjLwseTjjRM");') == ["key-ZmPsPBpeaTmakMjuHXjLwseTjjRM"]
+
+
 def test_bodies(finder):
     bodies = [
         json.dumps({"username": "grader7", "password": "Xk9!pq2m"}),

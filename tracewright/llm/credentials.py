@@ -11,9 +11,10 @@ The CRF is trained here, on lines written from the templates below with generate
 values; their number is the parameter ``TRAINING_LINES``.  No row of the data is used.
 
 Only lines that could hold a secret are decoded: those with a word of the secret
-vocabulary, a long token in which digits and letters touch, credentials in a URL or a key
-block.  The training lines hold no secret outside such lines (a test checks it), so the
-gate and the model know the same cases.
+vocabulary (every word of ``KEY_WORDS`` as a part of a name, phrases of logging in), a token
+of password shape, a long quoted argument, credentials in a URL or a key block.  No template
+writes a secret outside such lines (a test fills each of them many times), so the gate and
+the model know the same cases.
 """
 
 from __future__ import annotations
@@ -472,6 +473,21 @@ _GATE = re.compile(
     r"(?i:pass(?:w|p|c|_|\b)|_pass|pwd|(?:\b|_)pw\b|kennwort|contraseñ|secret|(?<![a-z])token(?![a-z])|(?:api|access|auth|bearer)[_-]?(?:key|token)|[_-]key|_token|service[_-]?key|private[_-]?key"
     r"|authoriz|bearer|(?<![a-z])basic\s|credential|(?<![a-z])(?:log|sign|login|logs)[ -]?(?:in|on)?\s(?:as|with)|identified by|(?<![a-z])auth(?![a-z]))|密碼|密码|_KEY|Key\"|://[^\s/@\"']*:[^\s@\"']+@|-u \S+:\S"
 )
+#: Every word of :data:`KEY_WORDS` that begins a name or a part of one (``db_clave``, ``dbClave``).
+_NAMES = sorted({w for ws in KEY_WORDS.values() for w in ws}, key=len, reverse=True)
+_USERS = KEY_WORDS["user"]  # name a secret's owner, so only as whole words: accountMap is a variable
+_KEY_GATE = re.compile(
+    rf"(?<![A-Za-z])(?i:(?:{'|'.join(re.escape(w) for w in _NAMES if w not in _USERS)})(?-i:(?![a-z]))|(?:{'|'.join(_USERS)})(?![a-z]))|(?<=[a-z])(?:{'|'.join(re.escape(w.title()) for w in _NAMES if w in ('clave', 'salt', 'signing', 'passphrase', 'kennwort'))})(?![a-z])"
+    r"|(?i:login|\b(?:log|sign)s?[ -]?(?:in|on)\b)|PRIVATE KEY"
+)
+#: One of these stands in every line that ``_KEY_GATE`` finds; looked for first, since it is cheap.
+_ROOTS = (*(w for w in _NAMES if not any(o != w and o in w for o in _NAMES)), "log", "sign")
+#: Password shape: a token in which letters touch digits or a sign stands between them.
+_TOUCH = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]|[!#$%*?^&~@]\w")
+_SHAPED = re.compile(r"(?<![\w.\-/])(?:[\w\-]*(?:[A-Za-z]\d|\d[A-Za-z])[\w\-!#$%*?^&~@]{0,64}|[\w\-]{1,64}[!#$%*?^&~@]+\w[\w\-!#$%*?^&~@]{0,64})")
+_LEAST_SHAPED = 6
+#: A single long argument, also one of letters only; no path of plain words.
+_ARGUMENT = re.compile(r"[\"'](?![a-z]+(?:/[a-z]+)*(?:/\d+)?[\"'])[A-Za-z0-9+/=_.\-]{20,}[\"']")
 _LONG = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
 _MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")  # a digit next to a letter: more than words and numbers with separators
 _BEGIN = "-----BEGIN "
@@ -479,7 +495,14 @@ _BEGIN = "-----BEGIN "
 
 def _worth(line: str) -> bool:
     """Could a token of this line be labelled secret?"""
-    if _GATE.search(line):
+    if _GATE.search(line) or _ARGUMENT.search(line):
+        return True
+    low = line.lower()
+    if any(w in low for w in _ROOTS) and _KEY_GATE.search(line):
+        return True
+    if not _TOUCH.search(line):
+        return False  # no mixed token either
+    if any(len(m.group()) >= _LEAST_SHAPED for m in _SHAPED.finditer(line)):
         return True
     for m in _LONG.finditer(line):
         if _MIXED.search(m.group()):
