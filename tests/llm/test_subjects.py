@@ -69,3 +69,19 @@ def test_sentences_and_terms():
     assert S.terms("雙重 驗證") == ["雙重", "重驗", "驗證"]
     assert S.repaired("prÃ¼fen") == "prüfen" and S.repaired("ѕсоre") == "score"
     assert S.terms("loadAllRows") == []
+
+
+def test_no_term_is_left_out_however_many_there_are(spark):
+    def word(i):
+        return "".join("bcdfghjkmn"[int(d)] + "aeiou"[int(d) % 5] for d in f"{i:05d}")
+
+    own = {"cooking": "zzoven zzpan zzsieve", "sailing": "zzmast zzkeel zzbuoy"}
+    filler = [". ".join(word(i) for i in range(a, a + 1300)) + "." for a in range(0, 26_000, 1300)]
+    docs = [(n, t) for n, t in enumerate(filler * 5)] + [(9000 + 10 * k + i, f"{w}. {w}. {w}.") for k, w in enumerate(own.values()) for i in range(4)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    a = spark.createDataFrame([(s,) for s in own], "subject string")
+    e = spark.createDataFrame([(s, f"{w}. {w}.") for s, w in own.items()] * 1, "subject string, text string")
+    model, encoded = S.fit(d, a, e, rounds=2)
+    assert len(model.vocabulary) > 26_000 and {w for t in own.values() for w in t.split()} <= set(model.vocabulary)
+    got = {r.doc_id: r.subject for r in S.assign(model, encoded).where("doc_id >= 9000").collect()}
+    assert got == {9000 + 10 * k + i: s for k, s in enumerate(own) for i in range(4)}

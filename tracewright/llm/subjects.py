@@ -13,7 +13,8 @@ The factors are updated in turn.  Given the terms, the document side is local to
 given the documents, the term side needs two sums of fixed size (components x terms and
 components x components), which are added up in two levels.  Nothing grows with the
 number of documents but the rows each task walks over, in ``ROUNDS`` passes over sentences
-kept as term numbers (written once to the checkpoint folder).
+kept as term numbers (written once to the checkpoint folder), and the number of terms: no term
+is left out, so the factors grow with the vocabulary.
 
 The factors say how much of each term every subject accounts for.  A sentence is about the
 subject its terms speak for most; a document deals with a subject when that subject has a good part of its sentences
@@ -35,9 +36,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import cut_lineage
 
-#: Terms the model knows: the most frequent of the corpus; bounds the model's size.
-MAX_TERMS = 24_000
-#: A term stands in this many documents at least (examples count as documents).
+#: A term stands in this many documents at least (examples count as documents); the model knows every such term.
 MIN_DOCS = 4
 #: Components beside the subjects.
 SHARED = 6
@@ -285,7 +284,7 @@ def fit(documents: DataFrame, areas: DataFrame, examples: DataFrame, *, rounds:
     labelled = [(r.subject, r.text) for r in examples.select("subject", "text").where(F.col("text").isNotNull()).collect() if r.subject in set(subjects)]
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     both = docs.select("text").unionByName(examples.select("text").where(F.col("text").isNotNull()))
-    top = _count_terms(both).where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "term").limit(MAX_TERMS).toArrow()
+    top = _count_terms(both).where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "term").toArrow()
     names, df = top.column("term").to_pylist(), top.column("docs").to_numpy()
     total = max(1, both.count())
     idf = np.log(1 + total / np.maximum(df, 1)) / np.log(1 + total)
