@@ -80,6 +80,23 @@ def test_map_type():
         X.map_type("Map<String>")
 
 
+def test_map_type_of_generics():
+    # functional interfaces by their number of arguments, framework types without theirs, unknown generics with mapped ones
+    cases = {
+        "Supplier<String>": "Callable[[], str]", "Consumer<Integer>": "Callable[[int], None]", "Function<String, Integer>": "Callable[[str], int]", "BiFunction<A, B, Long>": "Callable[[A, B], int]", "Predicate<Foo>": "Callable[[Foo], bool]",
+        "Function<String>": "Function[str]", "Specification<ExamEntity>": "ColumnElement | None", "ResponseEntity<List<Foo>>": "Response", "ResponseResult<List<Long>>": "ResponseResult[list[int]]", "HashMap<String, Integer>": "HashMap[str, int]",
+        "Page<Foo>": "Page[Foo]", "Stream<int>": "Stream[int]", "Object": "Object", "Set<UUID>": "list[UUID]", "Short": "int", " Optional<BigDecimal> ": "Decimal | None",
+    }
+    assert {t: X.map_type(t) for t in cases} == cases
+
+
+def test_simple_type_is_map_type_without_recursion(spark):
+    types = ["int", "List<Long>", "Optional<Foo>", "Foo", " UUID ", "byte[]", "Set<String>"]
+    df = spark.createDataFrame([(t,) for t in [*types, "List<List<int>>", "Map<String, int>"]], "t string")
+    got = {r.t: r.p for r in df.select("t", X.simple_type(F.col("t")).alias("p")).collect()}
+    assert {t: got[t] for t in types} == {t: X.map_type(t) for t in types} and got["List<List<int>>"] is None and got["Map<String, int>"] is None
+
+
 # ---------------------------------------------------------------- relational
 
 
@@ -133,6 +150,11 @@ def test_tags_outside_the_domain_fail(spark):
     d = spark.createDataFrame([("t", None)], "trace_id string, issue_tag string")
     with pytest.raises(PySparkException):
         T.apply_tags(d, spark.createDataFrame([("t", "odd", 1)], "trace_id string, tag string, seq bigint"), ("refused",)).collect()
+    with pytest.raises(PySparkException):  # a trace the log does not have
+        T.apply_tags(d, spark.createDataFrame([("u", "refused", 1)], "trace_id string, tag string, seq bigint"), ("refused",)).collect()
+    noted = spark.createDataFrame([("t", None, "old"), ("v", None, "kept")], "trace_id string, issue_tag string, note string")
+    tags = spark.createDataFrame([("t", "refused", None, 1)], "trace_id string, tag string, note string, seq bigint")
+    assert rows(T.apply_tags(noted, tags, ("refused",))) == [("t", "refused", None), ("v", None, "kept")]
 
 
 def test_stalled_reports_once(spark):
@@ -244,9 +266,48 @@ def test_ignored_order_and_its_check(spark):
 
 def test_masks():
     read, change = D.Masker("readonly"), D.Masker("mutation")
-    assert read.document({"token": {"x": 1}, "id": 1, "t": "2026-08-25T01:43:10.673670Z"}) == {"token": D.MASK, "id": 1, "t": D.MASK}
-    assert change.document({"id": 1, "l": [{"user_id": None}]}) == {"id": D.MASK, "l": [{"user_id": D.MASK}]}
-    assert change.document({"p": "C:\\voice\\xMpIV1\\1_1.wav"}) == {"p": f"C:\\voice\\{D.MASK}\\1_1.wav"}
+    assert read.document({"token": "abc", "name": "王小明"}) == {"token": D.MASK, "name": "王小明"}
+    assert read.document({"id": 1, "order_id": 2, "randomId": "xMpIV"}) == {"id": 1, "order_id": 2, "randomId": "xMpIV"}
+    assert change.document({"id": 1, "order_id": 2, "user_id": 3}) == dict.fromkeys(("id", "order_id", "user_id"), D.MASK)
+    assert change.document({"exam": [{"randomId": "xMpIV", "name": "a"}, {"randomId": None}]}) == {"exam": [{"randomId": D.MASK, "name": "a"}, {"randomId": D.MASK}]}
+    assert read.document({"x": "2026-08-25T01:43:10.673670Z"}) == {"x": D.MASK}
+    assert read.document({"items": [{"token": "a"}, {"token": {"b": 1}}]}) == {"items": [{"token": D.MASK}, {"token": D.MASK}]}
+    assert read.document(["Bearer abc", "Bearer", "0a1b2c3d-0a1b-0a1b", "see 2026-08-25T01:43:10"]) == [D.MASK, "Bearer", D.MASK, "see 2026-08-25T01:43:10"]
+
+
+def test_mask_of_a_part():
+    said = "上傳成功: C:\\voice\\2025\\macuhau\\TAA\\xMpIV\\1_1.wav"
+    assert D.Masker("mutation").document({"data": said}) == {"data": f"上傳成功: C:\\voice\\2025\\macuhau\\TAA\\{D.MASK}\\1_1.wav"}
+    assert D.Masker("readonly").document({"data": said}) == {"data": said}
+    assert D.Masker("mutation").document({"data": "操作成功"}) == {"data": "操作成功"}
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("field", "secret", 1), ("pattern", "^x", 2), ("mutation_part", r"\d+$", 3), ("field", None, 4)], "kind string, rule string, seq int")
+    rules = D.load_rules(table)
+    assert rules == D.MaskRules(("secret",), (), ("^x",), (r"\d+$",))
+    assert D.Masker("mutation", rules).document({"secret": 1, "id": 2, "a": "xyz", "b": "no 12"}) == {"secret": D.MASK, "id": 2, "a": D.MASK, "b": f"no {D.MASK}"}
+    with pytest.raises(ValueError):
+        D.load_rules(spark.createDataFrame([("odd", "x", 1)], table.schema))
+    assert D.load_rules(table.where("false")) == D.MaskRules((), (), (), ())
+
+
+def test_all_failure_classes_occur(spark):
+    s = "c string, status_code int, body string"
+    g = [("ok", 200, "{}"), ("html", 200, "{}"), ("status", 200, "{}"), ("order", 200, "[1,2]"), ("none", 200, None), ("less", 200, '{"a":1}'), ("type", 200, '{"a":1}'), ("value", 200, '{"a":1}'), ("gone", 200, "{}")]
+    a = [("ok", 200, "{}"), ("html", 200, "<p>"), ("status", 500, "{}"), ("order", 200, "[2,1]"), ("none", 200, "1"), ("less", 200, "{}"), ("type", 200, '{"a":"1"}'), ("value", 200, '{"a":2}'), ("new", 200, "{}")]
+    got = {r.c: (r.failure_type, r.debug_hint) for r in D.verify(spark.createDataFrame(g, s), spark.createDataFrame(a, s), ["c"]).collect()}
+    assert {c: t for c, (t, _) in got.items()} == {
+        "ok": None, "html": "response_not_json", "status": "status_code_mismatch", "order": "array_order_only", "none": "body_presence_mismatch", "less": "missing_fields", "type": "type_mismatch", "value": "value_mismatch", "gone": "status_code_mismatch", "new": "golden_not_found",
+    }
+    unknown = spark.range(1).select(D.failure_class(F.lit(False), F.lit(False), F.lit(True), F.lit(None).cast("string")).alias("t")).first().t
+    assert unknown == "unknown" and all((t is None) == (h is None) for t, h in got.values())
+
+
+def test_bodies_of_any_depth_compare(spark):
+    deep = lambda x: "[" * 30_000 + x + "]" * 30_000
+    assert diff(spark, deep("[1,2]"), deep("[1,2]"))[0] == "equal"
+    assert diff(spark, deep("[1,2]"), deep("[2,1]"))[0] == "array_order_only"
 
 
 def test_verify(spark):

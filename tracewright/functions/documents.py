@@ -104,21 +104,24 @@ def named_refs(node: Any, prefix: str = "#/components/schemas/") -> set[str]:
 
 
 #: Scalar types of a schema.
-_SCALARS = {("string", "date"): "date", ("string", "date-time"): "datetime", ("string", "uuid"): "UUID", ("string", "binary"): "bytes", ("string", None): "str", ("integer", None): "int", ("number", None): "float", ("boolean", None): "bool"}
+SCHEMA_TYPES = {"integer": "int", "number": "float", "string": "str", "boolean": "bool"}
 
 
 def schema_type(schema: dict) -> str:
-    """Type text of a JSON schema: a reference wins, arrays and maps recurse, a bare object is ``dict[str, Any]``."""
+    """Type text of a JSON schema.
+
+    A reference wins; arrays recurse; an object with ``additionalProperties`` and without
+    ``properties`` is a map; anything else is its title, else its bare type, else ``Any``.
+    """
     ref = schema.get("$ref")
     if isinstance(ref, str):
         return ref.rsplit("/", 1)[-1]
-    kind, form = schema.get("type"), schema.get("format")
+    kind, more = schema.get("type"), schema.get("additionalProperties")
     if kind == "array":
         return f"list[{schema_type(schema.get('items') or {})}]"
-    if kind == "object":
-        more = schema.get("additionalProperties")
-        return f"dict[str, {schema_type(more)}]" if isinstance(more, dict) and more else "dict[str, Any]"
-    return _SCALARS.get((kind, form)) or _SCALARS.get((kind, None)) or "Any"
+    if kind == "object" and isinstance(more, dict) and "properties" not in schema:
+        return f"dict[str, {schema_type(more)}]"
+    return SCHEMA_TYPES.get(kind) or schema.get("title") or kind or "Any"
 
 
 def schema_fields(schema: dict) -> list[tuple[str, str, bool]]:
@@ -136,17 +139,26 @@ def rewritten(body: str, path: str, name: str) -> str:
     return text.replace(f'"{mark}"', mark) if isinstance(old, (bool, int, float)) else text
 
 
-_DERIVED = re.compile(r"^(find|get|read|query|count|exists|delete|remove)(?:All|First|Distinct|Top\d*)?By([A-Z]\w*)$")
+#: Verbs of derived queries with what they do, and the two sentences that describe one.
+QUERY_VERBS = {"find": "查詢", "read": "查詢", "get": "查詢", "query": "查詢", "stream": "查詢", "count": "計數", "exists": "判斷是否存在", "delete": "刪除", "remove": "刪除"}
+QUERY_BY_FIELDS = "Spring Data 衍生查詢方法，依 {fields} 欄位條件{verb}（由方法名稱依 Spring Data JPA 命名慣例機械解析，未逐一判讀運算子如 GreaterThan／Like 等）"
+QUERY_OTHERWISE = "Spring Data 衍生查詢方法（方法名稱 `{name}` 含 Top／Distinct／OrderBy 等複雜關鍵字，機械解析僅辨識出這是衍生查詢方法，實際條件請參照方法簽名，未逐一拆解欄位）"
+_STRICT = re.compile(rf"({'|'.join(QUERY_VERBS)})By([A-Z].*)")
+_LOOSE = re.compile(rf"(?:{'|'.join(QUERY_VERBS)})\w*By[A-Z]")
+_JOINED = re.compile(r"(?<=[a-z0-9])(?:And|Or)(?=[A-Z])")
 
 
 def derived_query(name: str) -> str | None:
-    """What a derived query method does, from its name: ``countByNameAndAge`` -> ``count by name and age``; None for other names."""
-    m = _DERIVED.match(name)
-    if not m:
-        return None
-    parts = re.split(r"(And|Or)(?=[A-Z])", m.group(2).split("OrderBy")[0])
-    words = [p.lower() if p in ("And", "Or") else p[:1].lower() + p[1:] for p in parts]
-    return f"{m.group(1)} by {' '.join(words)}"
+    """What a derived query method does, from its name; None for other names.
+
+    ``<verb>By<fields joined by And/Or>`` names its fields; other forms (``findTop3By``,
+    ``findDistinctBy``) are only said to be derived queries.  Operators within a field are not read.
+    """
+    m = _STRICT.fullmatch(name)
+    if m:
+        fields = [re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", f).strip() for f in _JOINED.split(m.group(2))]
+        return QUERY_BY_FIELDS.format(fields="、".join(fields), verb=QUERY_VERBS[m.group(1)])
+    return QUERY_OTHERWISE.format(name=name) if _LOOSE.match(name) else None
 
 
 def restyled_tree(node: dict, keep: Callable[[dict], bool]) -> dict | None:

@@ -7,6 +7,8 @@ scripts carry ``(?U)``: without it Java's ``\\w`` is ASCII.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,8 +102,6 @@ def bean_name(name: Column, override: Column) -> Column:
 
 def keyword_hit(text: Column, keyword: str) -> Column:
     """Whole-word match where the keyword ends in a letter or digit, else substring."""
-    import re
-
     if keyword[-1:].isalnum():
         return text.rlike(rf"(?U)\b{re.escape(keyword)}\b")
     return text.contains(keyword)
@@ -127,8 +127,6 @@ def section(text: Column, title: str) -> Column:
 
 def between(text: Column, opening: str, closing: str) -> Column:
     """What stands between two marks, null where they do not both occur in order."""
-    import re
-
     p = rf"(?s){re.escape(opening)}(.*?){re.escape(closing)}"
     return F.when(text.rlike(p), F.regexp_extract(text, p, 1))
 
@@ -156,36 +154,60 @@ def decoded_body(data: Column) -> Column:
 
 #: Simple source types and what they map to.
 JAVA_TYPES = {
-    "int": "int", "Integer": "int", "short": "int", "long": "int", "Long": "int", "String": "str", "boolean": "bool", "Boolean": "bool", "double": "float", "Double": "float", "float": "float", "Float": "float",
-    "BigDecimal": "Decimal", "LocalDate": "date", "LocalTime": "time", "LocalDateTime": "datetime", "Date": "datetime", "Instant": "datetime", "UUID": "UUID", "void": "None", "Object": "Any", "byte[]": "bytes", "Byte[]": "bytes",
+    "int": "int", "Integer": "int", "short": "int", "Short": "int", "long": "int", "Long": "int", "String": "str", "boolean": "bool", "Boolean": "bool", "double": "float", "Double": "float", "float": "float", "Float": "float",
+    "BigDecimal": "Decimal", "void": "None", "LocalDate": "date", "LocalDateTime": "datetime", "LocalTime": "time", "Date": "datetime", "Instant": "datetime", "UUID": "UUID", "byte[]": "bytes", "Byte[]": "bytes",
+}
+#: One-argument containers, and functional interfaces by their number of arguments.
+CONTAINERS = {"List": "list[{0}]", "Set": "list[{0}]", "Collection": "list[{0}]", "Optional": "{0} | None"}
+CALLABLES = {
+    ("Supplier", 1): "Callable[[], {0}]", ("Consumer", 1): "Callable[[{0}], None]", ("BiConsumer", 2): "Callable[[{0}, {1}], None]", ("Function", 2): "Callable[[{0}], {1}]",
+    ("BiFunction", 3): "Callable[[{0}, {1}], {2}]", ("Predicate", 1): "Callable[[{0}], bool]", ("BiPredicate", 2): "Callable[[{0}, {1}], bool]",
 }
-_LISTS = ("List", "Set", "Collection", "Iterable", "Page", "Stream")
+#: Framework types whose argument is dropped.
+FRAMEWORK_TYPES = {"Specification": "ColumnElement | None", "ResponseEntity": "Response"}
+_GENERIC = re.compile(r"(\w+)<(.+)>", re.S)
 
 
 def map_type(t: str | None) -> str | None:
-    """Generic type text mapped recursively; ``Map`` needs exactly two arguments."""
+    """The Python type text of a Java one; unknown names stay as they are, unknown generics keep their name with mapped arguments.
+
+    ``Map`` needs exactly two arguments, anything else is an error; a functional interface
+    with another number of arguments than it has counts as an unknown generic.
+    """
     if t is None:
         return None
     t = t.strip()
-    if t in JAVA_TYPES:
-        return JAVA_TYPES[t]
-    head, sep, rest = t.partition("<")
-    if not sep:
-        return t
-    if not rest.endswith(">"):
-        raise ValueError(f"unbalanced type: {t}")
-    args = [map_type(a) for a in split_top_level(rest[:-1])]
-    if head in ("Map", "HashMap", "LinkedHashMap"):
+    m = None if t in JAVA_TYPES else _GENERIC.fullmatch(t)
+    if not m:
+        return JAVA_TYPES.get(t, t)
+    head, inner = m.groups()
+    if head in FRAMEWORK_TYPES:
+        return FRAMEWORK_TYPES[head]
+    if head in CONTAINERS:
+        return CONTAINERS[head].format(map_type(inner))
+    args = [map_type(a) for a in split_top_level(inner)]
+    if head == "Map":
         if len(args) != 2:
             raise ValueError(f"Map needs two arguments: {t}")
         return f"dict[{args[0]}, {args[1]}]"
-    if head in _LISTS:
-        return f"list[{args[0]}]"
-    if head == "Optional":
-        return f"{args[0]} | None"
-    return f"{head}[{', '.join(args)}]"
+    known = CALLABLES.get((head, len(args)))
+    return known.format(*args) if known else f"{head}[{', '.join(args)}]"
 
 
 def map_type_udf():
     """``map_type`` as a column function."""
     return column(map_type)
+
+
+def simple_type(t: Column) -> Column:
+    """The simple part of :func:`map_type` inside generated code: scalars, one container of a scalar; null for everything else."""
+    table = F.create_map(*[F.lit(x) for kv in JAVA_TYPES.items() for x in kv])
+    t = F.trim(t)
+    head, inner = F.regexp_extract(t, r"^(\w+)<([^<>]+)>$", 1), F.trim(F.regexp_extract(t, r"^(\w+)<([^<>]+)>$", 2))
+    arg = F.coalesce(F.try_element_at(table, inner), inner)
+    return (
+        F.when(F.try_element_at(table, t).isNotNull(), F.try_element_at(table, t))
+        .when(head.isin("List", "Set", "Collection"), F.concat(F.lit("list["), arg, F.lit("]")))
+        .when(head == "Optional", F.concat(arg, F.lit(" | None")))
+        .when(~t.contains("<"), t)
+    )

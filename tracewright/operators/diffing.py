@@ -7,24 +7,73 @@ summaries, taint) is relational.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import jsontext
 from tracewright.operators.relational import with_group
 
 MASK = "<<MASKED>>"
 
 #: Default mask rules.
-MASKED_FIELDS = ("token", "accessToken", "refreshToken", "timestamp", "createTime", "updateTime", "finishTime")
-MUTATION_FIELDS = ("id", "userId", "user_id", "orderId", "order_id")
-VALUE_PATTERNS = (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
-#: Six letters and digits between backslashes, a capital and a small letter among them.
-PART_PATTERNS = (r"(?<=\\)(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{6,}(?=\\)",)
+MASKED_FIELDS = ("created_at", "updated_at", "deleted_at", "request_id", "trace_id", "session_id", "token", "access_token", "refresh_token")
+MUTATION_FIELDS = ("id", "order_id", "user_id", "randomId")
+VALUE_PATTERNS = (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}", r"^Bearer\s")
+PART_PATTERNS = (r"[A-Za-z0-9]{5}(?=\\\d+_\d+\.\w+$)",)
+
+
+@dataclass(frozen=True)
+class MaskRules:
+    """What is masked: keys, keys in changed data only, texts by their beginning, parts of texts in changed data only."""
+
+    fields: tuple[str, ...] = MASKED_FIELDS
+    mutation_fields: tuple[str, ...] = MUTATION_FIELDS
+    patterns: tuple[str, ...] = VALUE_PATTERNS
+    mutation_parts: tuple[str, ...] = PART_PATTERNS
+
+
+def load_rules(rules: DataFrame) -> MaskRules:
+    """Mask rules from a table of (``kind``, ``rule``, ``seq``), a small one; a kind without rows has no rules, an unknown kind is an error.
+
+    Kinds: ``field``, ``mutation_field``, ``pattern``, ``mutation_part``.
+    """
+    kinds = {"field": [], "mutation_field": [], "pattern": [], "mutation_part": []}
+    for r in rules.where("rule is not null").orderBy("seq").collect():
+        if r.kind not in kinds:
+            raise ValueError(f"no such kind of mask rule: {r.kind}")
+        kinds[r.kind].append(r.rule)
+    return MaskRules(*(tuple(v) for v in kinds.values()))
+
+
+def mask_json_texts(df: DataFrame, key: str, body: str, context: str = "readonly", rules: MaskRules = MaskRules()) -> DataFrame:
+    """(key, way, value): the scalars of JSON bodies after masking, by their ways (row-local).
+
+    A masked container is one masked scalar.  Null and invalid bodies give no row.
+    """
+    from tracewright.operators.nested import walk
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masker = Masker(context, rules)
+        for b in batches:
+            ids, ways, values = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                has, doc, ok = _load(text)
+                if not has or not ok or not text.strip():
+                    continue
+                for _, parent, pos, path, kind, value in walk(masker.document(doc)):
+                    if kind not in ("object", "array"):
+                        ids.append(i)
+                        ways.append(path if pos is None else f"{parent}[{pos}]" + (f".{path}" if path else ""))
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(ways, pa.string()), pa.array(values, pa.string())], [key, "way", "value"])
+
+    narrow = df.select(key, F.col(body).cast("string").alias("__body")).where(F.col("__body").isNotNull())
+    return narrow.mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, way string, value string")
 
 
 def mask_text(c: Column, whole: Sequence[str] = VALUE_PATTERNS, parts: Sequence[str] = ()) -> Column:
@@ -38,13 +87,13 @@ def mask_text(c: Column, whole: Sequence[str] = VALUE_PATTERNS, parts: Sequence[
 
 
 class Masker:
-    """Masks values of a parsed JSON document."""
+    """Masks values of a parsed JSON document; ``context`` is ``readonly`` or ``mutation``."""
 
-    def __init__(self, context: str = "readonly", fields: Sequence[str] = MASKED_FIELDS, extra: Sequence[str] = MUTATION_FIELDS, whole: Sequence[str] = VALUE_PATTERNS, parts: Sequence[str] = PART_PATTERNS) -> None:
+    def __init__(self, context: str = "readonly", rules: MaskRules = MaskRules()) -> None:
         mutation = context == "mutation"
-        self.fields = frozenset(fields) | (frozenset(extra) if mutation else frozenset())
-        self.whole = [re.compile(p) for p in whole]
-        self.parts = [re.compile(p) for p in parts] if mutation else []
+        self.fields = frozenset(rules.fields) | (frozenset(rules.mutation_fields) if mutation else frozenset())
+        self.whole = [re.compile(p) for p in rules.patterns]
+        self.parts = [re.compile(p) for p in rules.mutation_parts] if mutation else []
 
     def text(self, s: str) -> str:
         if any(p.match(s) for p in self.whole):
@@ -73,21 +122,9 @@ class Masker:
         return top[0]
 
 
-def canonical(v) -> str:
-    """Text that is equal for documents equal but for the order in their arrays."""
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{canonical(v[k])}" for k in sorted(v)) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(sorted(map(canonical, v))) + "]"
-    return f"{type(v).__name__}:{json.dumps(v)}"
-
-
 def same_bag(a, b) -> bool:
-    """Equal but for the order in arrays; documents too deep to be compared are different."""
-    try:
-        return canonical(a) == canonical(b)
-    except RecursionError:
-        return False
+    """Equal but for the order in arrays, at any depth."""
+    return jsontext.canonical(a) == jsontext.canonical(b)
 
 
 def differences(golden, actual) -> list[tuple[str, str]]:
@@ -110,14 +147,17 @@ def differences(golden, actual) -> list[tuple[str, str]]:
 
 
 def _load(text: str | None):
+    """(is there a body, its value, is it JSON)."""
+    if text is None:
+        return False, None, True
     try:
-        return text is not None, (json.loads(text) if text is not None else None)
-    except (ValueError, RecursionError):
-        return True, text
+        return True, jsontext.load(text), True
+    except ValueError:
+        return True, text, not text.strip()
 
 
-def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Sequence[str] = (), keep: Sequence[str] = ("case_key",)) -> DataFrame:
-    """The ``keep`` columns, ``body_class`` and ``diffs`` for rows of ``golden_body`` and ``actual_body``.
+def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Sequence[str] = (), keep: Sequence[str] = ("case_key",), rules: MaskRules = MaskRules()) -> DataFrame:
+    """The ``keep`` columns, ``body_class``, ``diffs`` and ``not_json`` (of the actual body) for rows of ``golden_body`` and ``actual_body``.
 
     Row-local, repeated rows give repeated results.  ``body_class``: equal, body_presence_mismatch, array_order_only, missing_fields,
     type_mismatch or value_mismatch.  Null against null is equal, null against anything else
@@ -129,11 +169,11 @@ def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Seque
             raise ValueError(f"no way into a document: {way}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masker = Masker(context)
+        masker = Masker(context, rules)
         for b in batches:
-            classes, diffs = [], []
+            classes, diffs, odd = [], [], []
             for g, a in zip(b.column("__golden").to_pylist(), b.column("__actual").to_pylist()):
-                (has_g, golden), (has_a, actual) = _load(g), _load(a)
+                (has_g, golden, _), (has_a, actual, is_json) = _load(g), _load(a)
                 found: list[tuple[str, str]] = []
                 if has_g != has_a:
                     kind = "body_presence_mismatch"
@@ -156,15 +196,16 @@ def diff_bodies(pairs: DataFrame, context: str = "readonly", ignore_order: Seque
                     else:
                         kind = "value_mismatch"
                 classes.append(kind)
+                odd.append(not is_json)
                 diffs.append([{"kind": k, "way": w} for k, w in found])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-2], pa.array(classes, pa.string()), pa.array(diffs, pa.list_(pa.struct([("kind", pa.string()), ("way", pa.string())])))],
-                [*b.schema.names[:-2], "body_class", "diffs"],
+                [*b.columns[:-2], pa.array(classes, pa.string()), pa.array(diffs, pa.list_(pa.struct([("kind", pa.string()), ("way", pa.string())]))), pa.array(odd, pa.bool_())],
+                [*b.schema.names[:-2], "body_class", "diffs", "not_json"],
             )
 
     narrow = pairs.select(*keep, F.col("golden_body").alias("__golden"), F.col("actual_body").alias("__actual"))
     kept = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in narrow.schema.fields[:-2])
-    return narrow.mapInArrow(run, kept + "body_class string, diffs array<struct<kind:string,way:string>>")
+    return narrow.mapInArrow(run, kept + "body_class string, diffs array<struct<kind:string,way:string>>, not_json boolean")
 
 
 def _at(doc, way: str):
@@ -195,11 +236,12 @@ HINTS = {
 
 
 def failure_class(golden_missing: Column, not_json: Column, status_equal: Column, body_class: Column) -> Column:
-    """The first class that applies; null for a pass."""
+    """The first class that applies; null for a pass, ``unknown`` for a body that could not be classed."""
     return (
         F.when(golden_missing, "golden_not_found")
         .when(not_json, "response_not_json")
         .when(~status_equal, "status_code_mismatch")
+        .when(body_class.isNull(), "unknown")
         .when(body_class != "equal", body_class)
     )
 
@@ -209,19 +251,19 @@ def hint(cls: Column) -> Column:
     return F.when(cls.isNotNull(), F.coalesce(table[cls], F.lit("look at both bodies")))
 
 
-def verify(golden: DataFrame, actual: DataFrame, keys: Sequence[str], context: str = "readonly") -> DataFrame:
-    """Each golden case with status and body compared, its failure class and hint.
+def verify(golden: DataFrame, actual: DataFrame, keys: Sequence[str], context: str = "readonly", rules: MaskRules = MaskRules()) -> DataFrame:
+    """Each replayed or recorded case with status and body compared, its failure class and hint.
 
-    Both sides: the keys, ``status_code``, ``body``.  A case without actual row fails as
-    ``body_presence_mismatch`` unless the status differs (it always does: null).
+    Both sides: the keys, ``status_code``, ``body``.  A replayed case without a recording is
+    ``golden_not_found``; a recorded case without a replay differs in its status.
     """
-    g = golden.select(*keys, F.col("status_code").alias("golden_status"), F.col("body").alias("golden_body"))
-    a = actual.select(*keys, F.col("status_code").alias("actual_status"), F.col("body").alias("actual_body"))
-    status_equal = F.col("golden_status").eqNullSafe(F.col("actual_status"))
-    not_json = F.col("actual_body").isNotNull() & (F.length(F.trim("actual_body")) > 0) & F.try_parse_json("actual_body").isNull()
-    pairs = g.join(a, list(keys), "left").withColumns({"status_match": status_equal, "_not_json": not_json})
-    diffs = diff_bodies(pairs, context, keep=(*keys, "golden_status", "actual_status", "status_match", "_not_json"))
-    out = diffs.withColumn("failure_type", failure_class(F.lit(False), F.col("_not_json"), F.col("status_match"), F.col("body_class")))
+    g = golden.select(*keys, F.lit(True).alias("_recorded"), F.col("status_code").alias("golden_status"), F.col("body").alias("golden_body"))
+    a = actual.select(*keys, F.lit(True).alias("_replayed"), F.col("status_code").alias("actual_status"), F.col("body").alias("actual_body"))
+    both = F.col("_recorded").isNotNull() & F.col("_replayed").isNotNull()
+    status_equal = both & F.col("golden_status").eqNullSafe(F.col("actual_status"))
+    pairs = g.join(a, list(keys), "full_outer").withColumns({"status_match": status_equal, "_missing": F.col("_recorded").isNull()})
+    diffs = diff_bodies(pairs, context, keep=(*keys, "golden_status", "actual_status", "status_match", "_missing"), rules=rules)
+    out = diffs.withColumn("failure_type", failure_class(F.col("_missing"), F.col("not_json"), F.col("status_match"), F.col("body_class")))
     return out.select(*keys, "golden_status", "actual_status", "status_match", "body_class", F.size("diffs").alias("diff_count"), "failure_type", hint(F.col("failure_type")).alias("debug_hint"), F.col("failure_type").isNull().alias("passed"))
 
 
@@ -231,7 +273,7 @@ def tainted(df: DataFrame, folder: str, anomaly: Column) -> DataFrame:
 
 
 def paths(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, way, kind, value): every scalar and container of a JSON body by its way."""
+    """(key, way, kind, value): every scalar and container of a JSON body by its way (keys percent-encoded as in the nested operator)."""
     from tracewright.operators.nested import triples
 
     t = triples(df, key, body)
@@ -242,8 +284,8 @@ def paths(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def strip_keys(df: DataFrame, key: str, body: str, names: Sequence[str]) -> DataFrame:
-    """The path table without the subtrees of the named keys, at any depth."""
-    import builtins
+    """The path table without the subtrees of the named keys, at any depth; a key is compared whole, its own dots included."""
+    from tracewright.operators.nested import _key
 
-    pattern = r"(?:^|\.)(?:" + "|".join(builtins.map(re.escape, names)) + r")(?:$|[.\[])"
-    return paths(df, key, body).where(~F.col("way").rlike(pattern))
+    steps = F.transform(F.split("way", r"\."), lambda k: F.regexp_replace(k, r"(\[\d+\])+$", ""))
+    return paths(df, key, body).where(~F.arrays_overlap(steps, F.array(*[F.lit(_key(n)) for n in names])))

@@ -114,10 +114,22 @@ def fold_events(df: DataFrame) -> DataFrame:
 
 
 def apply_tags(df: DataFrame, tags: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Rows with the newest tag event of their trace; a tag outside the domain is an error."""
+    """Rows with tag and note of the newest tag event of their trace.
+
+    A tag outside the domain is an error, and so is one for a trace the log does not have.
+    ``tags``: ``trace_id``, ``tag``, ``seq`` and, where notes are set too, ``note``.
+    """
     checked = tags.withColumn("tag", F.when(F.col("tag").isin(*allowed) | F.col("tag").isNull(), F.col("tag")).otherwise(F.raise_error(F.concat(F.lit("no such tag: "), "tag"))))
-    newest = checked.groupBy("trace_id").agg(F.max_by("tag", "seq").alias("new_tag"))
-    return df.join(newest, "trace_id", "left").withColumn("issue_tag", F.coalesce("new_tag", "issue_tag")).drop("new_tag")
+    noted = "note" in tags.columns
+    newest = checked.groupBy("trace_id").agg(F.max_by("tag", "seq").alias("new_tag"), *([F.max_by("note", "seq").alias("new_note")] if noted else []))
+    known = df.select(F.struct("*").alias("_row"), "trace_id")
+    both = known.join(newest.withColumn("_tagged", F.lit(True)), "trace_id", "full_outer")
+    there = F.when(F.col("_row").isNotNull(), F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("no such trace: "), "trace_id")))
+    out = both.withColumn("_row", there).select("_row.*", "new_tag", *(["new_note"] if noted else []), "_tagged")
+    out = out.withColumn("issue_tag", F.coalesce("new_tag", "issue_tag"))
+    if noted and "note" in df.columns:
+        out = out.withColumn("note", F.when(F.col("_tagged"), F.col("new_note")).otherwise(F.col("note")))
+    return out.select(*df.columns)
 
 
 def spill(df: DataFrame, texts: Sequence[str], threshold: int = 100_000) -> DataFrame:
