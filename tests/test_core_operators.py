@@ -387,9 +387,9 @@ def test_stable_order_takes_the_least_ready(spark):
 
 def test_selection(spark):
     d = spark.createDataFrame([(1, "One"), (2, "two")], "id int, name string")
-    assert [r.name for r in R.selected(d, "name", "id", ["TWO", "1"]).orderBy("request").collect()] == ["two", "One"]
+    assert [r.name for r in R.selected(d, "name", "id", ["TWO", "1"], F.lit(0)).orderBy("request").collect()] == ["two", "One"]
     with pytest.raises(PySparkException):
-        R.selected(d, "name", "id", ["three"]).collect()
+        R.selected(d, "name", "id", ["three"], F.lit(0)).collect()
 
 
 def test_exclusion_keeps_emptied_groups(spark):

@@ -14,22 +14,24 @@ from pyspark.sql import functions as F
 
 from tracewright.session import cut_lineage
 
-MAX_ROUNDS = 200
 
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """``start`` plus everything ``step`` adds to the newest rows until a round adds nothing.
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``start`` plus everything ``step`` adds to the newest rows until a round adds nothing."""
+    There are as many rounds as the longest way is long; the rows are finite, so it ends.
+    """
     frontier = cut_lineage(start.distinct())
     known = frontier
-    for i in range(max_rounds):
+    rounds = 0
+    while True:
         fresh = step(frontier).select(*known.columns).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
         frontier = cut_lineage(fresh)
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
-        if i % 4 == 3:
+        rounds += 1
+        if rounds % 4 == 0:
             known = cut_lineage(known)
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -55,10 +57,21 @@ def distances(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> D
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of every path of one step and more; a node reaches itself only on a cycle."""
-    e = cut_lineage(clean(edges))
-    hop = e.withColumnsRenamed({"src": "via", "dst": "to"})
-    return fixpoint(e, lambda f: f.join(hop, f.dst == hop.via).select("src", F.col("to").alias("dst")), ["src", "dst"])
+    """(src, dst) of every path of one step and more; a node reaches itself only on a cycle.
+
+    New pairs are joined with all known ones, so paths double each round.
+    """
+    known = cut_lineage(clean(edges))
+    frontier = known
+    while True:
+        hop = known.withColumnsRenamed({"src": "via", "dst": "to"})
+        back = known.withColumnsRenamed({"src": "from", "dst": "via"})
+        ahead = frontier.join(hop, frontier.dst == hop.via).select("src", F.col("to").alias("dst"))
+        behind = frontier.join(back, frontier.src == back.via).select(F.col("from").alias("src"), "dst")
+        frontier = cut_lineage(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = cut_lineage(known.unionByName(frontier))
 
 
 def closure_without_start(edges: DataFrame) -> DataFrame:
@@ -67,10 +80,46 @@ def closure_without_start(edges: DataFrame) -> DataFrame:
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes of cycles with the least node of their component; others are left out."""
-    c = closure(edges)
-    mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    """(node, component): nodes of cycles with the least node of their component; others are left out.
+
+    Forward colours and backward search: every node takes the least node that reaches it as
+    its colour; the component of a colour is what reaches the colour's own node within it.
+    Edges between colours and those of found components are dropped, and the rest goes
+    round again.  One row per node is all that is stored; no pairs.
+    """
+    e = cut_lineage(clean(edges))
+    loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    e = cut_lineage(e.where("src <> dst"))
+    found = None
+    while not (e := _trimmed(e)).isEmpty():
+        nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+        colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+        while True:  # the least label travels along the edges
+            low = e.join(colour, e.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
+            new = cut_lineage(colour.join(low, "node", "left").select("node", F.least("colour", "low").alias("colour"), F.col("colour").alias("old")))
+            colour = new.select("node", "colour")
+            if new.where("colour <> old").isEmpty():
+                break
+        inner = e.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").where("a = b").select("src", "dst")
+        inner = cut_lineage(inner)
+        back = inner.select(F.col("dst").alias("at"), F.col("src").alias("next"))
+        roots = colour.where("node = colour")
+        part = fixpoint(roots, lambda f: f.join(back, f.node == back.at).select(F.col("next").alias("node"), "colour"), ["node"])
+        # a root that only reaches itself is no cycle
+        part = cut_lineage(part.join(part.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour"), "colour").select("node", F.col("colour").alias("component")))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("node").unionByName(roots.select("node")).distinct()  # a root's component is known now
+        e = inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        e = cut_lineage(e)
+    single = loops if found is None else loops.join(found.select("node"), "node", "left_anti")
+    return single if found is None else found.unionByName(single)
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The edges whose start has an edge into it and whose end has one out of it; the others lie on no cycle."""
+    return cut_lineage(
+        e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    )
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
@@ -81,7 +130,7 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return e.join(big.withColumnRenamed("node", "src"), "src", "left_semi").join(big.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node of each connected component, edges read both ways.
 
     Labels are pulled from the neighbours and from the label's own label, which halves long
@@ -93,7 +142,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     if nodes is not None:
         every = every.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null"))
     label = cut_lineage(every.distinct().withColumn("component", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label, both.dst == label.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         pulled = label.join(near, "node", "left").select("node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
         jump = pulled.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -101,10 +150,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
-def waves(depends: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def waves(depends: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, wave): nodes whose needs are all in earlier waves, level by level.
 
     ``depends``: ``(node, needs)``.  A need that is no node is an error, and so is a cycle.
@@ -116,7 +164,9 @@ def waves(depends: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) ->
         raise ValueError(f"unknown dependency: {unknown[0][0]}")
     done = None
     rest = all_nodes
-    for wave in range(max_rounds):
+    wave = -1
+    while True:
+        wave += 1
         blocked = needs.join(rest.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node").distinct()
         ready = cut_lineage(rest.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave)))
         if ready.isEmpty():
@@ -125,7 +175,8 @@ def waves(depends: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) ->
             raise ValueError("the dependencies have a cycle")
         done = ready if done is None else done.unionByName(ready)
         rest = cut_lineage(rest.join(ready.select("node"), "node", "left_anti"))
-    raise RuntimeError(f"more than {max_rounds} waves")
+        if wave % 8 == 7:
+            done = cut_lineage(done)
 
 
 def ready(tasks: DataFrame, needs: DataFrame, done: Column, failed: Column) -> DataFrame:
@@ -143,7 +194,7 @@ def chain_to_ancestor(parents: DataFrame, start: DataFrame, stop: DataFrame) ->
     return fixpoint(first.where("node <> ancestor"), lambda f: f.join(p, f.ancestor == p.child).where("parent <> node").select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")), ["node", "ancestor"])
 
 
-def capped_walk(edges: DataFrame, seeds: DataFrame, stop: DataFrame, cap: int = 20, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def capped_walk(edges: DataFrame, seeds: DataFrame, stop: DataFrame, cap: int = 20) -> DataFrame:
     """(seed, node, depth, stops, kept, truncated): breadth-first walk per seed that does not go on from ``stop`` nodes.
 
     ``edges``: ``src``, ``dst``, ``seq`` (the order of a node's edges).  A node is visited
@@ -157,7 +208,7 @@ def capped_walk(edges: DataFrame, seeds: DataFrame, stop: DataFrame, cap: int =
     start = seeds.select(F.col(seeds.columns[0]).alias("seed")).where("seed is not null").distinct()
     frontier = cut_lineage(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("way"), F.lit(False).alias("stops")))
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         live = frontier.where(~F.col("stops"))
         nxt = live.join(e, live.node == e.src).select("seed", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array(F.col("seq").cast("bigint"))).alias("way"))
         first = nxt.groupBy("seed", "node").agg(F.min(F.struct("depth", "way")).alias("m")).select("seed", "node", "m.depth", "m.way")
@@ -166,8 +217,6 @@ def capped_walk(edges: DataFrame, seeds: DataFrame, stop: DataFrame, cap: int =
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier))
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
     targets = seen.where("depth > 0")
     w = Window.partitionBy("seed")
     pos = F.row_number().over(w.orderBy("depth", "way", "node"))

@@ -6,8 +6,9 @@ operator here forces a broadcast of a side whose size is not bounded by its role
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,8 +72,8 @@ def overlay(base: DataFrame, profile: DataFrame, key: str) -> DataFrame:
 
 
 def inverted(df: DataFrame, key: str, items: str) -> DataFrame:
-    """(item, keys): for each list element the sorted keys that hold it."""
-    return df.select(F.explode(items).alias("item"), key).groupBy("item").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+    """(item, key): each distinct key under each list element it holds, one row each, so a common item is no single row."""
+    return df.select(F.explode(items).alias("item"), key).distinct()
 
 
 def by_priority(sources: Sequence[DataFrame], key: str) -> DataFrame:
@@ -231,25 +232,41 @@ def batch_of(df: DataFrame, order: str, total: int, within: Sequence[str], bucke
 def budget_chunks(df: DataFrame, by: str, order: str, item: str, size: str, budget: int) -> DataFrame:
     """(by, chunk, items, size): greedy packing in order; an item larger than the budget is alone.
 
-    The fold runs over the ordered items of one group; only ids and sizes are gathered, so
-    a group is as large as its list of items.
+    One pass over the ordered items of a group, in Arrow batches: where a chunk ends depends
+    on where the one before does, so the ids and sizes of one group go through one task, in
+    linear time, a batch at a time.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & (a["sum"] + x["s"] > budget)
-        pos = F.size(a["starts"])
-        last = F.when(pos > 0, F.element_at(a["starts"], -1)).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(
-            F.concat(a["starts"], F.array(F.when(new, last + 1).otherwise(last))).alias("starts"),
-            F.when(new, x["s"]).otherwise(a["sum"] + x["s"]).alias("sum"),
-            F.when(new, F.lit(1).cast("bigint")).otherwise(a["n"] + 1).alias("n"),
-        )
-
-    folded = df.groupBy(by).agg(rows.alias("r")).withColumn("c", F.aggregate("r", start, step)["starts"])
-    flat = folded.select(by, F.explode(F.arrays_zip("r", "c")).alias("z")).select(by, F.col("z.c").alias("chunk"), F.col("z.r.i").alias("i"), F.col("z.r.s").alias("s"))
-    return flat.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("items"), F.sum("s").alias("size"))
+    kind = df.schema[by].dataType.simpleString()
+    rows = df.select(F.col(by).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s"), F.col(item).alias("i"))
+    # the group's rows meet in one partition, sorted; nothing but the running chunk is held
+    sorted_rows = rows.repartition("g").sortWithinPartitions("g", "o", "i").select("g", "s")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        group, chunk, items, total = none, 0, 0, 0
+        for b in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+
+            def close() -> None:
+                for column, v in zip(out, (group, chunk, items, total)):
+                    column.append(v)
+
+            for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if group is none or g != group:
+                    if group is not none:
+                        close()
+                    group, chunk, items, total = g, 0, 0, 0
+                elif items and total + s > budget:
+                    close()
+                    chunk, items, total = chunk + 1, 0, 0
+                items, total = items + 1, total + s
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], ["g", "chunk", "items", "size"])
+            last_type = b.schema.field(0).type
+        if group is not none:
+            yield pa.RecordBatch.from_arrays([pa.array([group], last_type), pa.array([chunk], pa.int64()), pa.array([items], pa.int64()), pa.array([total], pa.int64())], ["g", "chunk", "items", "size"])
+
+    return sorted_rows.mapInArrow(pack, f"g {kind}, chunk bigint, items bigint, size bigint").withColumnRenamed("g", by)
 
 
 def merged_layers(df: DataFrame, by: str, attr: str, layer: str, pos: str, value: str) -> DataFrame:
@@ -277,14 +294,22 @@ def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
 # ---------------------------------------------------------------- selections and lookups
 
 
-def selected(df: DataFrame, name: str, order: str, wanted: Sequence[str]) -> DataFrame:
-    """Rows chosen by 1-based number or by name (case aside), in the order of the request; an unknown token is an error."""
+def selected(df: DataFrame, name: str, order: str, wanted: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows chosen by 1-based number or by name (case aside), in the order of the request; an unknown token is an error.
+
+    A number wins over an equal name; every row of an equal name is chosen.  The request is the
+    caller's list; two equi joins look it up.  See :func:`position` for ``bucket``.
+    """
     spark = df.sparkSession
-    numbered_rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))  # a list to choose from
     ask = spark.createDataFrame([(i, w.strip()) for i, w in enumerate(wanted)], "request int, token string")
-    hit = ask.join(numbered_rows, (F.col("token") == F.col("_n").cast("string")) | (F.lower("token") == F.lower(name)), "left")
-    checked = hit.withColumn(name, F.when(F.col("_n").isNotNull(), F.col(name)).otherwise(F.raise_error(F.concat(F.lit("no such item: "), F.col("token")))))
-    return checked.drop("_n", "token")
+    places = position(df, [], [order], bucket).withColumn("_token", F.col("pos").cast("string"))
+    by_number = F.broadcast(ask).join(places, F.col("token") == F.col("_token")).drop("_token", "pos")
+    by_name = F.broadcast(ask).join(df.withColumn("_token", F.lower(name)), F.lower("token") == F.col("_token")).drop("_token")
+    hit = by_number.unionByName(by_name.join(by_number.select("request").distinct(), "request", "left_anti"))
+    missing = ask.join(hit.select("request").distinct(), "request", "left_anti").select("request", "token")
+    error = F.raise_error(F.concat(F.lit("no such item: "), F.col("token")))
+    failed = missing.select(F.coalesce(error.cast("int"), "request").alias("request"), "token", *[error.cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return hit.unionByName(failed).drop("token")
 
 
 def without(df: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -87,7 +87,7 @@ def f08_endpoint_exclusion(spark, sf_dir):
 @core.add("f11_select_by_token", "SELECT r.request, n_name AS name FROM (VALUES (0, '3'), (1, 'nation_0'), (2, '1')) r(request, token) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) n ON r.token = CAST(k AS VARCHAR) OR lower(r.token) = lower(n_name)")
 def f11_select_by_token(spark, sf_dir):
     n = read_table(spark, sf_dir, "nation")
-    return R.selected(n.withColumn("name", F.col("n_name")), "name", "n_nationkey", ["3", "nation_0", "1"]).select("request", "name")
+    return R.selected(n.withColumn("name", F.col("n_name")), "name", "n_nationkey", ["3", "nation_0", "1"], F.lit(0)).select("request", "name")
 
 
 @core.add(
