@@ -117,6 +117,49 @@ def test_defects(prompt, response, status, elsewhere, cut, defect):
     assert P.defects([prompt], [response], [status], [elsewhere], np.array([cut])) == [defect]
 
 
+def test_refusals_and_empty_answers_of_any_length():
+    advice = " You may try a smaller file instead, or ask the owner of the table for a copy of it." * 20
+    assert P.is_refusal("I'm sorry, but I can't help with `loadAll`." + advice)
+    assert P.is_refusal("Thank you for the details. I must decline to answer." + advice)
+    assert not P.is_refusal("The loader reads rows." * 3 + advice + " I can't help with more.")
+    assert not P.is_refusal("I can't help but notice:\n```python\nreturn 1\n```")
+    # words that only look like refusing
+    assert not P.is_refusal("Der Dienst wird Anfragen ohne Schlüssel ablehnen.") and not P.is_refusal("系統會婉拒過期的請求。") and not P.is_refusal("The user was not comfortable with the form.")
+    assert not P.is_refusal("Hai cannot provident.") and P.is_refusal("恕我無法提供。")
+    assert P.is_empty('{"a": [' + ", ".join(['""'] * 5000) + "]}") and not P.is_empty('{"a": [' + ", ".join(['""'] * 5000) + ", 0]}")
+    assert P.is_empty("[" * 30_000 + "]" * 30_000)
+
+
+def test_short_chinese_questions_are_copies():
+    prompt = "這裡有一份記錄。\n\n為什麼載入器會失敗？請提出修法。"
+    assert P.is_copy(prompt, "為什麼載入器會失敗？請提出修法。") and not P.is_copy(prompt, "因為佇列沒有清空，所以要先等待。")
+
+
+def test_the_bound_loses_no_copy():
+    r = random.Random(8)
+    for _ in range(300):
+        p = "".join(r.choice("abc ") for _ in range(80))
+        q = "".join(r.choice(("abc ", p[(k := r.randrange(60)) : k + 20])[r.random() < 0.5]) for _ in range(4))
+        assert P._at_most(p, q, 12) >= P.coverage(p, q, 12)[0]
+
+
+def test_contexts_reach_behind_long_words(fitted):
+    base = "She saw a lazy dog near our old house."
+    texts = [base + " " * 5000 + ")", "x " * 3 + "y" * 5000 + ".", base]
+    tail = T._tail_contexts(texts)
+    whole = [T.contexts(*T._symbolise([t]), T.groups_of([t]), np.array([len(T._symbolise([t])[0]) - 1]))[0] for t in texts]
+    assert (tail == np.array(whole)).all()
+    assert T.form("x" * 1000 + " = f(1)") == 3
+
+
+def test_thresholds_move_little_with_few_texts():
+    counts = np.zeros((T.GROUPS, 160), np.int64)
+    counts[0, 20], counts[0, 120] = 500, 9500
+    counts[1, 55] = 3
+    limits = T.thresholds(counts)
+    assert -5.5 <= limits[0] <= -1 and abs(limits[1] - limits[2]) < 2.5
+
+
 def test_find_defects(spark, fitted):
     rows = [(1, PROMPT, None, "ok", None, "x"), (2, PROMPT, None, "running", None, "x"), (3, PROMPT, None, "ok", "k", "x"), (4, PROMPT, PROMPT, "ok", None, "x"), (5, None, "She saw a dog.", None, None, "x")]
     df = spark.createDataFrame(rows, "id bigint, prompt string, response string, status string, response_payload_key string, defect string")

@@ -16,7 +16,6 @@ decides, except that a whole copy or refusal is never called truncated.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import jsontext
 from tracewright.llm import truncation
 from tracewright.llm.language import _HAN, prose, votes
 
@@ -38,51 +38,62 @@ _FENCE = re.compile(r"```[\w+-]*")
 
 
 def _no_content(value) -> bool:
-    if isinstance(value, dict):
-        return all(map(_no_content, value.values()))
-    if isinstance(value, list):
-        return all(map(_no_content, value))
-    return value is None or (isinstance(value, str) and is_empty(value))
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, (dict, list)):
+            stack.extend(v.values() if isinstance(v, dict) else v)
+        elif isinstance(v, str):
+            if not _blank(v):
+                return False
+        elif v is not None:
+            return False
+    return True
+
+
+def _blank(text: str) -> bool:
+    return not _FENCE.sub("", _BLANK.sub(" ", text)).strip()
 
 
 def is_empty(text: str | None) -> bool:
-    """Blank, an empty fence, or JSON that holds no content."""
+    """Blank, an empty fence, or JSON that holds no content: nulls, blanks and what holds only those."""
     if not text:
         return True
     s = _FENCE.sub("", _BLANK.sub(" ", text)).strip()
-    if not s:
+    if not s or s == "null":
         return True
-    if len(s) < 2000 and (s[0] + s[-1] in ("{}", "[]", '""') or s == "null"):
+    if s[0] + s[-1] in ("{}", "[]", '""'):
         try:
-            return _no_content(json.loads(s))
-        except (ValueError, RecursionError):
+            return _no_content(jsontext.load(s))
+        except ValueError:
             return False
     return False
 
 
 # ---------------------------------------------------------------- refusal
 
-#: Phrases that decline a request.
+#: Phrases by which a speaker declines; letters at their ends must not go on.
 REFUSALS = (
-    "can't help with", "cannot help with", "can not help with", "can't assist", "cannot assist", "not something i can assist", "not something i can help", "unable to process this request", "unable to help", "unable to assist",
-    "unable to comply", "unable to fulfil", "unable to answer", "won't be able to", "will not be able to", "must decline", "have to decline", "i decline", "decline to answer", "cannot be fulfilled", "can't be fulfilled", "can't fulfil", "cannot fulfil",
-    "cannot comply", "can't comply", "against my guidelines", "not comfortable", "i will not continue", "outside what i am allowed", "i am not allowed", "i'm not allowed", "i can't do that", "cannot provide", "can't provide", "must refuse", "i refuse",
-    "i'm not able to", "i am not able to", "i cannot answer", "i can't answer", "i cannot continue", "i can't continue",
-    "無法協助", "无法协助", "恕我無法", "恕我无法", "無法提供", "无法提供", "超出我可以提供", "超出我能", "婉拒", "不能回答", "無法回答", "无法回答", "拒絕回答", "拒绝回答", "不便提供", "不能協助", "不能协助", "無法處理這個請求", "不能提供協助",
-    "nicht helfen", "leider ablehnen", "muss ich ablehnen", "ablehnen", "nicht beantworten", "darf ich nicht", "kann ich leider nicht", "nicht weiterhelfen", "nicht erlaubt",
-    "no puedo ayudar", "no me es posible", "debo rechazar", "no puedo responder", "no puedo continuar", "no estoy autorizad", "tengo que rechazar", "no puedo atender",
+    "i can't help", "i cannot help", "i can not help", "i can't assist", "i cannot assist", "something i can assist", "something i can help", "i am unable to", "i'm unable to", "i won't be able to", "i will not be able to",
+    "i must decline", "i have to decline", "i need to decline", "i decline", "must respectfully decline", "request cannot be fulfilled", "request can't be fulfilled", "i cannot fulfil", "i can't fulfil", "i cannot fulfill", "i can't fulfill", "i cannot comply", "i can't comply",
+    "against my guidelines", "i'm not comfortable", "i am not comfortable", "i will not continue", "i won't continue", "what i am allowed", "what i'm allowed", "i am not allowed", "i'm not allowed", "i can't do that", "i cannot do that", "i cannot provide", "i can't provide", "i must refuse", "i have to refuse", "i refuse",
+    "i'm not able to", "i am not able to", "i cannot answer", "i can't answer", "i cannot continue", "i can't continue", "i don't feel comfortable",
+    "我無法", "我无法", "恕我", "恕無法", "恕无法", "無法協助您", "无法协助您", "超出我可以", "超出我能", "超出了我", "必須婉拒", "必须婉拒", "我婉拒", "我不能", "我拒絕", "我拒绝", "不便提供", "不便回答", "無法處理這個請求", "无法处理这个请求", "不能提供協助", "不能提供协助",
+    "kann ich nicht helfen", "kann ich leider nicht", "kann ich ihnen nicht", "kann ich nicht beantworten", "kann ich nicht weiterhelfen", "muss ich ablehnen", "muss ich leider ablehnen", "ich muss ablehnen", "ich lehne", "darf ich nicht", "ich darf nicht", "ist mir nicht erlaubt", "ich kann dabei nicht helfen",
+    "no puedo ayudar", "no puedo ayudarte", "no puedo ayudarle", "no me es posible", "debo rechazar", "debo negarme", "tengo que rechazar", "no puedo responder", "no puedo continuar", "no estoy autorizado", "no estoy autorizada", "no puedo atender", "no puedo proporcionar",
 )
-#: Characters a refusal may have in all, its advice included.
-REFUSAL_CHARS = 260
+#: Sentences at the beginning within which a refusal is pronounced.
+REFUSAL_SENTENCES = 2
 
 
 class PhraseAutomaton:
-    """Aho-Corasick over casefolded phrases: does a text contain any of them?"""
+    """Aho-Corasick over casefolded phrases: does a text contain any of them?  ``words``: not within longer words of letters."""
 
-    def __init__(self, phrases: tuple[str, ...]) -> None:
+    def __init__(self, phrases: tuple[str, ...], words: bool = False) -> None:
+        self.words = words
         self.next: list[dict[str, int]] = [{}]
         self.fail = [0]
-        self.ends = [False]
+        self.ends: list[tuple[int, ...]] = [()]  # lengths of the phrases that end here
         for p in phrases:
             at = 0
             for c in p.casefold():
@@ -90,9 +101,9 @@ class PhraseAutomaton:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.fail.append(0)
-                    self.ends.append(False)
+                    self.ends.append(())
                 at = self.next[at][c]
-            self.ends[at] = True
+            self.ends[at] += (len(p.casefold()),)
         todo = deque(self.next[0].values())
         while todo:
             at = todo.popleft()
@@ -101,21 +112,27 @@ class PhraseAutomaton:
                 while f and c not in self.next[f]:
                     f = self.fail[f]
                 self.fail[to] = self.next[f].get(c, 0) if self.next[f].get(c, 0) != to else 0
-                self.ends[to] = self.ends[to] or self.ends[self.fail[to]]
+                self.ends[to] += self.ends[self.fail[to]]
                 todo.append(to)
 
     def search(self, text: str) -> bool:
         at = 0
-        for c in text.casefold().replace("’", "'"):
+        s = text.casefold().replace("’", "'")
+        for i, c in enumerate(s):
             while at and c not in self.next[at]:
                 at = self.fail[at]
             at = self.next[at].get(c, 0)
-            if self.ends[at]:
+            if self.ends[at] and (not self.words or any(not _goes_on(s, i - n, i - n + 1) and not _goes_on(s, i, i + 1) for n in self.ends[at])):
                 return True
         return False
 
 
-_REFUSES = PhraseAutomaton(REFUSALS)
+def _goes_on(s: str, i: int, j: int) -> bool:
+    """Do the characters at two neighbouring places belong to one word of letters?"""
+    return i >= 0 and j < len(s) and s[i].isalpha() and s[j].isalpha() and s[i] < "\u2e80" and s[j] < "\u2e80"
+
+
+_REFUSES = PhraseAutomaton(REFUSALS, words=True)
 
 
 def _texts_of(value) -> Iterator[str]:
@@ -135,17 +152,23 @@ def said(text: str) -> str:
     s = text.strip()
     if s[:1] in ("{", "["):
         try:
-            return "\n".join(_texts_of(json.loads(s)))
-        except (ValueError, RecursionError):
+            return "\n".join(t for t in reversed(list(_texts_of(jsontext.load(s)))) if t.strip())
+        except ValueError:
             pass
     return text
 
 
+_CODE_LINE = re.compile(r"(?m)^\s*(?:return|def|class|import|from|if|for|while|public|private|protected|[\w.\[\]]+ = |[\w.]+\([^)]*\);?$)")
+
+
 def is_refusal(text: str) -> bool:
-    if len(text) > 2 * REFUSAL_CHARS:
-        return False
+    """A text of any length whose first sentences decline and which gives no code after all."""
     s = said(text).strip()
-    return len(re.sub(r"`[^`]*`", "", s)) <= REFUSAL_CHARS and _REFUSES.search(s)
+    head = "".join(_SENTENCE.findall(re.sub(r"`[^`\n]*`", "x", s))[:REFUSAL_SENTENCES])
+    return _REFUSES.search(head) and "```" not in s and not _CODE_LINE.search(s.lstrip("# "))
+
+
+_SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?](?!\s)[^.!?。！？\n]*)*(?:[.!?。！？\n]+|\Z)")
 
 
 # ---------------------------------------------------------------- copy
@@ -155,8 +178,10 @@ COPY_RUN = 12
 #: Share of the response that lies in such matches, and characters it may add (a label, a fence).
 COPY_SHARE = 0.9
 COPY_EXTRA = 40
-#: A shorter response is not called a copy.
+#: A shorter response is not called a copy; a Chinese character counts as two.
 COPY_LEAST = 20
+#: The same for a response that is mostly Chinese, whose words are shorter.
+COPY_RUN_HAN = 6
 
 _MARKS = re.compile(r"^[ \t]*(?:>[ \t]?)+|```\w*|[*_#]{2,}", re.M)
 
@@ -224,12 +249,19 @@ def coverage(prompt: str, response: str, run: int = COPY_RUN) -> tuple[int, int]
     return int((np.cumsum(mark)[:-1] > 0).sum()), len(response)
 
 
-def _may_copy(prompt: str, response: str) -> bool:
-    """A copy has most of its evenly spaced pieces in the prompt; spares the automaton for the others."""
-    n = len(response)
-    step = max(COPY_RUN, n // 16)
-    at = range(0, n - COPY_RUN + 1, step)
-    return sum(response[i : i + COPY_RUN] in prompt for i in at) >= 0.5 * len(at)
+def _at_most(prompt: str, response: str, run: int) -> int:
+    """An upper bound of the characters of the response that lie in matches of ``run`` and more.
+
+    Every such character lies in a piece of ``run`` characters that stands in the prompt, so
+    no copy is lost by asking this bound before the automaton is built.
+    """
+    pieces = {prompt[i : i + run] for i in range(len(prompt) - run + 1)}
+    covered = end = 0
+    for i in range(len(response) - run + 1):
+        if response[i : i + run] in pieces:
+            covered += i + run - max(i, end)
+            end = i + run
+    return covered
 
 
 def is_copy(prompt: str | None, response: str) -> bool:
@@ -237,20 +269,26 @@ def is_copy(prompt: str | None, response: str) -> bool:
     if not prompt:
         return False
     p, r = plain(prompt), plain(response)
-    if len(r) < COPY_LEAST or not _may_copy(p, r):
+    n, han = len(r), len(_HAN.findall(r))
+    if n + han < COPY_LEAST:
         return False
-    covered, n = coverage(p, r)
-    return covered >= COPY_SHARE * n and n - covered <= COPY_EXTRA or (covered >= COPY_LEAST and n - covered <= min(COPY_EXTRA // 2, covered // 2) and r.endswith(p[-COPY_RUN:]))
+    run = COPY_RUN_HAN if 2 * han > n else COPY_RUN
+
+    def enough(covered: int) -> bool:
+        rest = n - covered
+        return covered >= COPY_SHARE * n and rest <= COPY_EXTRA or (covered + han >= COPY_LEAST and rest <= min(COPY_EXTRA // 2, covered // 2) and r.endswith(p[-run:]))
+
+    return enough(_at_most(p, r, run)) and enough(coverage(p, r, run)[0])
 
 
 # ---------------------------------------------------------------- language
 
-#: How a task begins, by language; Chinese ones may stand anywhere in the sentence.
+#: Verbs of what a model is asked to do, and question words, by language.
 _ASKS = {
-    "en": r"(?i)^(?:please )?(?:explain|describe|tell|show|compare|summari[sz]e|list|translate|rewrite|port|give|write|implement|convert|which|why|how|what)\b",
-    "zh": r"為什麼|为什么|請解釋|请解释|請說明|请说明|請把|请把|請列出|请列出|請用|请用|請提出|请提出|請移植|请移植|哪一段|哪個|哪个|如何處理|怎麼修|依照簽名|改寫成|寫出",
-    "de": r"(?i)^(?:bitte )?(?:erkläre|beschreibe|fasse|schreibe|übertrage|nenne|liste|vergleiche|warum|welche[rs]?|wozu|wie|was)\b|^bitte die methode|nach python übertragen",
-    "es": r"(?i)^(?:por favor,? )?(?:explica|describe|resume|reescribe|pasa|enumera|traduce|escribe|compara)\b|¿",
+    "en": r"(?i)^(?:please )?(?:explain|describe|tell|show|compare|summari[sz]e|list|translate|rewrite|port|give|write|implement|convert|which|why|how|what|can you|could you)\b",
+    "zh": r"為什麼|为什么|如何|怎麼|怎么|哪[一個个些]|(?:請|请)(?:你|您|幫我|帮我)*(?:解釋|解释|說明|说明|描述|列出|列舉|列举|用|把|將|将|提出|寫|写|改|給|给|翻譯|翻译|移植|比較|比较|摘要|總結|总结|實作|实现|轉|转)|^(?:依|按|根據|根据)[^，。]*(?:寫|写|改|列|譯|译)",
+    "de": r"(?i)^(?:bitte )?(?:erkläre|beschreibe|fasse|schreibe|übertrage|übersetze|nenne|liste|vergleiche|warum|weshalb|wieso|welche[rs]?|wozu|wie|was)\b|^bitte\b.*\b(?:erklären|beschreiben|zusammenfassen|schreiben|umschreiben|übertragen|übersetzen|nennen|auflisten|vergleichen)\b",
+    "es": r"(?i)^(?:por favor,? )?(?:explica|describe|resume|reescribe|pasa|convierte|enumera|traduce|escribe|compara)\b|¿",
 }
 _ASK_RE = {k: re.compile(v) for k, v in _ASKS.items()}
 _NAMES = {
@@ -318,9 +356,9 @@ def answer_language(response: str) -> str | None:
         return None
     if form == 1:
         try:
-            parts = [t for t in _texts_of(json.loads(s)) if not _codelike(t)]
+            parts = [t for t in _texts_of(jsontext.load(s)) if not _codelike(t)]
             return winner(prose("\n".join(parts)))
-        except (ValueError, RecursionError):
+        except ValueError:
             pass
     return winner(prose(s))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracewright.plans import Registry
 from tracewright.session import read_table
 
@@ -56,8 +58,6 @@ def p6_pieces(spark, sf_dir):
 
 
 def _mixture(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     from tracewright.llm.encoding import count_tokens
     from tracewright.llm.mixing import mix, quality
     from tracewright.session import cut_lineage
@@ -107,8 +107,8 @@ def p5_found(spark, sf_dir):
 def p5_rates(spark, sf_dir):
     from tracewright.llm import truncation
 
-    done = truncation.finished(read_table(spark, sf_dir, "llm_traces")).where("length(trim(response)) > 0")
-    return truncation.rates(truncation.flag_truncated(done, "id", "response", source="prompt", keep=("caller",)))
+    done = truncation.finished(read_table(spark, sf_dir, "llm_traces")).where("length(trim(response)) > 0").withColumn("chars", F.char_length("response"))
+    return truncation.rates(truncation.flag_truncated(done, "id", "response", source="prompt", keep=("caller", "status", "output_tokens", "chars")))
 
 
 @llm.add("p7_found")

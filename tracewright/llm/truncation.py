@@ -11,9 +11,11 @@ character, so does a word of more than ``SHORT_WORD`` letters and an identifier;
 are skipped.  ``return f(x)`` and ``x = f(y)`` both end in ``)``, but a text ends after the
 first only.
 
-Training is two passes with small states: the contexts at ends (combined per task, the
-``MODEL_CONTEXTS`` most frequent kept, which bounds the model), then how often each of them
-is inside a text.  Applying the model is one more row-local pass.
+Training is two passes over the texts with small states: the contexts at ends, which are kept
+(eight hashes a text, equal ones of a task together) and serve both the counts and, once
+the model is there, the histogram of the thresholds; then how often each known context is
+inside a text.  Applying the model is one more row-local pass.  A context is known if it ends
+``MIN_ENDS`` texts and ``MIN_SHARE`` of all texts, so there are at most ``ORDERS / MIN_SHARE``.
 
 Exact signs decide where there are any: an explicit mark of clipping or an open delimiter
 (a code fence or a JSON value that is never closed) means cut, a JSON value that is closed
@@ -23,7 +25,6 @@ the prompt back ends wherever the prompt does).
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,26 +34,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import jsontext
 from tracewright.llm.language import LANGUAGES, language
 from tracewright.llm.spans import Hasher
+from tracewright.session import cut_lineage
 
 #: Longest context, in characters as counted here.
 ORDERS = 8
-#: Contexts the model keeps: the most frequent ones at ends of texts.
-MODEL_CONTEXTS = 200_000
-#: A context must have ended this many texts to be in the model.
+#: A context must have ended this many texts, and this share of all, to tell more than the shorter one within it.
 MIN_ENDS = 4
+MIN_SHARE = 1e-5
 #: Weight of the shorter context's estimate, in observations.
 BACKOFF = 4.0
 #: Words up to this many lower-case letters are told apart.
 SHORT_WORD = 6
-#: Log-odds below which a text is cut, where a group has too few texts for its own threshold.
+#: Log-odds about which the two heaps part; the threshold is the least filled place nearest to it.
 THRESHOLD = -3.0
+#: A group's histogram counts beside this many texts of all groups, so that few texts move it little.
+POOLED = 400
 #: Code points per step.
 CHUNK_CHARS = 1 << 20
 
 #: Marks that clipping leaves behind.
-CLIP_MARKS = ("…", "...", "[truncated]", "[output clipped]", "<cut>", "(truncated)", "[cut]", "[clipped]", "<truncated>", "�")
 _CLIPPED = re.compile(r"(?:…|\.\.\.|�|[\[(<](?:output )?(?:truncated|clipped|cut|cut off)[\])>])\s*$", re.I)
 
 _U = np.uint64
@@ -144,7 +147,7 @@ def form(text: str) -> int:
         return 1
     if s[:3] == "```":
         return 2
-    head = s[:400].split("\n", 1)[0]
+    head = s.split("\n", 1)[0]
     return 3 if re.match(r"(?:[\w.]+ = |[\w.]+\(|(?:if|for|with|while|return|def|class|raise|import|from|public|private) )", head) and re.search(r"[=()]|:$", head) else 0
 
 
@@ -192,15 +195,30 @@ def _ends(text: np.ndarray, texts: int) -> np.ndarray:
     return np.searchsorted(text, np.arange(texts), side="right") - 1
 
 
-#: The end of a text that its last contexts can reach, with room for long words and blanks.
-_TAIL = 600
+#: Characters at the end of a text that are read first; as many more as its last contexts need.
+_TAIL = 400
 
 
-def _tail_contexts(texts: list[str]) -> np.ndarray:
+def _tail_contexts(texts: list[str], group: np.ndarray | None = None) -> np.ndarray:
     """Contexts at the end of each text; the group is that of the whole text."""
-    group = groups_of(texts)
-    sym, text = _symbolise([t if len(t) <= _TAIL else t[-_TAIL:] for t in texts])
-    return contexts(sym, text, group, _ends(text, len(texts)))
+    group = groups_of(texts) if group is None else group
+    out = np.empty((len(texts), ORDERS), _U)
+    rows, size = np.arange(len(texts)), _TAIL
+    while len(rows):
+        part = [texts[i] if len(texts[i]) <= size else texts[i][-size:] for i in rows]
+        sym, text = _symbolise(part)
+        # the first symbol of a tail may be the rest of a longer word: one more than the context must be there
+        count = np.bincount(text, minlength=len(part))
+        whole = np.fromiter((len(texts[i]) <= size for i in rows), bool, len(rows))
+        done = whole | (count > ORDERS)
+        have = count > 0  # else the tail is all blanks (kept ones are whole)
+        got = np.full((len(part), ORDERS), 0, _U)
+        if have.any():
+            ends = _ends(text, len(part))
+            got[have] = contexts(sym, text, group[rows], ends[have])
+        out[rows[done]] = got[done]
+        rows, size = rows[~done], size * 4
+    return out
 
 
 # ---------------------------------------------------------------- training
@@ -234,24 +252,48 @@ class EndModel:
         return np.log(p / (1 - p))
 
 
-def train(texts: DataFrame, column: str) -> EndModel:
-    """Fit the model on every non-blank text of the column (two passes, states combined per task)."""
+_TAILS = "grp int, tail binary, n bigint"
+
+
+def tails(texts: DataFrame, column: str) -> DataFrame:
+    """(grp, tail, n): the end contexts of every non-blank text, equal ones of a step together; written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, part in _steps(batches, column):
+            group = groups_of(part)
+            # the longest context tells all the shorter ones apart
+            found = _tail_contexts(part, group)
+            _, first, n = np.unique(found[:, -1], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[first].astype(np.int32)), pa.array([found[i].tobytes() for i in first], pa.binary()), pa.array(n.astype(np.int64))], ["grp", "tail", "n"]
+            )
+
+    return cut_lineage(texts.select(column).where(F.length(column) > 0).mapInArrow(run, _TAILS))
+
+
+def _read_tails(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(b"".join(b.column("tail").to_pylist()), _U).reshape(-1, ORDERS)
+    return b.column("grp").to_numpy(), hashes, b.column("n").to_numpy()
+
+
+def train(texts: DataFrame, column: str, ending: DataFrame | None = None) -> EndModel:
+    """Fit the model on every non-blank text of the column; ``ending``: its :func:`tails`, if they are there already."""
+    ending = tails(texts, column) if ending is None else ending
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for _, _, part in _steps(batches, column):
-            keys, n = np.unique(_tail_contexts(part), return_counts=True)
-            parts.append((keys, n))
+        for b in batches:
+            _, hashes, n = _read_tails(b)
+            keys, at = np.unique(hashes, return_inverse=True)
+            parts.append((keys, np.bincount(at.reshape(-1), np.repeat(n, ORDERS), len(keys)).astype(np.int64)))
             if len(parts) >= 64:
                 parts = [_sum(parts)]
         if parts:
             yield _count_table(*_sum(parts))
 
     narrow = texts.select(column).where(F.length(column) > 0)
-    top = (
-        narrow.mapInArrow(ends, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ENDS)
-        .orderBy(F.desc("n"), "ctx").limit(MODEL_CONTEXTS).toArrow()
-    )
+    least = max(MIN_ENDS, MIN_SHARE * (ending.agg(F.sum("n")).first()[0] or 0))
+    top = ending.mapInArrow(ends, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     ctx = top.column("ctx").to_numpy().view(_U)
     order = np.argsort(ctx)
     ctx, end_counts = ctx[order], top.column("n").to_numpy()[order]
@@ -316,11 +358,8 @@ def open_delimiter(text: str) -> bool:
         return False
     if s[:1] == "[" and not re.match(r"\[\s*(?:[\[{\"\d\]]|true|false|null)", s):
         return False
-    try:
-        json.loads(s)
+    if jsontext.is_json(s):
         return False
-    except (ValueError, RecursionError):
-        pass
     # a stack over the delimiters outside of strings: closed in the right order or not
     stack, inside, escaped = [], False, False
     for c in s:
@@ -347,11 +386,7 @@ def closed_json(text: str) -> bool:
     s = text.strip()
     if s[:1] not in ("{", "[", '"'):
         return False
-    try:
-        json.loads(s)
-        return True
-    except (ValueError, RecursionError):
-        return False
+    return jsontext.is_json(s)
 
 
 def clipped(text: str) -> bool:
@@ -392,21 +427,27 @@ def echoes_end(text: str, source: str | None) -> bool:
 # ---------------------------------------------------------------- thresholds and application
 
 
-def thresholds(scores: np.ndarray, groups: np.ndarray, default: float = THRESHOLD) -> dict[int, float]:
-    """Per group the least filled place between the two heaps of its log-odds histogram."""
-    return {int(g): _valley(np.sort(scores[groups == g]), default) for g in np.unique(groups)}
+_EDGES = np.linspace(-10, 10, 161)
+#: The part of the histogram in which a threshold may lie, in bins of twice the width.
+_LOW, _HIGH = -5.5, -1.0
+
+
+def thresholds(counts: np.ndarray) -> dict[int, float]:
+    """Per group the least filled place between the two heaps of its log-odds; ``counts``: groups x bins of ``_EDGES``.
+
+    A group of ``n`` texts counts beside ``POOLED`` texts with the shape of all groups, so the
+    thresholds of large groups are their own and those of small ones near the common one.
+    """
+    at = np.flatnonzero((_EDGES[:-1] >= _LOW) & (_EDGES[:-1] < _HIGH))
+    pairs = counts[:, at].reshape(len(counts), -1, 2).sum(2).astype(float)
+    total = max(1, counts.sum())
+    return {g: _valley(own + POOLED * pairs.sum(0) / total, _EDGES[at][::2] + 0.125) for g, own in enumerate(pairs)}
 
 
-def _valley(s: np.ndarray, default: float) -> float:
-    if len(s) < 400:
-        return default
-    edges = np.arange(-5.5, -0.9, 0.25)
-    heights = np.histogram(s, edges)[0].astype(float)
+def _valley(heights: np.ndarray, mids: np.ndarray) -> float:
     smooth = np.convolve(heights, [0.25, 0.5, 0.25], "same")
-    low = smooth.min()
-    flat = np.flatnonzero(smooth <= low * 1.05 + 0.5)
-    middle = flat[np.argmin(np.abs(edges[flat] + 0.125 - default))]
-    return float(edges[middle] + 0.125)
+    flat = np.flatnonzero(smooth <= smooth.min() * 1.05 + 0.5)
+    return float(mids[flat[np.argmin(np.abs(mids[flat] - THRESHOLD))]])
 
 
 def score_texts(model: EndModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -414,28 +455,23 @@ def score_texts(model: EndModel, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return model.log_odds(_tail_contexts(texts)), groups_of(texts)
 
 
-def histogram(texts: DataFrame, column: str, model: EndModel) -> dict[int, float]:
-    """Thresholds from the histograms of all texts (groups x bins counts reach the driver)."""
-    edges = np.linspace(-10, 10, 161)
+def histogram(ending: DataFrame, model: EndModel) -> dict[int, float]:
+    """Thresholds from the log-odds of all texts, scored from their :func:`tails` (groups x bins counts reach the driver)."""
+    bins = len(_EDGES) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((GROUPS, len(edges) - 1), np.int64)
-        for _, _, part in _steps(batches, column):
-            s, g = score_texts(model, part)
-            b = np.clip(np.digitize(s, edges) - 1, 0, len(edges) - 2)
-            np.add.at(total, (g, b), 1)
+        total = np.zeros((GROUPS, bins), np.int64)
+        for b in batches:
+            group, hashes, n = _read_tails(b)
+            np.add.at(total, (group, np.clip(np.digitize(model.log_odds(hashes), _EDGES) - 1, 0, bins - 1)), n)
         flat = total.reshape(-1)
         used = np.flatnonzero(flat)
         yield _count_table(used.astype(_U), flat[used])
 
-    got = texts.select(column).where(F.length(column) > 0).mapInArrow(run, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(GROUPS * (len(edges) - 1), np.int64)
+    got = ending.mapInArrow(run, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(GROUPS * bins, np.int64)
     counts[got.column("ctx").to_numpy()] = got.column("n").to_numpy()
-    mids = (edges[1:] + edges[:-1]) / 2
-    out = {}
-    for g, row in enumerate(counts.reshape(GROUPS, -1)):
-        out[g] = _valley(np.repeat(mids, row), THRESHOLD)
-    return out
+    return thresholds(counts.reshape(GROUPS, -1))
 
 
 def cut_flags(model: EndModel, limits: dict[int, float], texts: list[str], sources: list[str | None] | None = None) -> np.ndarray:
@@ -452,8 +488,10 @@ def cut_flags(model: EndModel, limits: dict[int, float], texts: list[str], sourc
 
 
 def fit(texts: DataFrame, column: str) -> tuple[EndModel, dict[int, float]]:
-    model = train(texts, column)
-    return model, histogram(texts, column, model)
+    """(model, thresholds) of a column; runs three jobs.  Both are small values: keep them and pass them as ``fitted``."""
+    ending = tails(texts, column)
+    model = train(texts, column, ending)
+    return model, histogram(ending, model)
 
 
 def flag_truncated(df: DataFrame, key: str, column: str, *, source: str | None = None, keep: tuple[str, ...] = (), fitted: tuple[EndModel, dict[int, float]] | None = None) -> DataFrame:
@@ -484,7 +522,20 @@ def finished(traces: DataFrame) -> DataFrame:
 
 
 def rates(flagged: DataFrame, by: Column | str = "caller") -> DataFrame:
-    """Per source: rows with an answer, those cut, and the share."""
-    return flagged.groupBy(by).agg(
-        F.count(F.lit(1)).alias("answers"), F.count_if(F.col("truncated")).alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("rate")
-    )
+    """Per source: rows with an answer, those cut, and the share.
+
+    With the columns ``status`` and ``output_tokens`` also the cut ones that count as ``ok`` and the mean
+    tokens the model wrote per kept character of cut and of whole answers: where the first
+    is higher, the field lost what the model had written; where they are alike, the model
+    itself stopped.
+    """
+    cut = F.col("truncated")
+    more = []
+    if {"status", "output_tokens", "chars"} <= set(flagged.columns):
+        per_char = F.when(F.col("chars") > 0, F.col("output_tokens") / F.col("chars"))
+        more = [
+            F.count_if(cut & (F.col("status") == "ok")).alias("truncated_at_ok"),
+            F.avg(F.when(cut, per_char)).alias("tokens_per_char_cut"),
+            F.avg(F.when(~cut, per_char)).alias("tokens_per_char_whole"),
+        ]
+    return flagged.groupBy(by).agg(F.count(F.lit(1)).alias("answers"), F.count_if(cut).alias("truncated"), F.avg(cut.cast("double")).alias("rate"), *more)
