@@ -1,6 +1,7 @@
 """Percentiles, splitting and mixing."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -40,13 +41,15 @@ def test_levels_agree_with_each_other(spark):
     rows = [("m", "c", f"r{i % 3}", ("2031-01-01T23:30:00Z", "2031-01-02T07:30:00+08:00", "2031-01-02T00:30:00+0000", "bad", None)[i % 5], r.choice([-1, None, 5, 7, 900])) for i in range(300)]
     df = spark.createDataFrame(rows, "model string, caller string, run_id string, ts string, latency_ms bigint")
     got = percentiles.latency_percentiles(df, points=(0.5,)).collect()
-    want = [("all", None, None, 300), ("day", "2031-01-01", None, 120), ("day", "2031-01-02", None, 60), ("day", None, None, 120), ("run", None, "r0", 100), ("run", None, "r1", 100), ("run", None, "r2", 100)]
-    assert sorted(((x.level, x.day and str(x.day), x.run_id, x.rows) for x in got), key=repr) == sorted(want, key=repr)
+    runs = percentiles.run_percentiles(df, points=(0.5,)).collect()
+    want = [("all", None, 300), ("day", "2031-01-01", 120), ("day", "2031-01-02", 60), ("day", None, 120)]
+    assert sorted(((x.level, x.day and str(x.day), x.rows) for x in got), key=repr) == sorted(want, key=repr)
+    assert sorted((x.run_id, x.rows) for x in runs) == [("r0", 100), ("r1", 100), ("r2", 100)]
     v = sorted(x for *_, x in rows if x is not None and x >= 0)
     total = next(x for x in got if x.level == "all")
-    assert total.n == len(v) == sum(x.n for x in got if x.level == "run") == sum(x.n for x in got if x.level == "day")
+    assert total.n == len(v) == sum(x.n for x in runs) == sum(x.n for x in got if x.level == "day")
     assert v[int(len(v) * 0.5) - 1] <= total.p50 <= v[int(len(v) * 0.5) + 1]
-    assert percentiles.latency_percentiles(df.limit(0)).collect() == []
+    assert percentiles.latency_percentiles(df.limit(0)).collect() == percentiles.run_percentiles(df.limit(0)).collect() == []
 
 
 # ---------------------------------------------------------------- splitting
@@ -170,3 +173,14 @@ def test_empty_inputs(spark, stock):
 def test_source_spellings(spark):
     df = spark.createDataFrame([("Bug_Report ",), ("bug-report",), ("BUG REPORT",), (" ",), (None,)], "s string")
     assert [r[0] for r in df.select(mixing.source_name(F.col("s"))).collect()] == ["bug_report"] * 3 + [None] * 2
+
+
+def test_mixture_orders_the_straddling_cell_only(spark):
+    """No exchange or window over all documents: the one sort stands behind the filter of the cell."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(3).alias("tokens"), F.lit(1.0).alias("weight"))
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    got = mixing.mix(docs, targets, total_tokens=1900, buckets=16).collect()
+    assert sum(r.tokens * r.repeats for r in got) == 1899 and {r.repeats for r in got} == {1, 2} and len(got) == 400
+    plan = mixing.mix(docs, targets, total_tokens=1900, buckets=16)._jdf.queryExecution().optimizedPlan().toString()
+    below = re.search(r"Window \[[^\n]*sum\(tokens#[^\n]*\n(.*)", plan, re.S).group(1)
+    assert "isnull(" in below[: below.index("Aggregate")]

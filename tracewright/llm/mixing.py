@@ -96,12 +96,17 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     keyed = keyed.withColumn("k", key).withColumn("cell", F.floor((1 - F.exp(-F.col("k"))) * buckets).cast("int"))
     cells = keyed.groupBy("source", "cell").agg(F.sum("tokens").alias("cell_tokens"))
     run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("cell_tokens").over(run)).select("source", "cell", (F.col("upto") - F.col("cell_tokens")).alias("before"), "upto")
+    upto = F.sum("cell_tokens").over(run)
+    cells = cells.withColumn("upto", upto).join(F.broadcast(plan.select("source", "rest")), "source")
+    before = F.col("upto") - F.col("cell_tokens")
+    # 1: the whole cell is taken, 0: none of it, null: the budget runs out in it (one cell per source at most)
+    cells = cells.select("source", "cell", before.alias("before"), F.when(F.col("upto") <= F.col("rest"), 1).when(before >= F.col("rest"), 0).alias("more"))
     placed = keyed.join(F.broadcast(cells), ["source", "cell"])  # at most targets x buckets rows
-    inside = Window.partitionBy("source", "cell").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = placed.where(F.col("more").isNotNull()).select("doc_id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("repeats"))
+    inside = Window.partitionBy("source").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.col("before") + F.sum("tokens").over(inside) <= F.col("rest")
-    repeats = F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(taken.cast("int"))
-    return placed.select("doc_id", "source", "tokens", repeats.cast("bigint").alias("repeats")).where("repeats > 0")
+    edge = placed.where(F.col("more").isNull()).select("doc_id", "source", "tokens", (F.col("epochs") + taken.cast("int")).alias("repeats"))
+    return whole.unionByName(edge).withColumn("repeats", F.col("repeats").cast("bigint")).where("repeats > 0")
 
 
 def report(mixture: DataFrame, targets: DataFrame) -> DataFrame:

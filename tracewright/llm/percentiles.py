@@ -78,22 +78,20 @@ def point_name(p: float) -> str:
 
 
 def latency_percentiles(traces: DataFrame, *, k: int = DEFAULT_K, points: tuple[float, ...] = DEFAULT_POINTS) -> DataFrame:
-    """``latency_ms`` per model and caller in all, per day and per run; negative values are sentinels and left out.
+    """``latency_ms`` per model and caller in all and per day; negative values are sentinels and left out.
 
-    ``level`` says which: ``all`` (``day`` and ``run_id`` null), ``day`` or ``run``.  Everything is
-    merged from one set of sketches per model, caller, day and run, the way stored states of
-    single runs or days are combined: the trace table is read once.  ``day`` is the UTC day
-    of ``ts``, null where that is no time.
+    ``level`` says which: ``all`` (``day`` null) or ``day``.  Both are merged from one set of
+    sketches per model, caller and day, the way stored states of single days are combined:
+    the trace table is read once.  ``day`` is the UTC day of ``ts``, null where that is no time.
     """
-    base = sketch(
-        traces.withColumn("day", F.to_date(_utc(F.col("ts")))), ["model", "caller", "day", "run_id"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0
-    )
-    none = {"day": F.lit(None).cast("date"), "run_id": F.lit(None).cast("string")}
-    out = None
-    for level, by in (("all", []), ("day", ["day"]), ("run", ["run_id"])):
-        merged = merge(base, ["model", "caller", *by]).withColumns({c: v for c, v in none.items() if c not in by}).withColumn("level", F.lit(level))
-        out = merged if out is None else out.unionByName(merged)
-    return percentiles(out, points, k=k)
+    base = sketch(traces.withColumn("day", F.to_date(_utc(F.col("ts")))), ["model", "caller", "day"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0)
+    total = merge(base, ["model", "caller"]).withColumns({"day": F.lit(None).cast("date"), "level": F.lit("all")})
+    return percentiles(total.unionByName(base.withColumn("level", F.lit("day"))), points, k=k)
+
+
+def run_percentiles(traces: DataFrame, *, k: int = DEFAULT_K, points: tuple[float, ...] = DEFAULT_POINTS) -> DataFrame:
+    """The same per model, caller and run.  Most runs have a few calls: their state is their values, and the percentiles are exact."""
+    return percentiles(sketch(traces, ["model", "caller", "run_id"], "latency_ms", k=k, valid=F.col("latency_ms") >= 0), points, k=k)
 
 
 def _utc(ts: Column) -> Column:

@@ -227,8 +227,9 @@ def _exchange(sent: DataFrame, coarse: int, fine: int) -> DataFrame:
                     yield from out.add(h, tail, grp.astype(np.int64), least, most)
             yield from out.flush()
 
-        sent = sent.repartition(coarse, "bucket").mapInArrow(spread, _BLOCK_SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(_receive, _BACK_SCHEMA)
+        sent = sent.repartitionById(coarse, F.col("bucket")).mapInArrow(spread, _BLOCK_SCHEMA)
+    # one partition per bucket: hashed onto partitions, several would fall on one task
+    return sent.repartitionById(coarse * fine, F.col("bucket")).groupBy("bucket").applyInArrow(_receive, _BACK_SCHEMA)
 
 
 _BLOCK = ["bucket", "h", "tail", "grp", "least", "mixed", "most"]
@@ -324,7 +325,7 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
     coarse, fine = _buckets(groups, fan_out)
 
     def grouped(d: DataFrame, gid: Column) -> DataFrame:
-        return d.withColumn("gid", gid).repartition(groups, "gid")
+        return d.withColumn("gid", gid).repartitionById(groups, F.col("gid"))
 
     texts = grouped(rows, F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
 
@@ -358,9 +359,9 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
         return got.append_column("spans", pa.array(spans, pa.binary()))
 
     cand_schema = f"key {key_kind}, owner bigint, txt string, gid int, spans binary"
-    hits = _exchange(texts.mapInArrow(send_anchors, _BLOCK_SCHEMA), coarse, fine)
+    hits = _exchange(texts.mapInArrow(send_anchors, _BLOCK_SCHEMA), coarse, fine).repartitionById(groups, F.col("gid"))
     found = texts.groupBy("gid").cogroup(hits.groupBy("gid")).applyInArrow(find_candidates, cand_schema)
-    cand = found.repartition(groups, "gid")
+    cand = found.repartitionById(groups, F.col("gid"))
 
     def each_chunk(table: pa.Table | pa.RecordBatch):
         spans = [np.frombuffer(s, np.int32).reshape(-1, 2) for s in table.column("spans").to_pylist()]
@@ -397,7 +398,7 @@ def shared_spans(df: DataFrame, *, key: str, owner: str, text: str, min_chars: i
         got = np.concatenate(chars) if chars else np.zeros(0, np.int64)
         return pa.table({"key": left.column("key").take(pa.array(index, pa.int64())), "shared_chars": pa.array(got, pa.int64())})
 
-    shared = _exchange(cand.mapInArrow(send_windows, _BLOCK_SCHEMA), coarse, fine)
+    shared = _exchange(cand.mapInArrow(send_windows, _BLOCK_SCHEMA), coarse, fine).repartitionById(groups, F.col("gid"))
     result = cand.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(measure, f"key {key_kind}, shared_chars bigint")
     return result.withColumnRenamed("key", key)
 

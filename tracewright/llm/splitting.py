@@ -86,26 +86,34 @@ def sizes(units: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def oversized(units: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """(unit_id, class_pos) of what :func:`split_units` cuts: -1 for the unit, else the class's index."""
+    """(unit_id, class_pos) of what :func:`split_units` cuts: -1 for the unit, else the class's index.
+
+    Read off the tilings: of the unit's text, and of each class by itself; what is cut into more
+    than one tile and exceeds ``limit`` has a row.
+    """
     s = sizes(units.select("unit_id", "classes"), limit).where(F.col("__total") > limit)
-    # the sizes of the classes that are cut come from the tiling itself: more than one piece
+    unit = F.size(cut_lengths(_joined(), limit, boundaries=_UNIT_BOUNDARIES)) > 1
     large = F.filter(F.sequence(F.lit(0), F.size("__sizes") - 1), lambda i: F.get("__sizes", i) > limit)
-    tiles = F.filter(
-        large, lambda i: F.size(cut_lengths(F.get("classes", i)["source"], limit)) > 1
-    )
-    return s.select(
-        F.col("unit_id").cast("bigint").alias("unit_id"),
-        F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), F.transform(tiles, lambda i: i.cast("bigint")))).alias("class_pos"),
-    )
+    tiles = F.filter(large, lambda i: F.size(cut_lengths(F.get("classes", i)["source"], limit)) > 1)
+    rows = F.concat(F.when(unit, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.transform(tiles, lambda i: i.cast("bigint")))
+    return s.select(F.col("unit_id").cast("bigint").alias("unit_id"), F.explode(rows).alias("class_pos"))
+
+
+#: A unit may also be cut before a class.
+_UNIT_BOUNDARIES = (r"(?<=\n)(?=package )", *JAVA_BOUNDARIES)
+
+
+def _joined() -> Column:
+    """The text of a unit: its sources with a line feed between them."""
+    return F.array_join(F.transform("classes", lambda c: F.coalesce(c["source"], F.lit(""))), "\n")
 
 
 def split_units(units: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Labelled pieces of every unit whose classes exceed ``limit`` characters in all.
 
-    Classes are taken in order and packed into pieces of at most ``limit``; a class that
-    alone is larger is cut by :func:`split_text`.  Each class is first tiled, then the
-    tiles of the unit follow one another as one text with a line feed between classes,
-    which is the text the pieces' offsets count in.  Every piece but the first repeats the
+    The classes of a unit follow one another as one text with a line feed between them, which
+    is the text the pieces' offsets count in; it is tiled by :func:`split_text`, where the
+    beginning of a class is the strongest boundary.  Every piece but the first repeats the
     last ``overlap`` characters of the one before.
 
     Columns: ``unit_id``, ``label`` (``<label>_piece<k>``), ``piece_no`` from 1, ``pieces``,
@@ -116,12 +124,10 @@ def split_units(units: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP)
     ``unit<unit_id>_piece<k>``.  Copies are cut each under their own id.
     """
     s = sizes(units.select("unit_id", "label", "classes"), limit).where(F.col("__total") > limit)
-    sources = F.transform("classes", lambda c: F.coalesce(c["source"], F.lit("")))
     joined = s.select(
-        "unit_id", "label", F.array_join(sources, "\n").alias("text"), F.transform("__sizes", lambda n: n + 1).alias("strides")
+        "unit_id", "label", _joined().alias("text"), F.transform("__sizes", lambda n: n + 1).alias("strides")
     )
-    strong = (r"(?<=\n)(?=package )", *JAVA_BOUNDARIES)
-    cut = joined.withColumn("cuts", split_text(F.col("text"), limit, overlap, strong))
+    cut = joined.withColumn("cuts", split_text(F.col("text"), limit, overlap, _UNIT_BOUNDARIES))
     ends = F.aggregate("strides", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     out = cut.withColumn("begins", F.slice(ends, 1, F.size("strides"))).select(
         "unit_id", "label", "begins", F.size("cuts").alias("pieces"), F.posexplode("cuts").alias("k", "c")
