@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tracewright.llm import subjects as S
@@ -52,7 +53,27 @@ def test_terms_no_example_holds_are_learnt(world):
     model, _ = S.fit(d, a, e)
     for i, s in enumerate(model.subjects):
         for t in TERMS[s][5:]:
-            assert model.told[:, model.vocabulary[t]].argmax() == i
+            assert model.h[: len(TERMS), model.vocabulary.get(t)].argmax() == i
+
+
+def test_mixtures_are_the_normalised_rows_of_the_factors(world):
+    d, a, e, _ = world
+    model, encoded = S.fit(d, a, e)
+    lists = encoded.where("doc_id < 5").toArrow().column("sentences").combine_chunks()
+    mixed = S.mixtures(model, lists)
+    assert np.allclose(mixed.sum(1), 1) and (mixed >= 0).all()
+    # read off by hand: one sentence factored alone gives the same row
+    ids = lists[0].as_py()[0]
+    w = S._weights(model.h, model.value, np.array(ids), np.zeros(len(ids), int), 1)[0, : len(TERMS)]
+    assert np.allclose(mixed[0], w / w.sum())
+
+
+def test_shares_come_from_sentences_about_something():
+    about, other, vague = [0.9, 0.1], [0.1, 0.9], [0.45, 0.45]
+    assert [s for s, _ in S.chosen(np.array([about, about, vague, vague]))] == [0]
+    assert [s for s, _ in S.chosen(np.array([about] * 4 + [other]))] == [0]  # a passing mention
+    assert sorted(s for s, _ in S.chosen(np.array([about] * 3 + [other] * 2))) == [0, 1]
+    assert S.chosen(np.array([vague])) == [] and S.chosen(np.zeros((0, 2))) == []
 
 
 def test_empty_tables_and_composition(world):
@@ -82,6 +103,6 @@ def test_no_term_is_left_out_however_many_there_are(spark):
     a = spark.createDataFrame([(s,) for s in own], "subject string")
     e = spark.createDataFrame([(s, f"{w}. {w}.") for s, w in own.items()] * 1, "subject string, text string")
     model, encoded = S.fit(d, a, e, rounds=2)
-    assert len(model.vocabulary) > 26_000 and {w for t in own.values() for w in t.split()} <= set(model.vocabulary)
+    assert len(model.vocabulary) > 26_000 and all(w in model.vocabulary for t in own.values() for w in t.split())
     got = {r.doc_id: r.subject for r in S.assign(model, encoded).where("doc_id >= 9000").collect()}
     assert got == {9000 + 10 * k + i: s for k, s in enumerate(own) for i in range(4)}

@@ -1,25 +1,27 @@
 """Subject areas of documents by seeded non-negative matrix factorisation.
 
-The rows of the matrix are all documents, its columns their terms (words, word pairs, pairs
-of Chinese characters), weighted by rarity.  It is factored into document x component and
-component x term matrices.  Components are anchored: the
-component of a subject begins with the terms that stand out in its labelled examples, and
-a term anchored to one subject is zero in the components of all others, which the
-multiplicative updates keep at zero.  Further components take up what documents of all
-subjects share.  Terms that no example holds find their component by the documents they
-stand in.  The components are then subjects as they are, without any matching afterwards.
-
-The factors are updated in turn.  Given the terms, the document side is local to each task;
-given the documents, the term side needs two sums of fixed size (components x terms and
-components x components), which are added up in two levels.  Nothing grows with the
-number of documents but the rows each task walks over, in ``ROUNDS`` passes over sentences
-kept as term numbers (written once to the checkpoint folder), and the number of terms: no term
-is left out, so the factors grow with the vocabulary.
-
-The factors say how much of each term every subject accounts for.  A sentence is about the
-subject its terms speak for most; a document deals with a subject when that subject has a good part of its sentences
-(``MIN_SHARE``, and for a second subject ``MIN_SENTENCES`` of them); at most
-``MAX_SUBJECTS`` are given, the largest first.
+The rows of the matrix are the sentences of all documents, its columns their terms (words,
+word pairs, pairs of Chinese characters), weighted by rarity.  It is factored into sentence x
+component and component x term matrices by alternating multiplicative updates.  Components are
+anchored: the component of a subject begins with the terms that stand out in its labelled
+examples, and a term anchored to one subject is zero in the components of all others, which
+the updates keep at zero.  Further components take up what sentences of all subjects share;
+they begin with the terms that examples of many subjects hold, and only with those.  Terms
+that no example holds find their component by the sentences they stand in.  The components
+are then subjects as they are, without any matching afterwards.
+
+A sentence's weights of the subjects' components, normalised to 1, are its mixture, and it is
+about the subject with the majority of it.  A document's mixture is the mean of the mixtures of
+the sentences that are about some subject; it deals with the subjects that have ``MIN_SHARE`` of
+its mixture, the largest first, at most ``MAX_SUBJECTS``.
+
+Texts are read once: sentences are kept as term hashes, then as term numbers (written to the
+checkpoint folder).  The factors are updated in turn.  Given the terms, the sentence side is
+local to each task; given the sentences, the term side needs two sums of fixed size (components x
+terms and components x components), which are added up in two levels.  Nothing grows with the
+number of documents but the rows each task walks over.  A term counts if it stands in ``MIN_DOCS``
+documents and in ``MIN_DOC_SHARE`` of all, so the vocabulary has at most the terms of an average
+document divided by ``MIN_DOC_SHARE``.
 """
 
 from __future__ import annotations
@@ -31,31 +33,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.session import cut_lineage
 
-#: A term stands in this many documents at least (examples count as documents); the model knows every such term.
+#: A term stands in this many documents at least (examples count as documents), and in this share of them.
 MIN_DOCS = 4
+MIN_DOC_SHARE = 1e-5
+#: Power of the rarity that weights a term: what all sentences share weighs little.
+RARITY = 2
 #: Components beside the subjects.
 SHARED = 6
-#: Updates of the term side, and of the document side within each.
-ROUNDS = 6
-INNER = 12
-#: Share of a document's sentences a subject needs; passing mentions lie below.
-MIN_SHARE = 0.27
+#: Updates of the term side at most, and of the sentence side within each; fewer once the term side changes by less than ``SETTLED``.
+ROUNDS = 3
+INNER = 8
+SETTLED = 0.02
+#: A sentence is about the subject that has this share of its mixture.
+MAJORITY = 0.5
+#: Share of a document's mixture a subject needs; passing mentions lie below.
+MIN_SHARE = 0.25
 MAX_SUBJECTS = 2
 #: Sentences a second subject needs, and the share of all sentences the first one needs.
 MIN_SENTENCES = 2
 MIN_TOLD = 0.15
-#: A term is evidence for a subject that accounts for this share of it.
-CLEAR = 0.5
-#: So is a term with this share of its documents in one subject.
-OWN_DOCS = 0.6
-#: A sentence is about a subject with this evidence (about one term), and this share of all evidence.
-EVIDENCE = 0.25
-MIN_EVIDENCE = 0.6
 
 # ---------------------------------------------------------------- terms
 
@@ -122,43 +124,100 @@ def terms(sentence: str) -> list[str]:
     return list(out)
 
 
+_HASHES: dict[str, int] = {}
+
+
+def term_hash(term: str) -> int:
+    """64 bits that stand for a term."""
+    h = _HASHES.get(term)
+    if h is None:
+        if len(_HASHES) > 500_000:
+            _HASHES.clear()
+        h = _HASHES[term] = xxhash.xxh3_64_intdigest(term)
+    return h
+
+
+def _nested(flat: pa.Array, sizes: list[int] | np.ndarray, per_doc: list[int] | np.ndarray) -> pa.ListArray:
+    """Lists of lists from the flat values, the sizes of the inner lists and how many of them each row has."""
+
+    def offsets(n) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32))
+
+    return pa.ListArray.from_arrays(offsets(per_doc), pa.ListArray.from_arrays(offsets(sizes), flat))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentences): each document's sentences as term hashes; the one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes, per_doc = [], [], []
+            for text in b.column(1).to_pylist():
+                own = [terms(x) for x in sentences(text)]
+                per_doc.append(len(own))
+                for ts in own:
+                    sizes.append(len(ts))
+                    flat += [term_hash(t) for t in ts]
+            lists = _nested(pa.array(np.array(flat, np.uint64).view(np.int64)), sizes, per_doc)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "sentences"])
+
+    return docs.mapInArrow(run, "doc_id bigint, sentences array<array<bigint>>")
+
+
 def _count_terms(docs: DataFrame) -> DataFrame:
-    """(term, docs) over all documents, combined per task."""
+    """(term, docs) over all hashed documents, combined per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, int] = {}
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for t in {t for s in sentences(text) for t in terms(s)}:
-                    count[t] = count.get(t, 0) + 1
-            if len(count) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["term", "docs"])
-                count = {}
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["term", "docs"])
+            ids, row, _ = _flat(b.column(1), False)
+            order = np.lexsort((ids, row))
+            ids, row = ids[order], row[order]
+            first = np.ones(len(ids), bool)
+            first[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
+            found, n = np.unique(ids[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["term", "docs"])
 
-    return docs.select("text").mapInArrow(run, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return docs.mapInArrow(run, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 # ---------------------------------------------------------------- the model
 
 
-class Subjects:
-    """Component x term matrix with the subjects first; ``told[s, t]``: share of term t that subject s accounts for."""
+class Vocabulary:
+    """Numbers of the known terms, by their hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
-    def __init__(self, subjects: list[str], vocabulary: dict[str, int], idf: np.ndarray, h: np.ndarray) -> None:
-        self.subjects, self.vocabulary, self.idf, self.h = subjects, vocabulary, idf, h
-        self.told = np.zeros((len(subjects), len(idf)))
+    def get(self, term: str) -> int | None:
+        n = int(self.numbers(np.array([term_hash(term)], np.uint64).view(np.int64))[0])
+        return n if n >= 0 else None
 
-    def numbers(self, sentence: str) -> list[int]:
-        get = self.vocabulary.get
-        return [i for t in terms(sentence) if (i := get(t)) is not None]
+    def __contains__(self, term: str) -> bool:
+        return self.get(term) is not None
 
 
-def _weights(h: np.ndarray, idf: np.ndarray, ids: np.ndarray, row: np.ndarray, n: int, inner: int = INNER) -> np.ndarray:
-    """Document x component weights for fixed terms, by multiplicative updates."""
+class Subjects:
+    """Component x term matrix with the subjects first; ``value``: the weight of each term."""
+
+    def __init__(self, subjects: list[str], vocabulary: Vocabulary, value: np.ndarray, h: np.ndarray) -> None:
+        self.subjects, self.vocabulary, self.value, self.h = subjects, vocabulary, value, h
+
+
+def _weights(h: np.ndarray, values: np.ndarray, ids: np.ndarray, row: np.ndarray, n: int, inner: int = INNER) -> np.ndarray:
+    """Sentence x component weights for fixed terms, by multiplicative updates."""
     k = len(h)
-    value = idf[ids]
+    value = values[ids]
     num = np.empty((n, k))
     for c in range(k):
         num[:, c] = np.bincount(row, h[c, ids] * value, n)
@@ -181,9 +240,9 @@ def _flat(lists: pa.ListArray, by_sentence: bool) -> tuple[np.ndarray, np.ndarra
     return ids, np.repeat(np.arange(len(size)), size), len(size)
 
 
-def _seed(subjects: list[str], examples: list[tuple[str, str]], vocabulary: dict[str, int], idf: np.ndarray) -> np.ndarray:
-    """Initial components: anchored terms in their subject only, spread ones in the shared components only, others in all."""
-    k, v = len(subjects), len(idf)
+def _seed(subjects: list[str], examples: list[tuple[str, str]], vocabulary: Vocabulary) -> np.ndarray:
+    """Initial components: anchored terms in their subject only, common ones in the shared components only, others in all subjects."""
+    k, v = len(subjects), len(vocabulary)
     count = np.zeros((k, v))
     size = np.zeros(k)
     at = {s: i for i, s in enumerate(subjects)}
@@ -192,8 +251,9 @@ def _seed(subjects: list[str], examples: list[tuple[str, str]], vocabulary: dict
         for sent in sentences(text):
             size[s] += 1
             for t in terms(sent):
-                if t in vocabulary:
-                    count[s, vocabulary[t]] += 1
+                n = vocabulary.get(t)
+                if n is not None:
+                    count[s, n] += 1
     rate = count / np.maximum(size[:, None], 1)
     total = rate.sum(0)
     best = rate.argmax(0)
@@ -209,32 +269,25 @@ def _seed(subjects: list[str], examples: list[tuple[str, str]], vocabulary: dict
     some = ~anchored & ~common & (seen > 0)
     h[:k, some] = 0.02 + rate[:, some] / np.maximum(rate[:, some].max(0), 1e-12) * 0.5
     noise = np.random.RandomState(3).rand(SHARED, v)
-    h[k:] = np.where(anchored, 0.0, np.where(common, 0.3 + noise, 0.05 * noise))
+    h[k:] = np.where(common, 0.3 + noise, 0.0)
     return h / np.linalg.norm(h, axis=1, keepdims=True).clip(1e-12)
 
 
-def _sums(encoded: DataFrame, h: np.ndarray, idf: np.ndarray, explain: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(W'V, W'W) over all documents: per task, then per component in two levels.
-
-    ``explain``: instead of W'V how much of each term's weight each component accounts for.
-    """
+def _sums(encoded: DataFrame, h: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(W'V, W'W) over all sentences: per task, then per component in two levels."""
     k, v = h.shape
+    small = h.astype(np.float32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wv, ww = np.zeros((k, v)), np.zeros((k, k))
         for b in batches:
-            ids, row, n = _flat(b.column(1), False)
+            ids, row, n = _flat(b.column(1), True)
             if not len(ids):
                 continue
-            w = _weights(h, idf, ids, row, n)
-            value = idf[ids]
-            if explain:
-                whole = np.zeros(len(ids))
-                for c in range(k):
-                    whole += w[row, c] * h[c, ids]
-                value = value / np.maximum(whole, 1e-12)
+            w = _weights(small, values, ids, row, n)
+            value = values[ids]
             for c in range(k):
-                wv[c] += np.bincount(ids, w[row, c] * value * (h[c, ids] if explain else 1.0), v)
+                wv[c] += np.bincount(ids, w[row, c] * value, v)
             ww += w.T @ w
         yield from _packed(np.concatenate([wv, ww], 1))
 
@@ -274,7 +327,7 @@ def _added(parts: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def fit(documents: DataFrame, areas: DataFrame, examples: DataFrame, *, rounds: int = ROUNDS) -> tuple[Subjects, DataFrame]:
-    """(model, encoded documents).
+    """(model, encoded documents); runs its passes at once.
 
     ``documents``: ``doc_id``, ``text``; ``areas``: ``subject``; ``examples``: ``subject``,
     ``text``, the labelled rows (a small table, read to the driver).  The encoded documents
@@ -283,92 +336,67 @@ def fit(documents: DataFrame, areas: DataFrame, examples: DataFrame, *, rounds:
     subjects = sorted(r.subject for r in areas.select("subject").where(F.col("subject").isNotNull()).distinct().collect())
     labelled = [(r.subject, r.text) for r in examples.select("subject", "text").where(F.col("text").isNotNull()).collect() if r.subject in set(subjects)]
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    both = docs.select("text").unionByName(examples.select("text").where(F.col("text").isNotNull()))
-    top = _count_terms(both).where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "term").toArrow()
-    names, df = top.column("term").to_pylist(), top.column("docs").to_numpy()
-    total = max(1, both.count())
-    idf = np.log(1 + total / np.maximum(df, 1)) / np.log(1 + total)
-    model = Subjects(subjects, {t: i for i, t in enumerate(names)}, idf, np.zeros((len(subjects) + SHARED, len(names))))
-    encoded = cut_lineage(_encode(docs, model))
-    model.h = _seed(subjects, labelled, model.vocabulary, idf)
-    for _ in range(rounds if len(names) else 0):
-        wv, ww = _sums(encoded, model.h, idf)
-        model.h = model.h * (wv / (ww @ model.h + 1e-9))
-        model.h /= np.linalg.norm(model.h, axis=1, keepdims=True).clip(1e-12)
-    if len(names):
-        parts, _ = _sums(encoded, model.h, idf, explain=True)
-        model.told = parts[: len(subjects)] / np.maximum(parts.sum(0), 1e-12)
-        by_documents = _document_shares(encoded, model)
-        total = by_documents.sum(0)
-        by_documents /= np.maximum(total, 1e-12)
-        # terms the shared components have taken up, but which stand in one subject's documents
-        late = (model.told.max(0) < CLEAR) & (total >= MIN_DOCS) & (by_documents.max(0) >= OWN_DOCS)
-        model.told[:, late] = by_documents[:, late]
+    read = cut_lineage(hashed(docs))
+    texts = examples.select(F.lit(-1).cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    total = max(1, read.count() + len(labelled))
+    least = max(MIN_DOCS, MIN_DOC_SHARE * total)
+    kept = _count_terms(read.unionByName(hashed(texts))).where(F.col("docs") >= least).toArrow()
+    order = np.argsort(kept.column("term").to_numpy())
+    vocabulary, df = Vocabulary(kept.column("term").to_numpy()), kept.column("docs").to_numpy()[order]
+    rarity = np.log(1 + total / np.maximum(df, 1)) / np.log(1 + total)
+    model = Subjects(subjects, vocabulary, rarity**RARITY, _seed(subjects, labelled, vocabulary))
+    encoded = cut_lineage(_encode(read, vocabulary))
+    for _ in range(rounds if len(vocabulary) else 0):
+        wv, ww = _sums(encoded, model.h, model.value)
+        new = model.h * (wv / (ww @ model.h + 1e-9))
+        new /= np.linalg.norm(new, axis=1, keepdims=True).clip(1e-12)
+        change = np.linalg.norm(new - model.h) / max(np.linalg.norm(model.h), 1e-12)
+        model.h = new
+        if change < SETTLED:
+            break
     return model, encoded
 
 
-def _document_shares(encoded: DataFrame, model: Subjects) -> np.ndarray:
-    """Subject x term: the documents a term stands in, each counted by the shares its sentences give it."""
-    k, v = len(model.subjects), len(model.idf)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((k, v))
-        for b in batches:
-            best, _ = sentence_subjects(model, b.column(1))
-            ends = np.cumsum(np.diff(b.column(1).offsets.to_numpy()))
-            doc = np.searchsorted(ends, np.arange(len(best)), side="right")
-            share = np.zeros((b.num_rows, k))
-            np.add.at(share, (doc[best >= 0], best[best >= 0]), 1.0)
-            share /= np.maximum(share.sum(1, keepdims=True), 1.0)
-            ids, row, _ = _flat(b.column(1), False)
-            pairs = np.unique(row * v + ids)  # a term counts once per document
-            for s in range(k):
-                sums[s] += np.bincount(pairs % v, share[pairs // v, s], v)
-        yield from _packed(sums)
-
-    out = np.zeros((k, v))
-    for c, x in _added(encoded.mapInArrow(task, _SUMS)):
-        out[c] = x
-    return out
-
+def _encode(read: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Hashes as term numbers; unknown terms and sentences without a known one are left out."""
 
-def _encode(docs: DataFrame, model: Subjects) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[n for s in sentences(t) if (n := model.numbers(s))] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["doc_id", "sentences"])
-
-    return docs.mapInArrow(run, "doc_id bigint, sentences array<array<int>>")
-
-
-def sentence_subjects(model: Subjects, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(subject of each sentence or -1, its evidence).
-
-    The evidence for a subject is the weight of the sentence's terms that it accounts for
-    for the most part, so it does not matter how common the language of the sentence is.
-    """
+            lists = b.column(1)
+            hashes, row, n = _flat(lists, True)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            ids = vocabulary.numbers(hashes)
+            known = ids >= 0
+            sizes = np.bincount(row[known], minlength=n)
+            some = sizes > 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), _nested(pa.array(ids[known].astype(np.int32)), sizes[some], np.bincount(doc[some], minlength=b.num_rows))], ["doc_id", "sentences"]
+            )
+
+    return read.mapInArrow(run, "doc_id bigint, sentences array<array<int>>")
+
+
+def mixtures(model: Subjects, lists: pa.ListArray) -> np.ndarray:
+    """Sentence x subject: each sentence's weights of the subjects' components, normalised to 1 (0 where it has none)."""
     ids, row, n = _flat(lists, True)
+    k = len(model.subjects)
     if not len(ids):
-        return np.full(n, -1), np.zeros(n)
-    value = model.idf[ids]
-    clear = np.where(model.told >= CLEAR, model.told, 0.0)
-    own = np.stack([np.bincount(row, clear[s, ids] * value, n) for s in range(len(model.subjects))], 1)
-    best, most = own.argmax(1), own.max(1)
-    sure = (most >= EVIDENCE) & (most >= MIN_EVIDENCE * own.sum(1))
-    return np.where(sure, best, -1), most
+        return np.zeros((n, k))
+    w = _weights(model.h, model.value, ids, row, n)[:, :k]
+    return w / np.maximum(w.sum(1, keepdims=True), 1e-12)
 
 
 def assign(model: Subjects, encoded: DataFrame, *, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, subject, share) of every subject a good part of the document's sentences is about."""
+    """(doc_id, subject, share) of every subject with a good part of the document's mixture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, evidence = sentence_subjects(model, b.column(1))
+            mixed = mixtures(model, b.column(1))
             ends = np.cumsum(np.diff(b.column(1).offsets.to_numpy()))
             ids, names, shares = [], [], []
             at = 0
             for doc_id, end in zip(b.column(0).to_pylist(), ends.tolist()):
-                for s, share in chosen(best[at:end], evidence[at:end], min_share):
+                for s, share in chosen(mixed[at:end], min_share):
                     ids.append(doc_id)
                     names.append(model.subjects[s])
                     shares.append(share)
@@ -378,25 +406,23 @@ def assign(model: Subjects, encoded: DataFrame, *, min_share: float = MIN_SHARE)
     return encoded.mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
-def chosen(best: np.ndarray, evidence: np.ndarray, min_share: float = MIN_SHARE) -> list[tuple[int, float]]:
-    """Subjects of one document from those of its sentences (-1: none), largest first.
+def chosen(mixed: np.ndarray, min_share: float = MIN_SHARE) -> list[tuple[int, float]]:
+    """Subjects of one document from the mixtures of its sentences, largest first.
 
-    The shares are of the sentences that are about some subject: fillers belong to none.  The
-    first subject needs ``MIN_TOLD`` of all sentences, each further one ``MIN_SENTENCES``.
+    The document's mixture is the mean over the sentences that are about some subject: fillers
+    belong to none.  The first subject needs ``MIN_TOLD`` of all sentences, each further one
+    ``MIN_SENTENCES``.
     """
-    mine = best >= 0
-    if not mine.any():
+    told = mixed[mixed.max(1, initial=0.0) >= MAJORITY]
+    if not len(told):
         return []
-    count = np.bincount(best[mine])
-    weight = np.bincount(best[mine], evidence[mine])
-    order = [s for s in np.lexsort((-weight, -count)) if count[s]]
-    told = int(mine.sum())
-    out = []
-    for s in order[:MAX_SUBJECTS]:
-        share = count[s] / told
-        enough = count[s] >= MIN_SENTENCES if out else count[s] >= MIN_TOLD * len(best)
-        if share >= min_share and enough:
-            out.append((int(s), float(share)))
+    whole = told.mean(0)
+    count = np.bincount(told.argmax(1), minlength=mixed.shape[1])
+    out: list[tuple[int, float]] = []
+    for s in np.lexsort((-count, -whole))[:MAX_SUBJECTS]:
+        enough = count[s] >= MIN_SENTENCES if out else count[s] >= MIN_TOLD * len(mixed)
+        if whole[s] >= min_share and enough:
+            out.append((int(s), float(whole[s])))
     return out
 
 
