@@ -39,6 +39,6 @@ def load_core() -> Registry:
     """Import the modules that register core queries and return the registry."""
     import importlib
 
-    for module in ("nested", "traces", "verification", "graphs", "lookups", "joins"):
+    for module in ("nested", "traces", "verification", "graphs", "lookups", "joins", "runs", "models", "files"):
         importlib.import_module(f"{__name__}.{module}")
     return core
