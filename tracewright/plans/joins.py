@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tracewright.functions import documents as Doc
-from tracewright.operators import nested
 from tracewright.operators import relational as R
 from tracewright.operators.traces import id_bucket
 from tracewright.plans import core
@@ -111,35 +108,6 @@ def f16_annotation_filter(spark, sf_dir):
     return c.where(F.arrays_overlap("c.annotations", F.array(*map(F.lit, ("Service", "RestController", "Entity"))))).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@core.add("f10_collection_leaves")
-def f10_collection_leaves(spark, sf_dir):
-    """(col_id, parent, pos, method): the request nodes of each tree (no SQL states the recursion)."""
-    t = nested.triples(read_table(spark, sf_dir, "collection_readonly_partial"), "col_id", "body")
-    return t.where((F.col("path") == "request.method") & F.col("parent").rlike(r"^item(\[\d+\]\.item)*$")).select(F.col("rec").alias("col_id"), "parent", "pos", F.col("value").alias("method"))
-
-
-@core.add("src08_folders")
-def src08_folders(spark, sf_dir):
-    """Top-level entries that own an item list."""
-    t = nested.triples(read_table(spark, sf_dir, "collection_readonly_partial"), "col_id", "body").where("parent = 'item'")
-    return t.groupBy("rec", "pos").agg(F.max(F.when((F.col("path") == "item") & (F.col("kind") == "array"), True)).alias("own"), F.max(F.when(F.col("path") == "name", F.col("value"))).alias("folder")).where("own").select(F.col("rec").alias("col_id"), "pos", "folder")
-
-
-@core.add("f26_schema_fields")
-def f26_schema_fields(spark, sf_dir):
-    """(entry_id, fields): name, type and need of the body properties of each entry's schema; distinct schemas are read once per batch."""
-
-    def body_fields(text: str) -> str:
-        try:
-            doc = json.loads(text)
-            schema = Doc.pointer(doc, "#/requestBody/content/application~1json/schema")
-        except (ValueError, KeyError, TypeError):
-            return "[]"
-        return json.dumps(Doc.schema_fields(schema))
-
-    return read_table(spark, sf_dir, "grading_controller").select("entry_id", Doc.column(body_fields)(F.col("param_schema")).alias("fields"))
-
-
 @core.add(
     "a09_module_drafts",
     "SELECT module, array_to_string(list_sort(list_distinct(list(case_id))), ',') AS cases FROM (SELECT case_id, arg_min(module, golden_id) AS module FROM golden GROUP BY case_id) GROUP BY module",

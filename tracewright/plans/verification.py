@@ -97,18 +97,6 @@ def c07_taint(spark, sf_dir):
     return D.tainted(g, "folder", F.col("response.status_code") >= 500).select("golden_id", "tainted")
 
 
-@core.add("f09_key_strip")
-def f09_key_strip(spark, sf_dir):
-    g = read_table(spark, sf_dir, "golden").select("golden_id", F.col("response.body").alias("body"))
-    return D.strip_keys(g, "golden_id", "body", ("comment", "email"))
-
-
-@core.add("c02_paths")
-def c02_paths(spark, sf_dir):
-    g = read_table(spark, sf_dir, "golden").select("golden_id", F.col("response.body").alias("body"))
-    return D.paths(g, "golden_id", "body")
-
-
 _PATH = "'/' || array_to_string(request.path, '/')"
 _MAP = """
 r AS (SELECT p AS route, min(golden_id) AS seq FROM (SELECT '/' || array_to_string(request.path[1:2], '/') AS p, golden_id FROM golden) GROUP BY p),

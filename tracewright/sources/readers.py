@@ -107,9 +107,9 @@ def excluded_cases(metadata: DataFrame) -> DataFrame:
 EXECUTIONS = "run struct<executions:array<struct<item:struct<name:string,request:struct<method:string,url:struct<path:array<string>>>>,response:struct<code:int,header:array<struct<key:string,value:string>>,stream:struct<type:string,data:array<int>>>>>>"
 
 
-def executions(spark: SparkSession, path: str) -> DataFrame:
-    """Runner report: (pos, name, method, path, status_code, content_type, body); an absent or empty body is null."""
-    e = spark.read.schema(EXECUTIONS).option("multiLine", "true").json(path).select(F.posexplode("run.executions").alias("pos", "e"))
+def executions(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
+    """Runner report (``one_per_line``: many of them, each on a line): (pos, name, method, path, status_code, content_type, body); an absent or empty body is null."""
+    e = spark.read.schema(EXECUTIONS).option("multiLine", not one_per_line).json(path).select(F.posexplode("run.executions").alias("pos", "e"))
     headers = F.map_from_entries(
         F.transform(F.coalesce("e.response.header", F.array().cast("array<struct<key:string,value:string>>")), lambda h: F.struct(F.lower(h["key"]), h["value"]))
     )
@@ -149,18 +149,18 @@ def resolved_property(c: Column) -> Column:
     return F.when(c.rlike(r"^\$\{[^:}]+:.*\}$"), F.when(d.contains("${"), F.lit("")).otherwise(d)).when(c.rlike(r"^\$\{[^}]*\}$"), F.lit("")).otherwise(c)
 
 
-def skip_list(spark: SparkSession, path: str) -> DataFrame:
+def skip_list(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
     """Endpoints of category ``skip``; none when the file is missing."""
     schema = "endpoint string, category string, detail string"
-    return _or_empty(spark, lambda: spark.read.schema(schema).option("multiLine", "true").json(path), schema).where("category = 'skip'").select("endpoint", "detail")
+    return _or_empty(spark, lambda: spark.read.schema(schema).option("multiLine", not one_per_line).json(path), schema).where("category = 'skip'").select("endpoint", "detail")
 
 
 FILLS = "endpoint string, param_schema string, note string, fill_mode string, values map<string,string>, raw_body string, file_paths map<string,string>, decision string, last_apply_error string"
 
 
-def manual_fills(spark: SparkSession, path: str) -> DataFrame:
+def manual_fills(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
     """Entries of all controller files of a folder with the controller's name."""
-    raw = spark.read.schema(FILLS).option("multiLine", "true").json(path)
+    raw = spark.read.schema(FILLS).option("multiLine", not one_per_line).json(path)
     return raw.withColumn("controller", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 

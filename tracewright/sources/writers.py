@@ -33,8 +33,19 @@ def report_text() -> Column:
     )
 
 
+def merged_cases(recordings: Sequence[DataFrame]) -> DataFrame:
+    """(case_id, skipped): the cases of several recordings, each once; skipped in any of them is skipped."""
+    every = recordings[0]
+    for r in recordings[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("case_id").agg(F.bool_or(F.coalesce("skipped", F.lit(False))).alias("skipped"))
+
+
 def merged_metadata(recordings: Sequence[DataFrame]) -> DataFrame:
-    """Case lists of several recordings as one row: ``recorded_at`` (latest), ``total_cases``, ``cases``, ``skipped``."""
+    """Case lists of several recordings as one row: ``recorded_at`` (latest), ``total_cases``, ``cases``, ``skipped``.
+
+    The row is the metadata file of one collection, which lists its cases; see :func:`merged_cases` for any number of them.
+    """
     every = recordings[0]
     for r in recordings[1:]:
         every = every.unionByName(r)
@@ -57,10 +68,11 @@ def apply_results(entries: DataFrame, results: DataFrame, key: str) -> DataFrame
     return j.withColumn("changed", ~new.eqNullSafe(F.col("last_apply_error"))).withColumn("last_apply_error", new).drop("_hit", "_error")
 
 
-def spilled_payloads(traces: DataFrame, threshold: int = 100_000) -> DataFrame:
-    """(key, text) of the payload files to write: sections of the texts of ``threshold`` UTF-8 bytes and more."""
+def spilled_payloads(traces: DataFrame, threshold: int = 100_000, keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, key, text) of the payload files to write: sections of the texts of ``threshold`` UTF-8 bytes and more."""
+
     def part(title: str, c: str) -> Column:
         return F.when(F.octet_length(c) >= threshold, F.concat(F.lit(f"## {title}\n\n"), F.col(c), F.lit("\n\n")))
 
     texts = F.concat_ws("", part("Prompt", "prompt"), part("Response", "response"))
-    return traces.select(F.concat("run_id", F.lit("/"), "trace_id", F.lit(".md")).alias("key"), texts.alias("text")).where("text <> ''")
+    return traces.select(*keep, F.concat("run_id", F.lit("/"), "trace_id", F.lit(".md")).alias("key"), texts.alias("text")).where("text <> ''")
