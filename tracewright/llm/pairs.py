@@ -253,15 +253,19 @@ def _at_most(prompt: str, response: str, run: int) -> int:
     """An upper bound of the characters of the response that lie in matches of ``run`` and more.
 
     Every such character lies in a piece of ``run`` characters that stands in the prompt, so
-    no copy is lost by asking this bound before the automaton is built.
+    no copy is lost by asking this bound before the automaton is built.  It is 0 once more than
+    ``COPY_EXTRA`` characters lie in none, which no copy has.
     """
-    pieces = {prompt[i : i + run] for i in range(len(prompt) - run + 1)}
-    covered = end = 0
-    for i in range(len(response) - run + 1):
-        if response[i : i + run] in pieces:
-            covered += i + run - max(i, end)
+    n = len(response)
+    end = missing = 0
+    for i in range(n):
+        if i <= n - run and response[i : i + run] in prompt:
             end = i + run
-    return covered
+        elif i >= end:
+            missing += 1
+            if missing > COPY_EXTRA:
+                return 0
+    return n - missing
 
 
 def is_copy(prompt: str | None, response: str) -> bool:
