@@ -112,6 +112,30 @@ def _names(t: list[str], i: int, stop: tuple[str, ...]) -> tuple[list[str], int]
     return [p[0].rsplit(".", 1)[-1] for p in _parts(t[start:i])], i
 
 
+#: Words before a bracket that call nothing.
+NO_CALLS = frozenset("if for while switch catch return new super this synchronized throw assert else do try".split())
+
+
+def call_sites(t: list[str]) -> list[list]:
+    """[receiver, name, before] of each call in a body, in order of the names.
+
+    ``receiver``: a name, a dotted way, or empty for a call of the own class; ``before``: the number of
+    the call whose result the method is called on, -1 otherwise.
+    """
+    out: list[list] = []
+    ends: dict[int, int] = {}  # place after a call's bracket -> its number
+    for i in range(len(t) - 1):
+        if t[i + 1] != "(" or not re.match(r"[A-Za-z_$]", t[i]) or t[i] in NO_CALLS or (i and t[i - 1] == "new"):
+            continue
+        way, _, name = t[i].rpartition(".")
+        before = ends.get(i - 1, -1) if i and t[i - 1] == "." else -1
+        if i and t[i - 1] == "." and before < 0:
+            continue  # on the value of something that is no call
+        ends[_block(t, i + 1)] = len(out)
+        out.append([way, name, before])
+    return out
+
+
 def declarations(source: str) -> Iterator[tuple]:
     """(owner, kind, name, type, annotations, extra) of the declarations of a source, in order.
 
@@ -198,9 +222,10 @@ def declarations(source: str) -> Iterator[tuple]:
             while i < n and t[i] not in ("{", ";"):
                 i += 1
             body = i < n and t[i] == "{"
+            calls = call_sites(t[i + 1 : _block(t, i) - 1]) if body else []
             if owner is not None and re.match(r"[A-Za-z_$]", head[-1]):
                 made = len(head) == 1
-                yield owner, "constructor" if made else "method", head[-1], None if made else type_text(head[:-1]), marks, {"params": params, "has_body": body}
+                yield owner, "constructor" if made else "method", head[-1], None if made else type_text(head[:-1]), marks, {"params": params, "has_body": body, "calls": calls}
             i = _block(t, i) if body else i + 1
             continue
         # a field: one type, several names
@@ -288,7 +313,7 @@ def entity_types(declared: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def entity_fields(declared: DataFrame, keep: tuple[str, ...], *, auditing: bool = False) -> DataFrame:
-    """Fields of all classes with what their annotations say; ``auditing``: the project turns auditing of dates on."""
+    """Fields of the classes of the data model with what their annotations say; ``auditing``: the project turns auditing of dates on."""
     relation = _first((_has(r), F.lit(r)) for r in RELATIONS)
     joined = F.col("relation").isin("ManyToOne", "OneToOne")
 
@@ -298,7 +323,8 @@ def entity_fields(declared: DataFrame, keep: tuple[str, ...], *, auditing: bool
     def scalar(key: str, kind: str) -> Column:
         return F.when(F.col("relation").isNull(), value_of("Column", key).try_cast(kind))
 
-    f = declared.where(F.col("kind") == "field").withColumn("relation", relation)
+    models = entity_types(declared, keep).select(*keep, F.col("class_name").alias("owner")).distinct()
+    f = declared.where(F.col("kind") == "field").join(models, [*keep, "owner"], "left_semi").withColumn("relation", relation)
     mapped = F.when(F.col("relation") == "OneToOne", value_of("OneToOne", "mappedBy")).when(F.col("relation") == "ManyToMany", value_of("ManyToMany", "mappedBy"))
     table = F.when(F.col("relation") == "ManyToMany", value_of("JoinTable", "name"))
     join_columns = F.try_element_at("annotations", F.lit("JoinTable"))

@@ -45,11 +45,6 @@ def g13_call_sites(spark, sf_dir):
     return J.calls(_files(spark, sf_dir).drop("file_path"))
 
 
-@core.add("g13_import_edges")
-def g13_import_edges(spark, sf_dir):
-    return J.import_edges(J.class_facts(_files(spark, sf_dir)))
-
-
 @core.add(
     "j17_units_without_import",
     rf"WITH {_FILES} SELECT unit_id FROM map_units WHERE unit_id NOT IN (SELECT unit_id FROM f WHERE regexp_matches(source, '(?m)^\s*import\s'))",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import documents as Doc
 from tracewright.functions import openapi as O
 from tracewright.functions import scalars as X
+from tracewright.operators import callgraph as G
 from tracewright.operators import entities as E
 from tracewright.operators import layout as L
 from tracewright.operators import sourcecode as J
@@ -21,6 +22,7 @@ from tracewright.session import read_table
 
 _CLASS = """package app.m%1$d.utils;
 import app.base.Base;
+import app.m%4$d.utils.S%4$d;
 
 @Entity
 @Table(name = "t_%1$d", schema = SCHEMA, uniqueConstraints = {@UniqueConstraint(columnNames = {"a_%1$d", "b"}), @UniqueConstraint(columnNames = "c")})
@@ -38,9 +40,20 @@ public class S%1$d extends Base<Long> implements HasCode {
     @Value("${app.maxSize%3$d.k}") String conf;
     @CreatedDate LocalDateTime made;
     public S%1$d(String name) { this.name = name; }
+    public S%1$d load%1$d(long id) { return this; }
+    S%1$d twin() { return this; }
     @ExceptionHandler(Oops%3$d.class) public void handle%3$d(Oops%3$d e) { if (open) { return; } }
 }
 enum Kind%1$d implements HasCode%2$s { A(%1$d, "x"), B(%1$d, X), C; private final int c; Kind%1$d(int c, String d) { this.c = c; } }
+@RestController
+@RequestMapping({"/api/c%1$d/", "v2"})
+class C%1$d extends B%1$d {
+    private final S%4$d store; private R%1$d repo;
+    @GetMapping({"/x/{id}", "y"}) public S%1$d find(long id, S%4$d given) { S%1$d s = store.load%4$d(id).twin(); this.check(id); repo.findAll(); return given.load%4$d(up(s.name())); }
+    @PostMapping public void check(long id) { if (id > 0) { missing.call(); new Thing(1); S%4$d.load%4$d(2); } }
+}
+class B%1$d { S%1$d up(String n) { return null; } }
+interface R%1$d extends JpaRepository<S%1$d, Long> { }
 interface HasCodetrue { int code(); }
 interface HasCodefalse { int code(); }
 interface HasCode { int code(); }
@@ -165,6 +178,47 @@ def e07_handler_targets(spark, sf_dir):
     return E.handler_targets(_declared(spark, sf_dir), ["k", "pos"])
 
 
+# ---------------------------------------------------------------- calls
+
+
+@core.add("g13_import_edges", f"WITH {_S} SELECT 'app.m' || k || '.utils.S' || k AS src, 'app.m' || half || '.utils.S' || half AS dst FROM s WHERE half IN (SELECT k FROM s)")
+def g13_import_edges(spark, sf_dir):
+    s = _sources(spark, sf_dir).withColumn("class_name", F.concat(F.lit("S"), F.col("k").cast("string")))
+    return J.import_edges(J.class_facts(s))
+
+
+_EDGES = f"""
+WITH {_S}, e AS (
+  SELECT k, 'C' || k || '.find' AS src, unnest(['C' || k || '.check', 'B' || k || '.up', '__jpa_base_repository__::BaseRepository::findAll']) AS dst FROM s
+  UNION SELECT k, 'C' || k || '.find', unnest(['S' || half || '.load' || half, 'S' || half || '.twin']) FROM s WHERE half IN (SELECT k FROM s)
+  UNION SELECT k, 'C' || k || '.check', 'S' || half || '.load' || half FROM s WHERE half IN (SELECT k FROM s))
+SELECT src, dst FROM e
+"""
+
+
+@core.add("g13_call_edges", _EDGES)
+def g13_call_edges(spark, sf_dir):
+    """Calls by field, parameter, class name, own and inherited methods, and on the results of calls (J18: methods a repository has by itself)."""
+    return G.call_edges(_declared(spark, sf_dir)).where("src like 'C%'")
+
+
+@core.add("g14_route_index", f"WITH {_S} SELECT http || ' ' || base || path AS endpoint, 'C' || k || '.' || method AS method_id FROM s, (VALUES ('GET', '/x/{{id}}', 'find'), ('GET', '/y', 'find'), ('POST', '', 'check')) r(http, path, method), (SELECT unnest(['a', 'b']) AS which) w, LATERAL (SELECT CASE which WHEN 'a' THEN '/api/c' || k || CASE WHEN path = '' THEN '/' ELSE '' END ELSE '/v2' END AS base) b")
+def g14_route_index(spark, sf_dir):
+    return G.route_index(_declared(spark, sf_dir))
+
+
+@core.add("g11_class_references", f"WITH RECURSIVE {_S}, e AS (SELECT k AS src, half AS dst FROM s WHERE half IN (SELECT k FROM s)), r AS (SELECT k AS node FROM s WHERE k % 10 = 9 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT 'S' || node AS class_name FROM r")
+def g11_class_references(spark, sf_dir):
+    """Classes a set of classes needs, over the types of their fields."""
+    d = _declared(spark, sf_dir)
+    f = d.where("kind = 'field' and owner like 'S%' and type rlike '^S[0-9]+$'").select(F.col("owner").alias("src"), F.col("type").alias("dst"))
+    known = d.where("kind = 'class'").select(F.col("name").alias("dst"))
+    seeds = d.where("kind = 'class' and name like 'S%' and k % 10 = 9").select("name")
+    from tracewright.operators.graphs import reachable
+
+    return reachable(f.join(known, "dst", "left_semi").select("src", "dst"), seeds).select(F.col("node").alias("class_name"))
+
+
 _FILES = "f AS (SELECT unit_id, pos, c.class_name AS class_name, coalesce(c.source, '') AS source FROM (SELECT unit_id, unnest(classes) AS c, unnest(range(len(classes))) AS pos FROM map_units))"
 
 
