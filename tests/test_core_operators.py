@@ -367,7 +367,7 @@ def test_class_facts(spark):
     assert J.method_span(JAVA, "nope") is None
     facts = J.class_facts(src)
     names = spark.createDataFrame([("Bar",), ("E",), ("Q",)], "name string")
-    assert rows(J.type_classes(names, facts)) == [("Bar", ["Foo"]), ("E", ["E"]), ("Q", [])]
+    assert rows(J.type_classes(names, facts)) == [("Bar", "Foo"), ("E", "E"), ("Q", None)]
 
 
 def test_capped_walk(spark):

@@ -32,14 +32,15 @@ def class_facts(src: DataFrame) -> DataFrame:
     def none_if_empty(c: Column) -> Column:
         return F.when(c != "", c)
 
-    supers = none_if_empty(F.regexp_extract(s, head, 4))
+    bare = F.regexp_replace(s, r"(?s)/\*.*?\*/|//[^\n]*+", " ")  # a comment declares nothing
+    supers = none_if_empty(F.regexp_extract(bare, head, 4))
     return src.select(
         *[c for c in src.columns if c != "source"],
         none_if_empty(F.regexp_extract(s, r"(?m)^\s*package\s+([\w.]+)\s*;", 1)).alias("package"),
         F.regexp_extract_all(s, F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), F.lit(1)).alias("imports"),
-        none_if_empty(F.regexp_extract(s, head, 1)).alias("kind"),
-        none_if_empty(F.regexp_extract(s, head, 2)).alias("declared"),
-        none_if_empty(F.trim(F.regexp_extract(s, head, 3))).alias("extends"),
+        none_if_empty(F.regexp_extract(bare, head, 1)).alias("kind"),
+        none_if_empty(F.regexp_extract(bare, head, 2)).alias("declared"),
+        none_if_empty(F.trim(F.regexp_extract(bare, head, 3))).alias("extends"),
         F.transform(F.split(F.coalesce(supers, F.lit("")), ","), lambda x: F.trim(x)).alias("implements"),
         F.size(F.regexp_extract_all(s, F.lit(_METHOD), F.lit(2))).alias("methods"),
         F.when(s == "", 0).otherwise(F.size(F.split(s, "\n"))).alias("lines"),
@@ -87,16 +88,15 @@ def method_id(file: Column, cls: Column, method: Column) -> Column:
 
 
 def implementors(facts: DataFrame) -> DataFrame:
-    """(interface, classes): for each implemented name the sorted classes."""
-    e = facts.select("class_name", F.explode("implements").alias("interface")).where("interface <> ''")
-    return e.groupBy("interface").agg(F.sort_array(F.collect_set("class_name")).alias("classes"))
+    """(interface, class): each implemented name with each class that implements it."""
+    return facts.select(F.explode("implements").alias("interface"), F.col("class_name").alias("class")).where("interface <> ''").distinct()
 
 
 def type_classes(names: DataFrame, facts: DataFrame) -> DataFrame:
-    """(name, classes): the implementors of a type, else the class itself, else none."""
-    imp = implementors(facts).withColumnRenamed("interface", "name")
-    own = facts.select(F.col("class_name").alias("name")).distinct().withColumn("_own", F.array("name"))
-    return names.join(imp, "name", "left").join(own, "name", "left").select("name", F.coalesce("classes", "_own", F.array().cast("array<string>")).alias("classes"))
+    """(name, class): the implementors of a type, else the class itself; a name of neither has one row with null."""
+    imp = implementors(facts).select(F.col("interface").alias("name"), "class")
+    own = facts.select(F.col("class_name").alias("name"), F.col("class_name").alias("_own")).distinct()
+    return names.join(imp, "name", "left").join(own, "name", "left").select("name", F.coalesce("class", "_own").alias("class"))
 
 
 def routes(src: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def j06_endpoint_methods(spark, sf_dir):
 
 @core.add(
     "j07_mapping",
-    "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
 )
 def j07_mapping(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    c = read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     n, r = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", "n_name", "r_name")
 
@@ -171,10 +171,21 @@ def u07_unassigned(spark, sf_dir):
     return R.without(g, g.where("golden_id % 3 = 0"), ["case_id"]).select("case_id").distinct()
 
 
-@core.add("x18_derived_query")
+_X18 = r"""
+WITH n AS (SELECT unit_id, pos, c.class_name AS class_name FROM (SELECT unit_id, unnest(classes) AS c, unnest(range(len(classes))) AS pos FROM map_units)),
+f AS (SELECT unit_id, pos, class_name, regexp_replace(class_name, '([a-z0-9])([A-Z])', '\1 \2', 'g') AS words FROM n WHERE class_name IS NOT NULL AND NOT regexp_matches(class_name, '[a-z0-9](And|Or)[A-Z]'))
+SELECT unit_id, pos, unnest(['Spring Data 衍生查詢方法，依 ' || words || '、Age 欄位條件計數（由方法名稱依 Spring Data JPA 命名慣例機械解析，未逐一判讀運算子如 GreaterThan／Like 等）',
+  'Spring Data 衍生查詢方法（方法名稱 `findTop3By' || class_name || '` 含 Top／Distinct／OrderBy 等複雜關鍵字，機械解析僅辨識出這是衍生查詢方法，實際條件請參照方法簽名，未逐一拆解欄位）', NULL]) AS text FROM f
+"""
+
+
+@core.add("x18_derived_query", _X18)
 def x18_derived_query(spark, sf_dir):
-    t = read_table(spark, sf_dir, "llm_traces").where("function_name is not null")
-    return t.select("id", Doc.column(Doc.derived_query)(F.col("function_name")).alias("text"))
+    """Strict, loose and no derived query, of names made from the classes'."""
+    c = read_table(spark, sf_dir, "map_units").select("unit_id", F.posexplode("classes").alias("pos", "c")).select("unit_id", F.col("pos").cast("bigint").alias("pos"), "c.class_name")
+    c = c.where(F.col("class_name").isNotNull() & ~F.col("class_name").rlike("[a-z0-9](And|Or)[A-Z]"))
+    names = F.array(F.concat(F.lit("countBy"), "class_name", F.lit("AndAge")), F.concat(F.lit("findTop3By"), "class_name"), F.concat(F.lit("load"), "class_name"))
+    return c.select("unit_id", "pos", F.explode(names).alias("n")).select("unit_id", "pos", Doc.column(Doc.derived_query)(F.col("n")).alias("text"))
 
 
 @core.add("x22_bean_name", "SELECT id, lower(substring(class_name, 1, 1)) || substring(class_name, 2) AS bean FROM llm_traces WHERE class_name IS NOT NULL")

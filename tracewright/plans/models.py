@@ -202,6 +202,14 @@ def g13_call_edges(spark, sf_dir):
     return G.call_edges(_declared(spark, sf_dir)).where("src like 'C%'")
 
 
+@core.add("j10_type_classes", f"WITH {_S} SELECT 'HasCode' AS name, 'S' || k AS class FROM s UNION ALL SELECT 'S' || k, 'S' || k FROM s WHERE even UNION ALL SELECT 'Gone', NULL")
+def j10_type_classes(spark, sf_dir):
+    """A type stands for what implements it, a class for itself, any other name for nothing."""
+    facts = J.class_facts(_sources(spark, sf_dir).withColumn("class_name", F.concat(F.lit("S"), F.col("k").cast("string"))))
+    names = facts.where("k % 2 = 0").select(F.col("class_name").alias("name")).unionByName(spark.createDataFrame([("HasCode",), ("Gone",)], "name string"))
+    return J.type_classes(names, facts)
+
+
 @core.add("g14_route_index", f"WITH {_S} SELECT http || ' ' || base || path AS endpoint, 'C' || k || '.' || method AS method_id FROM s, (VALUES ('GET', '/x/{{id}}', 'find'), ('GET', '/y', 'find'), ('POST', '', 'check')) r(http, path, method), (SELECT unnest(['a', 'b']) AS which) w, LATERAL (SELECT CASE which WHEN 'a' THEN '/api/c' || k || CASE WHEN path = '' THEN '/' ELSE '' END ELSE '/v2' END AS base) b")
 def g14_route_index(spark, sf_dir):
     return G.route_index(_declared(spark, sf_dir))
@@ -382,3 +390,90 @@ def e26_known_names(spark, sf_dir):
     e = c.select("unit_id", F.col("pos").cast("bigint").alias("pos"), known.alias("known"), F.explode("c.methods").alias("m"))
     name = X.method_name(F.concat("m.name", F.lit(" (String, int)")), F.col("known"))
     return e.select("unit_id", "pos", name.alias("method")).where("method is not null")
+
+
+# ---------------------------------------------------------------- planning
+
+_MEMBERS = "m AS (SELECT unit_id, pos, c.class_name AS class_name, c.file_path AS file, c.stereotype AS stereotype, m.name AS method, mpos, m.has_body AS has_body FROM (SELECT unit_id, pos, c, unnest(c.methods) AS m, unnest(range(len(c.methods))) AS mpos FROM (SELECT unit_id, unnest(classes) AS c, unnest(range(len(classes))) AS pos FROM map_units)))"
+
+
+def _members(spark, sf_dir):
+    c = read_table(spark, sf_dir, "map_units").select("unit_id", F.posexplode("classes").alias("pos", "c")).select("unit_id", F.col("pos").cast("bigint").alias("pos"), "c", F.posexplode("c.methods").alias("mpos", "m"))
+    return c.select("unit_id", "pos", "c.class_name", F.col("c.file_path").alias("file"), "c.stereotype", F.col("m.name").alias("method"), F.col("mpos").cast("bigint").alias("mpos"), "m.has_body")
+
+
+@core.add("e06_method_contexts", f"WITH {_MEMBERS} SELECT class_name, method, count(*) AS overloads, min(unit_id) AS first_unit FROM m WHERE class_name IS NOT NULL GROUP BY class_name, method")
+def e06_method_contexts(spark, sf_dir):
+    """Listed methods once per class and name, with their overloads; one without a declaration is an error."""
+    m = _members(spark, sf_dir).where("class_name is not null")
+    declared = m.groupBy("class_name", "method").agg(F.count(F.lit(1)).alias("overloads"), F.min("unit_id").alias("first_unit"))
+    listed = m.select("class_name", "method").distinct()
+    j = listed.join(declared.withColumn("_there", F.lit(True)), ["class_name", "method"], "left")
+    return j.select("class_name", "method", F.when(F.col("_there"), F.col("overloads")).otherwise(F.raise_error(F.concat(F.lit("no method "), "method"))).alias("overloads"), "first_unit")
+
+
+@core.add(
+    "e08_module_interfaces",
+    f"WITH {_MEMBERS} SELECT class_name, method, unit_id, coalesce(CASE WHEN stereotype IN ('RestController', 'Controller') THEN 'routers' WHEN stereotype IN ('Service', 'Component') THEN 'services' WHEN stereotype = 'Repository' THEN 'repositories' END, CASE WHEN has_body THEN 'services' END) AS layer, mpos FROM m WHERE stereotype IS NOT NULL OR has_body",
+)
+def e08_module_interfaces(spark, sf_dir):
+    """The mechanical layer, else the answer given for the method; methods without either drop out."""
+    m = _members(spark, sf_dir)
+    answer = F.when(F.col("has_body"), F.lit("services"))
+    out = m.withColumn("layer", F.coalesce(L.layer(F.col("stereotype"), F.lit(None).cast("string")), answer))
+    return out.where("layer is not null").select("class_name", "method", "unit_id", "layer", "mpos")
+
+
+@core.add(
+    "e10_task_drafts",
+    f"WITH {_MEMBERS} SELECT unit_id, pos, mpos, coalesce(class_name || '.', '') || method || ' in ' || coalesce(file, '-') || CASE WHEN stereotype = 'Service' THEN ' (see app/core/config.py)' ELSE '' END AS description FROM m",
+)
+def e10_task_drafts(spark, sf_dir):
+    """One draft per method: a mechanical description with a hint where its class reads settings."""
+    hint = F.when(F.col("stereotype") == "Service", " (see app/core/config.py)").otherwise("")
+    text = F.concat(F.coalesce(F.concat("class_name", F.lit(".")), F.lit("")), "method", F.lit(" in "), F.coalesce("file", F.lit("-")), hint)
+    return _members(spark, sf_dir).select("unit_id", "pos", "mpos", text.alias("description"))
+
+
+@core.add("e19_interfaces_by_file", f"WITH {_MEMBERS} SELECT file, method, row_number() OVER (PARTITION BY file ORDER BY unit_id, pos, mpos) AS place FROM m WHERE file IS NOT NULL")
+def e19_interfaces_by_file(spark, sf_dir):
+    """The interfaces of a file in the order they came."""
+    from tracewright.operators.relational import position
+
+    m = _members(spark, sf_dir).where("file is not null")
+    return position(m, ["file"], ["unit_id", "pos", "mpos"], F.floor(F.col("unit_id") / 1000)).select("file", "method", F.col("pos").cast("bigint").alias("place"))
+
+
+@core.add("e21_listed_functions", f"WITH {_MEMBERS} SELECT class_name, count(*) AS kept FROM m WHERE class_name IS NOT NULL AND method LIKE 's%' GROUP BY class_name")
+def e21_listed_functions(spark, sf_dir):
+    """Only listed functions stay; a class that loses all goes with them."""
+    m = _members(spark, sf_dir).where("class_name is not null")
+    listed = m.where("method like 's%'").select("class_name", "method").distinct()
+    return m.join(listed, ["class_name", "method"], "left_semi").groupBy("class_name").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@core.add(
+    "e22_source_lookup",
+    rf"WITH {_FILES.replace('c.class_name AS class_name,', 'c.class_name AS class_name, c.file_path AS file,')} SELECT file, class_name, arg_min(method, (unit_id, pos, nth)) AS first_method FROM (SELECT *, unnest(regexp_extract_all(source, '(?m)^    public \w+ (\w+)\(', 1)) AS method, unnest(range(len(regexp_extract_all(source, '(?m)^    public \w+ (\w+)\(', 1)))) AS nth FROM f) WHERE file IS NOT NULL AND class_name IS NOT NULL GROUP BY file, class_name",
+)
+def e22_source_lookup(spark, sf_dir):
+    """The first declaration at a coordinate, as the scanner finds it."""
+    files = J.files(read_table(spark, sf_dir, "map_units")).where("file_path is not null and class_name is not null").withColumn("cpos", F.col("pos").cast("bigint")).drop("pos")
+    d = E.scan(files, ("unit_id", "cpos", "file_path", "class_name")).where("kind = 'method'")
+    return d.groupBy(F.col("file_path").alias("file"), "class_name").agg(F.min_by("name", F.struct("unit_id", "cpos", "pos")).alias("first_method"))
+
+
+@core.add(
+    "e11_related_sources",
+    """
+    WITH f AS (SELECT DISTINCT run_id, target_file AS file FROM llm_traces WHERE status = 'error' AND target_file IS NOT NULL), t AS (SELECT DISTINCT run_id, target_file AS file FROM llm_traces WHERE target_file IS NOT NULL)
+    SELECT run_id, file FROM f UNION SELECT run_id, 'app/core/config.py' FROM f UNION SELECT run_id, file FROM t WHERE run_id NOT IN (SELECT run_id FROM f WHERE run_id IS NOT NULL)
+    """,
+)
+def e11_related_sources(spark, sf_dir):
+    """Files of the failures with the common ones; a run without any gets all its targets."""
+    t = read_table(spark, sf_dir, "llm_traces").where("target_file is not null").select("run_id", F.col("target_file").alias("file"), "status")
+    failed = t.where("status = 'error'").select("run_id", "file").distinct()
+    common = failed.select("run_id", F.lit("app/core/config.py").alias("file"))
+    rest = t.where("run_id is not null").select("run_id", "file").join(failed.select("run_id"), "run_id", "left_anti")
+    return failed.unionByName(common).unionByName(rest).distinct()

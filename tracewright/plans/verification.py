@@ -1,6 +1,6 @@
 """Queries of the compare pipeline and of the joins around it, with their SQL.
 
-Golden is the first recording of a case, actual its last one.
+Golden is the first recording of a case, actual its last one if that is another.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from tracewright.session import read_table
 
 _BOTH = """
 WITH g AS (SELECT module, case_id, arg_min_null(response.status_code, golden_id) AS status_code, arg_min_null(response.body, golden_id) AS body, min(golden_id) AS golden_id FROM golden GROUP BY module, case_id),
-a AS (SELECT module, case_id, arg_max_null(response.status_code, golden_id) AS status_code, arg_max_null(response.body, golden_id) AS body, max(golden_id) AS golden_id FROM golden GROUP BY module, case_id HAVING max(golden_id) % 13 <> 0)
+a AS (SELECT module, case_id, arg_max_null(response.status_code, golden_id) AS status_code, arg_max_null(response.body, golden_id) AS body, max(golden_id) AS golden_id FROM golden GROUP BY module, case_id HAVING max(golden_id) <> min(golden_id))
 """
 
 
 def _sides(spark, sf_dir):
     g = read_table(spark, sf_dir, "golden").select("module", "case_id", "golden_id", F.col("response.status_code").alias("status_code"), F.col("response.body").alias("body"))
-    return R.first_wins(g.withColumn("seq", F.col("golden_id")), ["module", "case_id"], "seq"), R.last_wins(g.withColumn("seq", F.col("golden_id")), ["module", "case_id"], "seq").where("golden_id % 13 <> 0")
+    s = g.withColumn("seq", F.col("golden_id"))
+    first = R.first_wins(s, ["module", "case_id"], "seq")
+    # a case recorded once has no second recording to compare
+    again = R.last_wins(s, ["module", "case_id"], "seq").join(first.select("golden_id"), "golden_id", "left_anti")
+    return first, again.select(*first.columns)
 
 
 @core.add(
@@ -65,6 +69,25 @@ def a01_pass_summary(spark, sf_dir):
     return R.pass_summary(j.select("module", ok.alias("ok")), ["module"], F.col("ok"))
 
 
+@core.add(
+    "c03_failure_classes",
+    _BOTH
+    + """
+    , gg AS (SELECT * FROM g WHERE module <> 'exam'), aa AS (SELECT module, case_id, max(golden_id) AS golden_id, arg_max_null(response.status_code, golden_id) AS status_code, arg_max_null(response.body, golden_id) AS body FROM golden WHERE module <> 'file' GROUP BY module, case_id)
+    SELECT module, case_id, CASE WHEN gg.golden_id IS NULL THEN 'golden_not_found' WHEN aa.body IS NOT NULL AND trim(aa.body) <> '' AND NOT json_valid(aa.body) THEN 'response_not_json'
+      WHEN aa.golden_id IS NULL OR gg.status_code IS DISTINCT FROM aa.status_code THEN 'status_code_mismatch' WHEN (gg.body IS NULL) <> (aa.body IS NULL) THEN 'body_presence_mismatch' ELSE 'compared' END AS failure
+    FROM gg FULL JOIN aa USING (module, case_id)
+    """,
+)
+def c03_failure_classes(spark, sf_dir):
+    """Classes up to the comparison of the bodies, which ``c02_verify_nested`` makes: one side lacks a module each."""
+    g, _ = _sides(spark, sf_dir)
+    again = read_table(spark, sf_dir, "golden").select("module", "case_id", "golden_id", F.col("response.status_code").alias("status_code"), F.col("response.body").alias("body"), F.col("golden_id").alias("seq"))
+    v = D.verify(g.where("module <> 'exam'"), R.last_wins(again.where("module <> 'file'"), ["module", "case_id"], "seq"), ["module", "case_id"], "mutation")
+    early = ("golden_not_found", "response_not_json", "status_code_mismatch", "body_presence_mismatch")
+    return v.select("module", "case_id", F.when(F.col("failure_type").isin(*early), F.col("failure_type")).otherwise("compared").alias("failure"))
+
+
 @core.add("c02_verify_nested")
 def c02_verify_nested(spark, sf_dir):
     """Masked deep comparison with failure class and hint (no SQL states it)."""
@@ -79,7 +102,7 @@ def c02_summary_nested(spark, sf_dir):
 @core.add(
     "c01_mask_flat",
     r"""
-    SELECT id, CASE WHEN regexp_matches(ts, '^(?:\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})') THEN '<<MASKED>>' ELSE ts END AS ts,
+    SELECT id, CASE WHEN regexp_matches(ts, '^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}|Bearer\s)') THEN '<<MASKED>>' ELSE ts END AS ts,
       regexp_replace(target_file, '[a-z]+/', '<<MASKED>>', 'g') AS target_file FROM llm_traces
     """,
 )
@@ -246,7 +269,18 @@ def x20_constant(spark, sf_dir):
     return read_table(spark, sf_dir, "map_units").select("unit_id", X.constant_name(F.col("label")).alias("constant"))
 
 
-@core.add("x02_map_type", None)
+@core.add(
+    "x02_map_type",
+    """
+    WITH m AS (SELECT unit_id, pos, mpos, m.return_type AS t FROM (SELECT unit_id, pos, unnest(c.methods) AS m, unnest(range(len(c.methods))) AS mpos FROM (SELECT unit_id, unnest(classes) AS c, unnest(range(len(classes))) AS pos FROM map_units)) WHERE m.return_type IS NOT NULL AND NOT contains(m.return_type, '<')),
+    s AS (SELECT *, CASE WHEN t IN ('int', 'Integer', 'long', 'Long', 'short', 'Short') THEN 'int' WHEN t = 'String' THEN 'str' WHEN t IN ('boolean', 'Boolean') THEN 'bool' WHEN t IN ('double', 'Double', 'float', 'Float') THEN 'float' WHEN t = 'BigDecimal' THEN 'Decimal' WHEN t = 'void' THEN 'None' WHEN t IN ('Date', 'Instant', 'LocalDateTime') THEN 'datetime' WHEN t = 'LocalDate' THEN 'date' WHEN t = 'LocalTime' THEN 'time' WHEN t IN ('byte[]', 'Byte[]') THEN 'bytes' ELSE t END AS p FROM m)
+    SELECT unit_id, pos, mpos, unnest([p, 'dict[str, list[' || p || ']]', p || ' | None', 'Callable[[' || p || ', int], None]', 'Callable[[], ' || p || ']', 'ColumnElement | None', 'Response', 'Page[' || p || ']', 'Function[' || p || ']']) AS py_type FROM s
+    """,
+)
 def x02_map_type(spark, sf_dir):
-    m = read_table(spark, sf_dir, "map_units").select("unit_id", F.posexplode("classes").alias("pos", "c")).select("unit_id", "pos", F.posexplode("c.methods").alias("mpos", "m"))
-    return m.select("unit_id", "pos", "mpos", X.map_type_udf()(F.col("m.return_type")).alias("py_type"))
+    """Return types by themselves and within containers, functional interfaces, framework types and unknown generics."""
+    m = read_table(spark, sf_dir, "map_units").select("unit_id", F.posexplode("classes").alias("pos", "c")).select("unit_id", F.col("pos").cast("bigint").alias("pos"), F.posexplode("c.methods").alias("mpos", "m"))
+    t = m.select("unit_id", "pos", F.col("mpos").cast("bigint").alias("mpos"), F.col("m.return_type").alias("t")).where("t is not null and not contains(t, '<')")
+    forms = ("%s", "Map<String, List<%s>>", "Optional<%s>", "BiConsumer<%s, Integer>", "Supplier<%s>", "Specification<%s>", "ResponseEntity<List<%s>>", "Page<%s>", "Function<%s>")
+    every = t.select("unit_id", "pos", "mpos", F.explode(F.array(*[F.format_string(f, F.col("t")) for f in forms])).alias("t"))
+    return every.select("unit_id", "pos", "mpos", X.map_type_udf()(F.col("t")).alias("py_type"))
