@@ -97,6 +97,21 @@ def test_streamed_fold_matches_events(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
+def test_late_start_does_not_open_a_finished_trace(spark, tmp_path):
+    src = tmp_path / "in"
+    events = [("a", 2, "r", "2031-01-01T02:00:00Z", "ok", 7, None, "m"), ("a", 1, "r", "2031-01-01T00:00:00Z", "running", None, None, "m"), ("a", 3, "r", "2031-01-01T03:00:00Z", "ok", 7, None, "m")]
+    for e in events:
+        spark.createDataFrame([e], SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = E.fold_traces(E.read_traces(spark, str(src), SCHEMA, 1)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+        assert [(r.status, r.outcome) for r in spark.table("late").collect()] == [("ok", "finished")]
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def test_windowed_rates(spark, tmp_path):
     src = tmp_path / "in"
     rows = [("a", 1, "r", "2031-01-01T00:10:00Z", "ok", 10, None, "m"), ("b", 2, "r", "2031-01-01T08:50:00+08:00", "error", 30, None, "m"), ("c", 3, "r", "bad", "ok", 1, None, "m")]

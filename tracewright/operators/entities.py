@@ -149,6 +149,7 @@ def declarations(source: str) -> Iterator[tuple]:
     while i < n:
         if t[i] == "}":
             stack and stack.pop()
+            fresh_enum = False
             i += 1
             continue
         if fresh_enum:  # constants up to the semicolon or the end of the body

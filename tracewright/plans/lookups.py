@@ -258,16 +258,30 @@ def x16_json_get(spark, sf_dir):
 @core.add(
     "st10_stream_rates",
     """
-    SELECT strftime(date_trunc('hour', make_timestamp(epoch_us(CAST(ts AS TIMESTAMPTZ)))), '%Y-%m-%d %H:%M') AS hour, model, count(*) AS calls, count(*) FILTER (status IN ('error', 'timeout')) AS errors FROM llm_traces GROUP BY ALL
+    WITH t AS (SELECT id, model, status, epoch_us(CAST(ts AS TIMESTAMPTZ)) AS us FROM llm_traces), m AS (SELECT (min(id) + max(id)) // 2 AS half FROM t),
+    w AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM t, m WHERE id <= half)
+    SELECT strftime(make_timestamp(us // 3600000000 * 3600000000), '%Y-%m-%d %H:%M') AS hour, model, count(*) AS calls, count(*) FILTER (status IN ('error', 'timeout')) AS errors FROM t, m, w
+    WHERE id <= half OR (us // 3600000000 + 1) * 3600000000 > mark GROUP BY ALL
     """,
 )
 def st10_stream_rates(spark, sf_dir):
-    """The trace file read as a stream to its end: windows of an hour in event time."""
+    """Trace files as a stream that is stopped and goes on: hourly windows in event time, an hour of lateness.
+
+    The first half of the rows comes first; what the second half has for windows that are
+    closed by then is dropped.  A row of the far future closes the last windows.
+    """
     import uuid
 
     from tracewright.streaming import events as E
 
-    path = f"{sf_dir}/llm_traces.parque[t]"  # a pattern, so that a single file will do as well as a folder
-    stream = E.read_traces(spark, path, read_table(spark, sf_dir, "llm_traces").schema)
-    out = E.drained(E.call_rates(stream, late="3650 days"), f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
-    return out.select(F.date_format("from", "yyyy-MM-dd HH:mm").alias("hour"), "model", "calls", "errors")
+    t = read_table(spark, sf_dir, "llm_traces")
+    half = t.agg(F.floor((F.min("id") + F.max("id")) / 2)).first()[0]
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = t.select("id", "ts", "model", "status", "latency_ms").schema
+    last = spark.createDataFrame([(-1, "9000-01-01T00:00:00Z", "end", "ok", None)], schema)
+    out = None
+    for part in (t.where(F.col("id") <= half), t.where(F.col("id") > half), last):
+        part.select(*schema.names).write.mode("append").parquet(f"{folder}/in")
+        stream = E.read_traces(spark, f"{folder}/in", schema, files_per_trigger=1_000_000)
+        out = E.drained(E.call_rates(stream, late="1 hour"), folder, "append")
+    return out.where(F.col("model").isNull() | (F.col("model") != "end")).select(F.date_format("from", "yyyy-MM-dd HH:mm").alias("hour"), "model", "calls", "errors")
