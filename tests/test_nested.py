@@ -104,7 +104,7 @@ def test_every_group_and_path_comes_out_in_a_table(spark, tmp_path):
     links = ("source", "rec", "parent", "pos", "up_parent", "up_pos")
     got = {tuple(r[c] for c in links): {c: v for c, v in r.asDict().items() if c not in (*links, "grp") and v is not None} for r in df.collect()}
     assert got == {
-        ("golden", 3, "", None, None, None): {"data.note": "n"},
+        ("golden", 3, "", None, None, None): {"data/note": "n"},
         ("golden", 3, "data.exam", 0, None, None): {"id": "1", "department": "d"},
         ("golden", 3, "data.exam[0].answers", 0, "data.exam", 0): {"no": "5"},
         ("golden", 3, "data.exam[0].answers[0].files", 0, "data.exam[0].answers", 0): {"value_2": "a"},

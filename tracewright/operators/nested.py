@@ -277,7 +277,7 @@ def table(t: DataFrame, grp: str, columns: list[str] | None = None) -> DataFrame
     paths of the group are learnt from ``paths_of`` (one job); given ones run none.
     """
     rows = t.where(F.col("grp") == grp)
-    names = column_names(learnt_paths(rows)) if columns is None else {c: c if c else "value" for c in columns}
+    names = column_names(learnt_paths(rows)) if columns is None else column_names(columns)
     return _pivoted(rows, ["rec", "parent", "pos"], names)
 
 
@@ -299,11 +299,11 @@ def learnt_paths(t: DataFrame) -> list[str]:
 
 
 def column_names(paths: list[str], extra: tuple[str, ...] = ()) -> dict[str, str]:
-    """Path -> column: the path itself, ``value`` for a scalar element; numbered where a name is taken (Spark ignores case)."""
+    """Path -> column: the keys of the path with slashes between them (a dot would have to be quoted), ``value`` for a scalar element; numbered where a name is taken (Spark ignores case)."""
     out: dict[str, str] = {}
     taken = {*_LINKS, *extra}
     for p in sorted(paths, key=lambda p: (p == "", p)):
-        plain = _plain(p) or "value"
+        plain = _plain(p.replace(".", "/")).replace(".", "_").replace("`", "'") or "value"
         name, n = plain, 1
         while name.lower() in taken:
             n += 1
