@@ -300,3 +300,93 @@ def f26_schema_fields(spark, sf_dir):
 
     g = read_table(spark, sf_dir, "grading_controller").select("entry_id", Doc.column(body_fields)(F.col("param_schema")).alias("f"))
     return g.select("entry_id", F.inline(F.from_json("f", "array<struct<field: string, type: string>>")))
+
+
+@core.add("src09_mask_rules", "SELECT id, CASE WHEN regexp_matches(caller, '^debug') THEN '<<MASKED>>' ELSE caller END AS caller FROM llm_traces")
+def src09_mask_rules(spark, sf_dir):
+    """Mask rules read from a table and used instead of the default ones."""
+    table = spark.createDataFrame([("pattern", "^debug", 1), ("field", "x", 2)], "kind string, rule string, seq int")
+    folder = _folder(spark, "rules")
+    table.write.json(folder)
+    rules = D.load_rules(spark.read.schema(table.schema).json(folder))
+    return _traces(spark, sf_dir).select("id", D.mask_text(F.col("caller"), rules.patterns, rules.mutation_parts).alias("caller"))
+
+
+@core.add("src10_ignored_order", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'equal' ELSE 'value_mismatch' END AS body_class FROM part")
+def src10_ignored_order(spark, sf_dir):
+    """Ways whose arrays are compared as bags; other differences still count."""
+    k = F.col("p_partkey").cast("bigint")
+    odd = (k % 2).cast("string")
+    p = read_table(spark, sf_dir, "part").select(k.alias("k"), F.format_string('{"a": [1, %d], "b": 0}', k).alias("golden_body"), F.concat(F.format_string('{"a": [%d, 1], "b": ', k), odd, F.lit("}")).alias("actual_body"))
+    return D.diff_bodies(p, ignore_order=["root['a']"], keep=("k",)).select("k", "body_class")
+
+
+@core.add("snk01_started_calls", "SELECT trace_id, arg_min(id, id) AS id, 'running' AS status FROM llm_traces WHERE status = 'running' AND trace_id IS NOT NULL GROUP BY trace_id")
+def snk01_started_calls(spark, sf_dir):
+    """Start events appended to a log that has some of them already: each trace starts once."""
+    t = _traces(spark, sf_dir).where("status = 'running' and trace_id is not null")
+    first = R.first_wins(t.select("trace_id", "id", "status", F.col("id").alias("seq")), ["trace_id"], "seq").drop("seq")
+    folder = _folder(spark, "starts")
+    first.where("trace_id < 'm'").write.parquet(folder)
+    log = spark.read.parquet(folder)
+    return writers.inserted_if_absent(log, first, "trace_id").select("trace_id", "id", "status")
+
+
+@core.add(
+    "snk02_finished_calls",
+    """
+    SELECT trace_id, arg_min_null(ts, id) AS ts, arg_max_null(status, id) AS status, arg_max(issue_tag, id) FILTER (issue_tag IS NOT NULL) AS issue_tag, count(*) AS events FROM llm_traces WHERE trace_id IS NOT NULL GROUP BY trace_id
+    """,
+)
+def snk02_finished_calls(spark, sf_dir):
+    """Finish events written after start events and folded on reading: the first time and earlier tags stay."""
+    from tracewright.operators import traces as T
+
+    t = _traces(spark, sf_dir).where("trace_id is not null")
+    folder = _folder(spark, "events")
+    t.where("status = 'running'").write.parquet(folder)
+    t.where("status <> 'running' or status is null").write.mode("append").parquet(folder)
+    return T.fold_events(spark.read.parquet(folder)).select("trace_id", "ts", "status", "issue_tag", "events")
+
+
+@core.add("f05_residual_filter", "SELECT id FROM llm_traces WHERE (contains(prompt, 'status code') OR contains(response, 'status code')) AND vendor = 'northlake' AND issue_tag = 'truncated'")
+def f05_residual_filter(spark, sf_dir):
+    """The same predicates on what a text search found."""
+    from tracewright.operators import traces as T
+
+    return T.matching(T.containing(_traces(spark, sf_dir), ["prompt", "response"], "status code"), vendor="northlake", tag="truncated").select("id")
+
+
+@core.add("c04_hints", "SELECT s.status AS failure, CASE s.status WHEN 'array_order_only' THEN 'compare the ordering' WHEN 'value_mismatch' THEN 'compare the values' WHEN 'unknown' THEN 'look at both bodies' END AS hint, count(*) AS n FROM (SELECT unnest(['array_order_only', 'value_mismatch', 'unknown', NULL]) AS status FROM nation) s GROUP BY ALL")
+def c04_hints(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation").select(F.explode(F.array(*map(F.lit, ("array_order_only", "value_mismatch", "unknown", None)))).alias("failure"))
+    return n.groupBy("failure").agg(F.count(F.lit(1)).alias("n")).select("failure", D.hint(F.col("failure")).alias("hint"), "n")
+
+
+@core.add("f19_no_self_references", "SELECT p_partkey AS producer, p_size AS consumer FROM part WHERE p_partkey <> p_size AND p_size IN (SELECT p_partkey FROM part)")
+def f19_no_self_references(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    ends = p.select(F.col("p_partkey").cast("bigint").alias("endpoint"))
+    links = p.select(F.col("p_partkey").cast("bigint").alias("producer"), F.col("p_size").cast("bigint").alias("consumer"))
+    return R.chained(links, ends, ends).select("producer", "consumer")
+
+
+@core.add("src12_source_tree", "SELECT 'src/N' || n_nationkey || '.java' AS file, 'N' || n_nationkey AS declared, length(n_name) AS chars FROM nation WHERE n_nationkey % 5 <> 1")
+def src12_source_tree(spark, sf_dir):
+    """A tree of Java files written through the file system, read with their facts; files asked for that are not there are left out (SRC12, SRC23)."""
+    from tracewright.operators import entities as E
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = _folder(spark, "tree")
+    for r in read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 files
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/src/N{r.n_nationkey}.java")
+        out = path.getFileSystem(conf).create(path, True)
+        try:
+            out.write(bytearray(f"package a;\nclass N{r.n_nationkey} {{ String name = \"{r.n_name}\"; }}\n".encode()))
+        finally:
+            out.close()
+    n = read_table(spark, sf_dir, "nation")
+    wanted = n.where("n_nationkey % 5 <> 1").select(F.concat(F.lit("src/N"), "n_nationkey", F.lit(".java")).alias("file")).unionByName(spark.createDataFrame([("src/Gone.java",)], "file string"))
+    src = readers.sources(spark, folder, wanted)
+    d = E.scan(src, ("file", "text"), "text").where("kind = 'class'")
+    return d.select("file", F.col("name").alias("declared"), F.char_length(F.regexp_extract("text", '"([^"]*)"', 1)).cast("bigint").alias("chars"))

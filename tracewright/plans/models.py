@@ -210,6 +210,19 @@ def j10_type_classes(spark, sf_dir):
     return J.type_classes(names, facts)
 
 
+@core.add("j18_inherited_methods", f"WITH {_S} SELECT 'C' || k AS class, 'up' AS method, 'B' || k || '.up' AS target FROM s UNION ALL SELECT 'R' || k, unnest(['findAll', 'findById', 'save', 'deleteById', 'delete', 'count', 'existsById']), '__jpa_base_repository__::BaseRepository::' || unnest(['findAll', 'findById', 'save', 'deleteById', 'delete', 'count', 'existsById']) FROM s")
+def j18_inherited_methods(spark, sf_dir):
+    """Methods a class has by its ancestors, and those every repository has by itself."""
+    v = G.visible_methods(_declared(spark, sf_dir))
+    return v.where(F.col("target") != F.concat("class", F.lit("."), "method")).select("class", "method", "target")
+
+
+@core.add("x24_nullable", f"WITH {_S}, {_FIELDS} SELECT k, field, CASE WHEN field IN ('name', 'other') THEN even WHEN field = 'parent' THEN false ELSE field NOT IN ('tmp', 'open') END AS nullable FROM f")
+def x24_nullable(spark, sf_dir):
+    f = E.entity_fields(_declared(spark, sf_dir), ("k",))
+    return f.select("k", "field", L.nullable(F.col("nullable"), F.col("is_primitive")).alias("nullable"))
+
+
 @core.add("g14_route_index", f"WITH {_S} SELECT http || ' ' || base || path AS endpoint, 'C' || k || '.' || method AS method_id FROM s, (VALUES ('GET', '/x/{{id}}', 'find'), ('GET', '/y', 'find'), ('POST', '', 'check')) r(http, path, method), (SELECT unnest(['a', 'b']) AS which) w, LATERAL (SELECT CASE which WHEN 'a' THEN '/api/c' || k || CASE WHEN path = '' THEN '/' ELSE '' END ELSE '/v2' END AS base) b")
 def g14_route_index(spark, sf_dir):
     return G.route_index(_declared(spark, sf_dir))
