@@ -73,10 +73,10 @@ def f07_method_split(spark, sf_dir):
     return read_table(spark, sf_dir, "golden").groupBy("module", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@core.add("f08_endpoint_exclusion", "SELECT golden_id FROM golden WHERE (request.method, module) NOT IN (SELECT DISTINCT request.method, module FROM golden WHERE golden_id % 97 = 0 AND request.method IS NOT NULL) OR request.method IS NULL")
+@core.add("f08_endpoint_exclusion", "SELECT golden_id FROM golden WHERE (request.method, module) NOT IN (SELECT DISTINCT request.method, module FROM golden WHERE response.status_code >= 400 AND module < 'f' AND request.method IS NOT NULL) OR request.method IS NULL")
 def f08_endpoint_exclusion(spark, sf_dir):
-    g = read_table(spark, sf_dir, "golden").select("golden_id", "module", F.col("request.method").alias("method"))
-    return R.without(g, g.where("golden_id % 97 = 0 and method is not null"), ["method", "module"]).select("golden_id")
+    g = read_table(spark, sf_dir, "golden").select("golden_id", "module", F.col("request.method").alias("method"), F.col("response.status_code").alias("status_code"))
+    return R.without(g, g.where("status_code >= 400 and module < 'f' and method is not null"), ["method", "module"]).select("golden_id")
 
 
 @core.add("f11_select_by_token", "SELECT r.request, n_name AS name FROM (VALUES (0, '3'), (1, 'nation_0'), (2, '1')) r(request, token) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) n ON r.token = CAST(k AS VARCHAR) OR lower(r.token) = lower(n_name)")

@@ -125,14 +125,14 @@ def st02_fold_events(spark, sf_dir):
 @core.add(
     "snk03_tag_update",
     """
-    WITH tags AS (SELECT trace_id, CASE WHEN id % 2 = 0 THEN 'truncated' ELSE 'refused' END AS tag, id AS seq FROM llm_traces WHERE id % 5 = 0),
+    WITH tags AS (SELECT trace_id, CASE WHEN status = 'timeout' THEN 'truncated' ELSE 'refused' END AS tag, id AS seq FROM llm_traces WHERE status IN ('error', 'timeout') AND trace_id IS NOT NULL),
     n AS (SELECT trace_id, arg_max(tag, seq) AS new_tag FROM tags GROUP BY trace_id)
     SELECT id, coalesce(new_tag, issue_tag) AS issue_tag FROM llm_traces LEFT JOIN n USING (trace_id)
     """,
 )
 def snk03_tag_update(spark, sf_dir):
     t = _traces(spark, sf_dir)
-    tags = t.where("id % 5 = 0").select("trace_id", F.when(F.col("id") % 2 == 0, "truncated").otherwise("refused").alias("tag"), F.col("id").alias("seq"))
+    tags = t.where("status in ('error', 'timeout') and trace_id is not null").select("trace_id", F.when(F.col("status") == "timeout", "truncated").otherwise("refused").alias("tag"), F.col("id").alias("seq"))
     return T.apply_tags(t, tags, ("hallucination", "format_error", "logic_flaw", "refused", "truncated")).select("id", "issue_tag")
 
 

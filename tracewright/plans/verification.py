@@ -123,14 +123,14 @@ def c07_taint(spark, sf_dir):
 _PATH = "'/' || array_to_string(request.path, '/')"
 _MAP = """
 r AS (SELECT p AS route, min(golden_id) AS seq FROM (SELECT '/' || array_to_string(request.path[1:2], '/') AS p, golden_id FROM golden) GROUP BY p),
-m AS (SELECT route, seq, 'file_' || (seq % 7) AS target FROM r WHERE seq % 3 <> 0 UNION ALL SELECT '/api', 1000000, 'file_root')
+m AS (SELECT route, seq, 'file_' || (seq % 7) AS target FROM r WHERE route < '/api/m' UNION ALL SELECT '/api', 1000000, 'file_root')
 """
 
 
 def _routes(spark, sf_dir):
     g = read_table(spark, sf_dir, "golden")
     r = g.select(F.concat(F.lit("/"), F.array_join(F.slice("request.path", 1, 2), "/")).alias("route"), "golden_id").groupBy("route").agg(F.min("golden_id").alias("seq"))
-    m = r.where("seq % 3 <> 0").withColumn("target", F.concat(F.lit("file_"), (F.col("seq") % 7).cast("string")))
+    m = r.where("route < '/api/m'").withColumn("target", F.concat(F.lit("file_"), (F.col("seq") % 7).cast("string")))
     return g, m.unionByName(spark.createDataFrame([("/api", 1_000_000, "file_root")], "route string, seq bigint, target string"))
 
 
@@ -171,35 +171,35 @@ def j12_inverted_index(spark, sf_dir):
     return R.inverted(g, "golden_id", "path")
 
 
-@core.add("j19_overlay", "SELECT coalesce(p.controller, b.controller) AS controller, coalesce(p.value, b.value) AS value FROM (SELECT controller, min(note) AS value FROM grading_controller WHERE entry_id % 2 = 0 GROUP BY 1) b FULL JOIN (SELECT controller, max(note) AS value FROM grading_controller WHERE entry_id % 2 = 1 GROUP BY 1) p USING (controller)")
+@core.add("j19_overlay", "SELECT coalesce(p.controller, b.controller) AS controller, coalesce(p.value, b.value) AS value FROM (SELECT controller, min(note) AS value FROM grading_controller WHERE decision = 'fill' GROUP BY 1) b FULL JOIN (SELECT controller, max(note) AS value FROM grading_controller WHERE decision = 'skip' GROUP BY 1) p USING (controller)")
 def j19_overlay(spark, sf_dir):
     g = read_table(spark, sf_dir, "grading_controller")
-    base = g.where("entry_id % 2 = 0").groupBy("controller").agg(F.min("note").alias("value"))
-    return R.overlay(base, g.where("entry_id % 2 = 1").groupBy("controller").agg(F.max("note").alias("value")), "controller")
+    base = g.where("decision = 'fill'").groupBy("controller").agg(F.min("note").alias("value"))
+    return R.overlay(base, g.where("decision = 'skip'").groupBy("controller").agg(F.max("note").alias("value")), "controller")
 
 
 @core.add(
     "j21_value_fill",
     """
-    WITH v AS (SELECT entry_id, note FROM grading_controller WHERE entry_id % 3 = 0)
+    WITH v AS (SELECT entry_id, note FROM grading_controller WHERE decision = 'skip')
     SELECT g.entry_id, coalesce('filled ' || v.note, g.note) AS note FROM grading_controller g LEFT JOIN v ON v.entry_id = g.entry_id
     """,
 )
 def j21_value_fill(spark, sf_dir):
-    g = read_table(spark, sf_dir, "grading_controller").select("entry_id", "note")
-    return R.filled(g, g.where("entry_id % 3 = 0").withColumn("note", F.concat(F.lit("filled "), "note")), ["entry_id"], "note")
+    g = read_table(spark, sf_dir, "grading_controller").select("entry_id", "note", "decision")
+    return R.filled(g.drop("decision"), g.where("decision = 'skip'").withColumn("note", F.concat(F.lit("filled "), "note")), ["entry_id"], "note")
 
 
 @core.add(
     "j25_priority_merge",
     """
-    WITH s AS (SELECT 0 AS prio, endpoint, controller AS value FROM grading_controller WHERE entry_id % 5 = 0 UNION ALL SELECT 1, endpoint, decision FROM grading_controller WHERE entry_id % 5 = 1 UNION ALL SELECT 2, endpoint, fill_mode FROM grading_controller)
+    WITH s AS (SELECT 0 AS prio, endpoint, controller AS value FROM grading_controller WHERE decision = 'skip' UNION ALL SELECT 1, endpoint, decision FROM grading_controller WHERE last_apply_error IS NOT NULL UNION ALL SELECT 2, endpoint, fill_mode FROM grading_controller)
     SELECT endpoint, value, prio FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY prio, value) AS k FROM s WHERE value IS NOT NULL) WHERE k = 1
     """,
 )
 def j25_priority_merge(spark, sf_dir):
     g = read_table(spark, sf_dir, "grading_controller")
-    parts = [g.where(w).select("endpoint", F.col(c).alias("value")).where("value is not null") for w, c in (("entry_id % 5 = 0", "controller"), ("entry_id % 5 = 1", "decision"), ("true", "fill_mode"))]
+    parts = [g.where(w).select("endpoint", F.col(c).alias("value")).where("value is not null") for w, c in (("decision = 'skip'", "controller"), ("last_apply_error is not null", "decision"), ("true", "fill_mode"))]
     return R.by_priority(parts, "endpoint")
 
 
@@ -208,9 +208,9 @@ def a06_shared_members(spark, sf_dir):
     return R.shared_members(read_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@core.add("a22_unique_or_null", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderkey % 4 = 0) = 1 THEN max(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END) END AS o_orderkey FROM orders GROUP BY o_custkey")
+@core.add("a22_unique_or_null", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderpriority LIKE '1%') = 1 THEN max(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END) END AS o_orderkey FROM orders GROUP BY o_custkey")
 def a22_unique_or_null(spark, sf_dir):
-    return R.unique_or_null(read_table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderkey") % 4 == 0, "o_orderkey")
+    return R.unique_or_null(read_table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderpriority").like("1%"), "o_orderkey")
 
 
 @core.add(
