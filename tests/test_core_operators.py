@@ -214,6 +214,21 @@ def test_long_chain(spark):
     assert rows(G.distances(e, spark.createDataFrame([(0,)], "n bigint"), 2)) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_strong_components_against_the_closure(spark):
+    import random
+
+    r = random.Random(6)
+    for n, m in ((12, 18), (30, 45), (40, 40)):
+        pairs = {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+        reach = {a: {b for x, b in pairs if x == a} for a in range(n)}
+        for _ in range(n):
+            reach = {a: t | {c for b in t for c in reach[b]} for a, t in reach.items()}
+        want = sorted((a, min(b for b in reach[a] if a in reach[b])) for a in range(n) if a in reach[a])
+        e = spark.createDataFrame(sorted(pairs), "src int, dst int")
+        assert rows(G.strongly_connected(e)) == sorted(want, key=repr)
+    assert rows(G.strongly_connected(e.limit(0))) == []
+
+
 def test_waves_and_their_errors(spark):
     n = spark.createDataFrame([(x,) for x in "abcd"], "n string")
     need = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", None)], "node string, needs string")

@@ -82,39 +82,50 @@ def closure_without_start(edges: DataFrame) -> DataFrame:
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): nodes of cycles with the least node of their component; others are left out.
 
-    Forward colours and backward search: every node takes the least node that reaches it as
-    its colour; the component of a colour is what reaches the colour's own node within it.
-    Edges between colours and those of found components are dropped, and the rest goes
-    round again.  One row per node is all that is stored; no pairs.
+    Colours forth and back: every node takes the least node that reaches it as its colour, and
+    within a colour the least node it reaches; where that is the colour's own node too, both
+    reach each other.  Edges between colours and those of found components are dropped, and the
+    rest goes round again.  One row per node is all that is stored; no pairs.
     """
     e = cut_lineage(clean(edges))
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e = cut_lineage(e.where("src <> dst"))
     found = None
     while not (e := _trimmed(e)).isEmpty():
-        nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-        colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
-        while True:  # the least label travels along the edges
-            low = e.join(colour, e.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
-            new = cut_lineage(colour.join(low, "node", "left").select("node", F.least("colour", "low").alias("colour"), F.col("colour").alias("old")))
-            colour = new.select("node", "colour")
-            if new.where("colour <> old").isEmpty():
-                break
-        inner = e.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").where("a = b").select("src", "dst")
-        inner = cut_lineage(inner)
-        back = inner.select(F.col("dst").alias("at"), F.col("src").alias("next"))
-        roots = colour.where("node = colour")
-        part = fixpoint(roots, lambda f: f.join(back, f.node == back.at).select(F.col("next").alias("node"), "colour"), ["node"])
-        # a root that only reaches itself is no cycle
-        part = cut_lineage(part.join(part.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour"), "colour").select("node", F.col("colour").alias("component")))
+        colour = _least_ancestor(e)
+        inner = e.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").where("a = b")
+        inner = cut_lineage(inner.select("src", "dst"))
+        back = _least_ancestor(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = back.withColumnRenamed("colour", "reached").join(colour, "node").where("reached = colour")
+        both = cut_lineage(both.select("node", F.col("colour").alias("component")))
+        # a colour's own node that nothing comes back to is no cycle
+        part = cut_lineage(both.join(both.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"), "component").select("node", "component"))
         found = part if found is None else found.unionByName(part)
-        gone = part.select("node").unionByName(roots.select("node")).distinct()  # a root's component is known now
-        e = inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-        e = cut_lineage(e)
+        # the component of a colour's own node is known now, be it a cycle or the node alone
+        gone = cut_lineage(part.select("node").unionByName(colour.where("node = colour").select("node")).distinct())
+        e = cut_lineage(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     single = loops if found is None else loops.join(found.select("node"), "node", "left_anti")
     return single if found is None else found.unionByName(single)
 
 
+def _least_ancestor(e: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches each node, itself included.
+
+    Labels are pulled along the edges and from the label's own label, which doubles the way
+    they come each round.
+    """
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+    while True:
+        low = e.join(colour, e.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
+        pulled = colour.join(low, "node", "left").select("node", F.least("colour", "low").alias("colour"), F.col("colour").alias("old"))
+        jump = pulled.select(F.col("node").alias("colour"), F.col("colour").alias("further"))
+        new = cut_lineage(pulled.join(jump, "colour", "left").select("node", F.coalesce("further", "colour").alias("colour"), "old"))
+        if new.where("colour <> old").isEmpty():
+            return new.select("node", "colour")
+        colour = new.select("node", "colour")
+
+
 def _trimmed(e: DataFrame) -> DataFrame:
     """The edges whose start has an edge into it and whose end has one out of it; the others lie on no cycle."""
     return cut_lineage(
