@@ -121,9 +121,7 @@ def train(
         lr = rate * (1 - epoch / epochs) + 0.01
         for lens, longest, y, tok, fid in prepared:
             n = len(lens)
-            e = np.zeros((n * longest, k))
-            np.add.at(e, tok, model.emit[fid])
-            e = e.reshape(n, longest, k)
+            e = np.stack([np.bincount(tok, model.emit[fid, c], n * longest) for c in range(k)], 1).reshape(n, longest, k)
             mask = np.arange(longest)[None, :] < lens[:, None]
             alpha = np.zeros((n, longest, k))
             alpha[:, 0] = e[:, 0] + model.start
@@ -139,8 +137,8 @@ def train(
             g = p.copy()
             rows, cols = np.nonzero(mask)
             g[rows, cols, y[rows, cols]] -= 1
-            g_emit = np.zeros_like(model.emit)
-            np.add.at(g_emit, fid, g.reshape(-1, k)[tok])
+            at_tokens = g.reshape(-1, k)[tok]
+            g_emit = np.stack([np.bincount(fid, at_tokens[:, c], len(model.emit)) for c in range(k)], 1)
             g_trans = np.zeros((k, k))
             for t in range(1, longest):
                 live = mask[:, t]
