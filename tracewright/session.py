@@ -57,6 +57,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer partitions than there are cores; a larger one as it is.
+
+    For row-local work that costs far more than moving the rows: a file of one block would
+    keep all cores but one idle.  The rows and their results are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
