@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import jsontext
 from tracewright.llm import crf
+from tracewright.session import spread
 
 LABELS = ("other", "secret", "user")
 OTHER, SECRET, USER = range(3)
@@ -809,7 +810,7 @@ def _run(df: DataFrame, key: str, text: str, bodies: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(found, pa.string())], ["row_id", "secret"])
 
     narrow = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    return narrow.mapInArrow(run, "row_id bigint, secret string")
+    return spread(narrow).mapInArrow(run, "row_id bigint, secret string")
 
 
 def redact_text(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -843,7 +844,7 @@ def _redact(df: DataFrame, key: str, text: str, bodies: bool) -> DataFrame:
             )
 
     narrow = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    return narrow.mapInArrow(run, "row_id bigint, text string, secrets int")
+    return spread(narrow).mapInArrow(run, "row_id bigint, text string, secrets int")
 
 
 def redacted(traces: DataFrame, grading: DataFrame) -> DataFrame:

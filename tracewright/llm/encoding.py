@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import tokenizer_path
+from tracewright.session import spread, tokenizer_path
 
 #: Code points per step of work; bounds the memory of one step, not the input.
 CHUNK_CHARS = 2_000_000
@@ -293,7 +293,7 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary: str | None = None,
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{key}` {kind}, ids array<int>" + (", offsets array<int>" if with_offsets else "")
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 def _row_ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -327,4 +327,4 @@ def count_tokens(df: DataFrame, key: str, text: str, *, vocabulary: str | None =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, pa.int64())], [*b.schema.names[:-1], "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", tokens bigint"
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import jsontext
 from tracewright.llm import truncation
 from tracewright.llm.language import _HAN, prose, votes
+from tracewright.session import spread
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 
@@ -429,4 +430,4 @@ def find_defects(traces: DataFrame, *, fitted=None) -> DataFrame:
                 [b.column(0).take(pa.array(keep, pa.int64())), pa.array([got[i] for i in keep], pa.string())], ["id", "defect"]
             )
 
-    return narrow.mapInArrow(run, "id bigint, defect string")
+    return spread(narrow).mapInArrow(run, "id bigint, defect string")

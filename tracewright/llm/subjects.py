@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, spread
 
 #: A term stands in this many documents at least (examples count as documents), and in this share of them.
 MIN_DOCS = 4
@@ -161,7 +161,7 @@ def hashed(docs: DataFrame) -> DataFrame:
             lists = _nested(pa.array(np.array(flat, np.uint64).view(np.int64)), sizes, per_doc)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "sentences"])
 
-    return docs.mapInArrow(run, "doc_id bigint, sentences array<array<bigint>>")
+    return spread(docs).mapInArrow(run, "doc_id bigint, sentences array<array<bigint>>")
 
 
 def _count_terms(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import jsontext
 from tracewright.llm.language import LANGUAGES, language
 from tracewright.llm.spans import Hasher
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, spread
 
 #: Longest context, in characters as counted here.
 ORDERS = 8
@@ -268,7 +268,7 @@ def tails(texts: DataFrame, column: str) -> DataFrame:
                 [pa.array(group[first].astype(np.int32)), pa.array([found[i].tobytes() for i in first], pa.binary()), pa.array(n.astype(np.int64))], ["grp", "tail", "n"]
             )
 
-    return cut_lineage(texts.select(column).where(F.length(column) > 0).mapInArrow(run, _TAILS))
+    return cut_lineage(spread(texts.select(column).where(F.length(column) > 0)).mapInArrow(run, _TAILS))
 
 
 def _read_tails(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,7 +327,7 @@ def train(texts: DataFrame, column: str, ending: DataFrame | None = None) -> End
 
     inner = np.zeros(len(ctx), np.int64)
     if len(ctx):
-        got = narrow.mapInArrow(inside, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
+        got = spread(narrow).mapInArrow(inside, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
         inner[np.searchsorted(ctx, got.column("ctx").to_numpy().view(_U))] = got.column("n").to_numpy()
     return EndModel(ctx, end_counts, inner)
 
@@ -514,7 +514,7 @@ def flag_truncated(df: DataFrame, key: str, column: str, *, source: str | None =
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(flags)], [*b.schema.names[:-2], "truncated"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", truncated boolean"
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 def finished(traces: DataFrame) -> DataFrame:
